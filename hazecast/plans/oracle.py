@@ -420,3 +420,216 @@ def _register_features():
 
 
 _register_features()
+
+
+# ---------------------------------------------------------------------------
+# selection / evaluation
+# ---------------------------------------------------------------------------
+
+LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+
+
+def _spearman() -> str:
+    ranks = ", ".join(
+        f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r_{c}" for c in LI)
+    feats = [c for c in LI if c != "l_extendedprice"]
+    sel = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {r4(f'corr(r_{c}, r_l_extendedprice)')} AS corr FROM r" for c in feats)
+    return f"WITH r AS (SELECT {ranks} FROM lineitem) {sel}"
+
+
+SQL["spearman_target"] = _spearman()
+SQL["pearson_matrix"] = " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {r4(f'corr({a}, {b})')} AS corr FROM lineitem"
+    for i, a in enumerate(LI) for b in LI[i + 1:])
+
+SPLIT = ("CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 'train' "
+         "WHEN ts < TIMESTAMP '2024-01-25' THEN 'val' ELSE 'test' END")
+
+
+def _persistence_cte() -> str:
+    from hazecast.operators.features import HORIZONS
+    leads = ", ".join(f"lead(PM25, {k}) OVER (PARTITION BY series_id ORDER BY ts) AS y{k}" for k in HORIZONS)
+    preds = " UNION ALL ".join(
+        f"SELECT {k} AS K, {SPLIT} AS split, y{k} AS label, PM25 AS prediction FROM l WHERE y{k} IS NOT NULL"
+        for k in HORIZONS)
+    sq = "(label - prediction) * (label - prediction)"
+    return (OBS + f""",
+base AS (SELECT * FROM obs WHERE PM25 IS NOT NULL AND NOT isnan(PM25)),
+l AS (SELECT ts, PM25, {leads} FROM base),
+p AS ({preds}),
+agg AS (SELECT K,
+        sqrt(avg(CASE WHEN split = 'train' THEN {sq} END)) AS rmse_train,
+        sqrt(avg(CASE WHEN split = 'val' THEN {sq} END)) AS rmse_val,
+        sqrt(avg(CASE WHEN split = 'test' THEN {sq} END)) AS rmse_test,
+        sum(CASE WHEN split = 'test' THEN {sq} END) AS sse,
+        count(CASE WHEN split = 'test' THEN label END) * var_pop(CASE WHEN split = 'test' THEN label END) AS sst
+        FROM p GROUP BY K),
+res AS (SELECT K, rmse_train, rmse_val, rmse_test,
+        CASE WHEN sst > 0 THEN 1.0 - sse / sst END AS r2_test, rmse_val - rmse_train AS gap FROM agg)""")
+
+
+_FLAGS = ("CASE WHEN gap < 6.0 THEN 'good' WHEN gap < 10.0 THEN 'fair' ELSE 'poor' END AS gap_flag, "
+          "CASE WHEN r2_test >= 0.85 THEN 'good' WHEN r2_test >= 0.65 THEN 'fair' ELSE 'poor' END AS r2_flag")
+_MET = ", ".join(f"{r4(c)} AS {c}" for c in ["rmse_train", "rmse_val", "rmse_test", "r2_test", "gap"])
+
+SQL["horizon_metrics"] = _persistence_cte() + f"\nSELECT K, {_MET}, {_FLAGS} FROM res"
+
+SQL["eval_by_horizon_band"] = _persistence_cte() + f"""
+SELECT band, {r4('avg(rmse_test)')} AS mean_rmse_test, {r4('avg(r2_test)')} AS mean_r2_test,
+       {r4('avg(gap)')} AS mean_gap, count(*) AS n_horizons
+FROM (SELECT *, CASE WHEN K BETWEEN 1 AND 6 THEN 'short' WHEN K BETWEEN 7 AND 24 THEN 'mid'
+                     WHEN K BETWEEN 25 AND 49 THEN 'long' END AS band FROM res)
+GROUP BY ROLLUP (band)"""
+
+
+def _leaderboard() -> str:
+    from hazecast.operators.evaluate import REFERENCE_RMSE
+    vals = ", ".join(f"({k}, CAST({b} AS DOUBLE), CAST({v4} AS DOUBLE), CAST({v5} AS DOUBLE))"
+                     for k, b, v4, v5 in REFERENCE_RMSE)
+    return _persistence_cte() + f""",
+ref(K, best, v4, v5) AS (VALUES {vals}),
+j AS (SELECT res.*, ref.best, ref.v4, ref.v5, rmse_test - v4 AS d_v4, rmse_test - best AS d_best
+      FROM res LEFT JOIN ref USING (K))
+SELECT K, {_MET}, {r4('best')} AS best, {r4('v4')} AS v4, {r4('v5')} AS v5,
+       {r4('d_v4')} AS d_v4, {r4('d_best')} AS d_best,
+       count_if(d_v4 < 0) OVER () AS wins_v4, count_if(d_best < 0) OVER () AS wins_best FROM j"""
+
+
+SQL["leaderboard"] = _leaderboard()
+
+# ---------------------------------------------------------------------------
+# serving
+# ---------------------------------------------------------------------------
+
+SQL["latest_row"] = """SELECT event_type AS series_id, max(ts) AS ts, arg_max(event_id, ts) AS event_id,
+       arg_max(value, ts) AS value FROM events GROUP BY 1"""
+
+SQL["tail_n"] = """SELECT series_id, ts, event_id, value FROM (
+  SELECT event_type AS series_id, ts, event_id, value,
+         row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+WHERE rn <= 400"""
+
+SQL["freshness_gap"] = f"""WITH {HOURLY_LONG},
+l AS (SELECT series_id, max(ts) AS last_ts FROM hourly_long GROUP BY 1)
+SELECT series_id, last_ts, TIMESTAMP '2024-01-30 11:00:00' AS cutoff_ts,
+       {r4("(epoch_us(TIMESTAMP '2024-01-30 11:00:00') - epoch_us(last_ts)) / 3600000000.0")} AS gap_hours,
+       (epoch_us(TIMESTAMP '2024-01-30 11:00:00') - epoch_us(last_ts)) / 3600000000.0 >= 1 AS stale
+FROM l"""
+
+
+def _naive_cte(base: str) -> str:
+    from hazecast.operators.features import HORIZONS
+    ks = ", ".join(f"({k})" for k in HORIZONS)
+    return f"""{HOURLY_LONG},
+m AS (SELECT series_id, avg(value) AS mean, max(ts) AS last_ts FROM (
+        SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS rn FROM hourly_long)
+      WHERE rn <= 24 GROUP BY 1),
+ks(K) AS (VALUES {ks}),
+pred AS (SELECT m.series_id, ks.K,
+                round((mean + ks.K * CAST(0.1 AS DOUBLE)) * 100.0) / 100.0 AS pm25,
+                {_simple_sql('mean', True)} AS aqi,
+                {base} + to_hours(ks.K) AS forecast_dt, {base} AS base_ts
+         FROM m CROSS JOIN ks)"""
+
+
+SQL["naive_forecast"] = ("WITH " + _naive_cte("TIMESTAMP '2024-01-30 12:34:56'")
+                         + "\nSELECT series_id, K, pm25, aqi, forecast_dt, base_ts FROM pred")
+
+
+def _wah() -> str:
+    from hazecast.operators.features import HORIZONS
+    ks = ", ".join(f"({k})" for k in HORIZONS)
+    fk = {"temp": "Temperature", "wind": "Wind_Speed", "humid": "Relative_Humidity",
+          "press": "Pressure", "precip": "Precipitation", "blh": "BLH"}
+    sel = ", ".join(f"{r4(f'coalesce(f.{k}, b.{v})')} AS {k}_fK" for k, v in fk.items())
+    return OBS + f""",
+b AS (SELECT * FROM obs WHERE ts <= TIMESTAMP '2024-01-30 12:34:56' ORDER BY ts DESC LIMIT 1),
+ks(K) AS (VALUES {ks}),
+f AS (SELECT 'events' AS series_id, ts AS valid_ts, Temperature AS temp, Relative_Humidity AS humid,
+             Precipitation AS precip, Wind_Speed AS wind, Pressure AS press, BLH AS blh FROM weather),
+bk AS (SELECT b.*, ks.K, date_trunc('hour', b.ts) + to_hours(ks.K) AS valid_ts FROM b CROSS JOIN ks)
+SELECT b.series_id, b.ts, b.K, b.valid_ts, {sel},
+       {r4('coalesce(f.wind, b.Wind_Speed) * (100 - coalesce(f.humid, b.Relative_Humidity))')} AS dispersion_fK
+FROM bk b LEFT JOIN f ON b.series_id = f.series_id AND b.valid_ts = f.valid_ts"""
+
+
+SQL["weather_at_horizon"] = _wah()
+
+
+def _slots_cte() -> str:
+    from hazecast.functions import aqi as A
+    from hazecast.operators.forecast import SLOT_DAYS, SLOT_HOURS
+    offs = ", ".join(f"({d - 1}, {d * 24 + h})" for d in SLOT_DAYS for h in SLOT_HOURS)
+    cb = A.CATEGORY_BANDS[:-1] + [(None,) + A.CATEGORY_BANDS[-1][1:]]
+
+    def nn(e):
+        return f"CASE WHEN aqi IS NULL THEN NULL ELSE {e} END"
+    return "WITH " + _naive_cte("last_ts") + f""",
+offs(day_index, off) AS (VALUES {offs}),
+tg AS (SELECT b.series_id, b.base_ts, date_trunc('day', b.base_ts) + to_hours(offs.off) AS target_dt,
+              offs.day_index FROM (SELECT DISTINCT series_id, base_ts FROM pred) b CROSS JOIN offs),
+pairs AS (SELECT tg.*, p.K, p.pm25, p.aqi, p.forecast_dt,
+                 row_number() OVER (PARTITION BY tg.series_id, tg.target_dt
+                   ORDER BY abs(epoch_us(p.forecast_dt) - epoch_us(tg.target_dt)), p.forecast_dt) AS rn
+          FROM tg JOIN pred p USING (series_id)),
+slots AS (SELECT series_id, base_ts, target_dt, day_index, K, pm25, aqi, forecast_dt,
+       strftime(target_dt, '%d/%m %Hh') AS display_dt,
+       strftime(target_dt, '%A, %d/%m/%Y %H:%M') AS display_full,
+       strftime(target_dt, '%H:00') AS hour_str,
+       strftime(date_trunc('day', target_dt), '%d/%m') AS date_str,
+       {nn(_band_sql('aqi', cb, lambda b: _q(b[1])))} AS label,
+       {nn(_band_sql('aqi', cb, lambda b: _q(b[2])))} AS css_class,
+       {nn(_band_sql('aqi', cb, lambda b: _q(b[3])))} AS color
+FROM pairs WHERE rn = 1)"""
+
+
+SQL["slots_nearest"] = _slots_cte() + "\nSELECT * FROM slots"
+
+SQL["slot_stats"] = _slots_cte() + """
+SELECT series_id, base_ts, min(aqi) AS aqi_min, max(aqi) AS aqi_max,
+       CAST(round_even(avg(aqi), 0) AS INTEGER) AS aqi_avg, count(*) AS n_slots,
+       arg_min(display_dt, target_dt) AS current_display_dt
+FROM slots GROUP BY 1, 2"""
+
+
+def _next_hour() -> str:
+    from hazecast.functions import aqi as A
+    cb = A.CATEGORY_BANDS[:-1] + [(None,) + A.CATEGORY_BANDS[-1][1:]]
+
+    def nn(e):
+        return f"CASE WHEN aqi IS NULL THEN NULL ELSE {e} END"
+    return _slots_cte() + f""",
+nh AS (SELECT series_id, date_trunc('hour', max(ts)) + INTERVAL 1 HOUR AS next_hour FROM hourly_long GROUP BY 1),
+hit AS (SELECT nh.series_id, nh.next_hour, arg_min(s.aqi, s.target_dt) AS aqi, arg_min(s.pm25, s.target_dt) AS pm25,
+               count(s.target_dt) AS n_hit
+        FROM nh LEFT JOIN slots s ON s.series_id = nh.series_id AND date_trunc('hour', s.forecast_dt) = nh.next_hour
+        GROUP BY 1, 2),
+fb AS (SELECT series_id, avg(value) AS fb FROM (
+         SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS rn FROM hourly_long)
+       WHERE rn <= 8 GROUP BY 1),
+o AS (SELECT h.series_id, h.next_hour,
+             CASE WHEN h.aqi IS NOT NULL THEN h.aqi ELSE {_simple_sql('fb.fb', True)} END AS aqi,
+             CASE WHEN h.aqi IS NOT NULL THEN h.pm25 ELSE round(fb.fb * 100.0) / 100.0 END AS pm25,
+             CASE WHEN h.aqi IS NOT NULL THEN 'slot' WHEN fb.fb IS NOT NULL THEN 'realtime' ELSE 'error' END AS source,
+             strftime(h.next_hour, '%H:00') AS hour_str
+      FROM hit h LEFT JOIN fb USING (series_id))
+SELECT series_id, next_hour, aqi, {r4('pm25')} AS pm25, source, hour_str,
+       {nn(_band_sql('aqi', cb, lambda b: _q(b[1])))} AS label,
+       {nn(_band_sql('aqi', cb, lambda b: _q(b[2])))} AS css_class,
+       {nn(_band_sql('aqi', cb, lambda b: _q(b[3])))} AS color FROM o"""
+
+
+SQL["next_hour_lookup"] = _next_hour()
+
+SQL["forecast_document"] = _slots_cte() + """
+SELECT series_id, target_dt, K, pm25, aqi, forecast_dt, display_dt, label FROM slots"""
+
+SQL["payload_explode"] = "WITH " + AIR + "\nSELECT 'events' AS series_id, ts, " + ", ".join(
+    f"{r4(c)} AS {c}" for c in ["PM25", "PM10", "NO2", "O3", "CO", "SO2"]) + " FROM air"
+
+SQL["stream_upsert"] = SQL["upsert_keep_last"]
+
+SQL["stream_hourly_rollup"] = f"""SELECT event_type AS series_id, date_trunc('hour', ts) AS ts,
+       count(*) AS n, {r4('sum(value)')} AS sum_value, {r4('max(value)')} AS max_value
+FROM events GROUP BY 1, 2"""

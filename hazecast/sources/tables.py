@@ -111,3 +111,13 @@ def orders_daily_aqi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderpriority").alias("series_id"),
                     F.col("o_orderdate").alias("ts"),
                     aqi_pm25(F.col("o_totalprice") / 1000.0).alias("AQI"))
+
+
+def weather_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecast stand-in keyed (series_id, valid_ts): the weather observed at
+    the valid hour (a perfect forecast, as the ``_atK`` training features)."""
+    w = weather_hourly(spark, sf_dir)
+    return w.select("series_id", F.col("ts").alias("valid_ts"),
+                    F.col("Temperature").alias("temp"), F.col("Relative_Humidity").alias("humid"),
+                    F.col("Precipitation").alias("precip"), F.col("Wind_Speed").alias("wind"),
+                    F.col("Pressure").alias("press"), F.col("BLH").alias("blh"))
