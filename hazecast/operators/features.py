@@ -232,7 +232,7 @@ def _win_column(w, f: WinFeature):
     raise ValueError(f.kind)
 
 
-def _horizon_columns(w, horizons, target):
+def _horizon_columns(w, horizons, target, available):
     cols = {}
     for k in horizons:
         lead = F.lead(F.col(target), k).over(w)
@@ -240,7 +240,8 @@ def _horizon_columns(w, horizons, target):
         cols[f"label__k{k}"] = F.log1p(lead)
         cols[f"pm25_lagK__k{k}"] = F.lag(F.col(target), k).over(w)
         for c in WEATHER_LEAD:
-            cols[f"{c}_atK__k{k}"] = F.lead(F.col(c), k).over(w)
+            if c in available:
+                cols[f"{c}_atK__k{k}"] = F.lead(F.col(c), k).over(w)
     return cols
 
 
@@ -277,7 +278,7 @@ def build_features(df: DataFrame, names=None, horizons=(), target: str = "PM25",
 
     def build(w):
         stage1 = {f.name: _win_column(w, f) for f in short}
-        stage1.update(_horizon_columns(w, horizons, target))
+        stage1.update(_horizon_columns(w, horizons, target, set(df.columns)))
         for f in long_:
             stage1.update(Wn.prefix_columns(w, f.src))
         stages = [stage1]
@@ -298,6 +299,7 @@ def horizon_frame(feat: DataFrame, k: int, keep=None) -> DataFrame:
     ren = {f"label_raw__k{k}": "label_raw", f"label__k{k}": "label",
            f"pm25_lagK__k{k}": "pm25_lagK"}
     ren.update({f"{c}_atK__k{k}": f"{c}_atK" for c in WEATHER_LEAD})
+    ren = {a: b for a, b in ren.items() if a in feat.columns}
     base = [c for c in feat.columns if "__k" not in c]
     if keep is not None:
         base = [c for c in base if c in keep]
@@ -311,6 +313,7 @@ def horizon_long(feat: DataFrame, horizons, keep=None) -> DataFrame:
     if keep is not None:
         base = [c for c in base if c in keep]
     per_k = ["label_raw", "label", "pm25_lagK"] + [f"{c}_atK" for c in WEATHER_LEAD]
+    per_k = [c for c in per_k if f"{c}__k{horizons[0]}" in feat.columns]
     structs = [F.struct(F.lit(k).alias("K"),
                         *[F.col(f"{c}__k{k}").alias(c) for c in per_k]) for k in horizons]
     return (feat.select(*base, F.explode(F.array(*structs)).alias("_h"))

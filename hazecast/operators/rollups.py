@@ -9,7 +9,7 @@ exchange) – a hot series never ships more than ``n`` rows per map task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazecast.functions.numeric import round_dp, safe_float
@@ -18,6 +18,31 @@ from hazecast.schema import ROLLUP_FIELDS
 MIN_DATE = "2000-01-01"
 
 
+MICRO = 1_000_000
+
+
+def exact_mean_parts(col: str) -> list:
+    """Aggregates for ``exact_rounded_mean``: the sum of the values in integer
+    micro-units (exact and order independent) and the count of non-nulls."""
+    q = F.round(F.col(col) * F.lit(float(MICRO)), 0).cast("long")
+    return [F.sum(q).alias(f"_s_{col}"), F.count(col).alias(f"_n_{col}")]
+
+
+def exact_rounded_mean(col: str, digits: int) -> Column:
+    """Mean rounded half away from zero at ``digits`` decimals, decided with
+    integer arithmetic on the exact micro-unit sum.  A float ``avg`` is summed
+    in partition order, so a mean lying exactly on a rounding tie could round
+    either way depending on the plan; this cannot."""
+    s, n, u = f"_s_{col}", f"_n_{col}", MICRO // 10 ** digits
+    return F.expr(f"CASE WHEN {n} > 0 THEN signum({s}) * ((2 * abs({s}) + {n} * {u}) div (2 * {n} * {u}))"
+                  f" / {float(10 ** digits)} END")
+
+
+def _rounded_means(grouped, fields, digits):
+    parts = [p for f in fields for p in exact_mean_parts(f)]
+    return parts, {f: exact_rounded_mean(f, digits) for f in fields}
+
+
 def _clean_measures(df: DataFrame, fields) -> list:
     return [F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")).alias(f)
             for f in fields]
@@ -31,10 +56,10 @@ def daily_rollup(df: DataFrame, fields=ROLLUP_FIELDS, key="series_id", ts="ts",
     base = df.select(key, F.date_format(ts, "yyyy-MM-dd").alias("date"),
                      *_clean_measures(df, fields))
     base = base.where(F.col("date") >= F.lit(MIN_DATE))
-    aggs = [round_dp(F.avg(f), digits).alias(f) for f in fields]
+    parts, means = _rounded_means(base, fields, digits)
     present = F.count(F.coalesce(*[F.col(f) for f in fields])).alias("_n")
-    return (base.groupBy(key, "date").agg(*aggs, present)
-            .where(F.col("_n") > 0).drop("_n"))
+    return (base.groupBy(key, "date").agg(*parts, present)
+            .where(F.col("_n") > 0).select(key, "date", *[means[f].alias(f) for f in fields]))
 
 
 def hourly_rollup(df: DataFrame, fields=ROLLUP_FIELDS, key="series_id", ts="ts",
@@ -43,10 +68,10 @@ def hourly_rollup(df: DataFrame, fields=ROLLUP_FIELDS, key="series_id", ts="ts",
     base = df.select(key, F.date_format(ts, "yyyy-MM-dd").alias("date"), F.hour(ts).alias("hour"),
                      *_clean_measures(df, fields))
     base = base.where(F.col("date") >= F.lit(MIN_DATE))
-    aggs = [round_dp(F.avg(f), digits).alias(f) for f in fields]
+    parts, means = _rounded_means(base, fields, digits)
     present = F.count(F.coalesce(*[F.col(f) for f in fields])).alias("_n")
-    return (base.groupBy(key, "date", "hour").agg(*aggs, present)
-            .where(F.col("_n") > 0).drop("_n"))
+    return (base.groupBy(key, "date", "hour").agg(*parts, present)
+            .where(F.col("_n") > 0).select(key, "date", "hour", *[means[f].alias(f) for f in fields]))
 
 
 def last_n_days(daily: DataFrame, n: int, key="series_id", date="date") -> DataFrame:

@@ -95,8 +95,18 @@ OBS = "WITH " + AIR + "," + WEATHER + "," + _overall_cte()
 ROLL_FIELDS = ["AQI", "PM25", "PM10", "NO2", "O3", "CO", "SO2"]
 
 
+def exact_mean(x: str, d: int = 1) -> str:
+    """Matches rollups.exact_rounded_mean: integer micro-unit sum, half away
+    from zero decided by integer division."""
+    s = f"sum(CAST(round(({x}) * 1000000.0) AS BIGINT))"
+    n = f"count({x})"
+    u = 1_000_000 // 10 ** d
+    return (f"(CASE WHEN {n} > 0 THEN sign({s}) * ((2 * abs({s}) + {n} * {u}) // (2 * {n} * {u}))"
+            f" / CAST({float(10 ** d)} AS DOUBLE) END)")
+
+
 def _roll(keys: str, group: str) -> str:
-    aggs = ", ".join(f"{r1(f'avg({f})')} AS {f}" for f in ROLL_FIELDS)
+    aggs = ", ".join(f"{exact_mean(f)} AS {f}" for f in ROLL_FIELDS)
     anyv = "count(coalesce(" + ", ".join(ROLL_FIELDS) + "))"
     return (f"{OBS}\nSELECT {keys}, {aggs} FROM obs WHERE CAST(ts AS DATE) >= DATE '2000-01-01' "
             f"GROUP BY {group} HAVING {anyv} > 0")
@@ -222,11 +232,11 @@ SQL["daily_rollup"] = _roll("series_id, strftime(ts, '%Y-%m-%d') AS date", "1, 2
 
 SQL["hourly_rollup"] = f"""WITH {LONG}
 SELECT series_id, strftime(ts, '%Y-%m-%d') AS date, CAST(hour(ts) AS INTEGER) AS hour,
-       {r1('avg(PM25)')} AS PM25
+       {exact_mean('PM25')} AS PM25
 FROM long WHERE CAST(ts AS DATE) >= DATE '2000-01-01' GROUP BY 1, 2, 3 HAVING count(PM25) > 0"""
 
 SQL["last_n_days"] = f"""WITH {LONG},
-d AS (SELECT series_id, strftime(ts, '%Y-%m-%d') AS date, {r1('avg(PM25)')} AS PM25
+d AS (SELECT series_id, strftime(ts, '%Y-%m-%d') AS date, {exact_mean('PM25')} AS PM25
       FROM long WHERE CAST(ts AS DATE) >= DATE '2000-01-01' GROUP BY 1, 2 HAVING count(PM25) > 0)
 SELECT series_id, date, PM25 FROM (
   SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS rn FROM d) WHERE rn <= 7"""
@@ -473,7 +483,8 @@ _FLAGS = ("CASE WHEN gap < 6.0 THEN 'good' WHEN gap < 10.0 THEN 'fair' ELSE 'poo
           "CASE WHEN r2_test >= 0.85 THEN 'good' WHEN r2_test >= 0.65 THEN 'fair' ELSE 'poor' END AS r2_flag")
 _MET = ", ".join(f"{r4(c)} AS {c}" for c in ["rmse_train", "rmse_val", "rmse_test", "r2_test", "gap"])
 
-SQL["horizon_metrics"] = _persistence_cte() + f"\nSELECT K, {_MET}, {_FLAGS} FROM res"
+_STRATEGY = "CASE WHEN K = 25 THEN 'LONG' WHEN K <= 8 THEN 'SHORT' ELSE 'MED' END AS strategy"
+SQL["horizon_metrics"] = _persistence_cte() + f"\nSELECT K, {_MET}, {_FLAGS}, {_STRATEGY} FROM res"
 
 SQL["eval_by_horizon_band"] = _persistence_cte() + f"""
 SELECT band, {r4('avg(rmse_test)')} AS mean_rmse_test, {r4('avg(r2_test)')} AS mean_r2_test,
@@ -633,3 +644,35 @@ SQL["stream_upsert"] = SQL["upsert_keep_last"]
 SQL["stream_hourly_rollup"] = f"""SELECT event_type AS series_id, date_trunc('hour', ts) AS ts,
        count(*) AS n, {r4('sum(value)')} AS sum_value, {r4('max(value)')} AS max_value
 FROM events GROUP BY 1, 2"""
+
+
+# ---------------------------------------------------------------------------
+# sources / sinks / tables
+# ---------------------------------------------------------------------------
+
+_TZ = "'America/Sao_Paulo'"
+_T = "CAST(l_shipdate AS TIMESTAMP)"
+_INV = (f"(timezone({_TZ}, timezone({_TZ}, {_T})) <> {_T} "
+        f"OR timezone({_TZ}, timezone({_TZ}, {_T}) + INTERVAL 1 HOUR) = {_T} "
+        f"OR timezone({_TZ}, timezone({_TZ}, {_T}) - INTERVAL 1 HOUR) = {_T})")
+SQL["localize_invalid"] = f"""SELECT l_shipdate, n_rows, invalid FROM (
+  SELECT l_shipdate, count(*) AS n_rows, {_INV} AS invalid FROM lineitem GROUP BY l_shipdate)
+WHERE invalid"""
+
+SQL["csv_roundtrip"] = OBS + "\nSELECT series_id, ts, AQI, AQI_Pollutant, " + ", ".join(
+    f"{r4(c)} AS {c}" for c in ["CO", "NO2", "O3", "PM10", "PM25", "SO2", "Clouds", "Precipitation",
+                                "Pressure", "Relative_Humidity", "Temperature", "Wind_Speed",
+                                "Wind_Direction", "BLH"]) + " FROM obs"
+
+
+def _run_slots() -> str:
+    from hazecast.functions import aqi as A
+    strict = _seg("(CASE WHEN isnan(pm25) THEN NULL ELSE CAST(pm25 AS DOUBLE) END)",
+                  A.PM25_SIMPLE_BREAKPOINTS, 500, below=500)
+    return _slots_cte() + f"""
+SELECT series_id, base_ts, TIMESTAMP '2024-01-30 12:34:56' AS created_at, forecast_dt, pm25,
+       {strict} AS aqi, TIMESTAMP '2024-01-30 12:34:56' < TIMESTAMP '2024-01-30 00:00:00' AS stale
+FROM slots"""
+
+
+SQL["run_slot_tables"] = _run_slots()

@@ -388,8 +388,10 @@ def _persistence(spark, sf_dir):
 def horizon_metrics(spark, sf_dir):
     """A12 + A13 + M11 + F29: persistence-baseline RMSE per split, gap and
     test R² for every horizon, with traffic lights."""
+    from hazecast.functions.numeric import strategy_label
     from hazecast.operators import evaluate as EV
-    return round_doubles(EV.with_flags(_persistence(spark, sf_dir)))
+    res = EV.with_flags(_persistence(spark, sf_dir)).withColumn("strategy", strategy_label("K"))
+    return round_doubles(res)
 
 
 @register("eval_by_horizon_band")
@@ -564,3 +566,45 @@ def stream_hourly_rollup(spark, sf_dir):
     """T4: watermarked 1-hour tumbling windows per series (update mode)."""
     from hazecast.streaming.incremental import stream_hourly_rollup as run
     return round_doubles(run(spark, sf_dir))
+
+
+# --- sources / sinks / tables (P4b, S1, S8, S17, N7, F28) --------------------
+
+LOCAL_TZ = "America/Sao_Paulo"   # DST started at local midnight in 1995–2001
+
+
+@register("localize_invalid")
+def localize_invalid(spark, sf_dir):
+    """Wall-clock ship dates that do not exist (or are ambiguous) in the
+    station's zone become null; per date the row count and the flag."""
+    from hazecast.functions.calendar import localize_invalid as invalid
+    li = tables.table(spark, sf_dir, "lineitem").select("l_shipdate")
+    return (li.groupBy("l_shipdate").agg(F.count("*").alias("n_rows"))
+            .withColumn("invalid", invalid("l_shipdate", LOCAL_TZ))
+            .where(F.col("invalid")))
+
+
+@register("csv_roundtrip")
+def csv_roundtrip(spark, sf_dir):
+    """S8 → S1: write the panel as date-partitioned CSV with a header to the
+    shared folder and scan it back with the explicit observation schema."""
+    from hazecast.session import shared_dir
+    from hazecast.sources import payloads as PL
+    obs = tables.observations(spark, sf_dir)
+    path = shared_dir(spark, "obs-csv")
+    PL.write_observations(obs.withColumnRenamed("ts", "Local_Time"), path, fmt="csv")
+    back = PL.read_observations_csv(spark, path)
+    return round_doubles(back)
+
+
+@register("run_slot_tables")
+def run_slot_tables(spark, sf_dir):
+    """S17 + N7: forecast runs and their slots (AQI derived on write with the
+    strict variant), joined back on run_id; F28 staleness against as_of."""
+    from hazecast.functions.calendar import stale
+    from hazecast.operators import forecast as FC
+    slots = FC.slots_nearest(_naive(spark, sf_dir))
+    runs, rows = FC.run_tables(slots, AS_OF)
+    j = runs.join(rows, "run_id")
+    return j.select("series_id", "base_ts", "created_at", "forecast_dt", "pm25", "aqi",
+                    stale("created_at", F.lit(AS_OF).cast("timestamp_ntz")).alias("stale"))

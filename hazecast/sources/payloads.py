@@ -59,21 +59,22 @@ def forecast_rows(payloads: DataFrame, key: str = "series_id") -> DataFrame:
 def read_observations_csv(spark: SparkSession, path: str) -> DataFrame:
     """History CSV with a header, explicit schema (Spark strips a
     UTF-8 BOM); the reference's ``Local_Time`` header maps to ``ts``."""
-    raw = spark.read.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss") \
-        .csv(path, inferSchema=False)
+    raw = spark.read.option("header", True).csv(path, inferSchema=False)
     df = rename(raw, {"Local_Time": "ts"})
     types = {f.name: f.dataType for f in OBSERVATION.fields}
-    cols = [F.col(c).try_cast(types[c]).alias(c) if c != "ts" else parse_ts(c).alias(c)
-            for c in df.columns if c in types]
+    cols = [F.col(c).try_cast(types[c]).alias(c) if c != "ts"
+            else F.to_timestamp_ntz(F.col(c)).alias(c) for c in df.columns if c in types]
     return select_existing(df.select(*cols), OBS_ORDER)
 
 
-def write_observations(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+def write_observations(df: DataFrame, path: str, fmt: str = "parquet", ts: str = "ts") -> None:
     """Partitioned by date, rows clustered by (series, ts) within files;
     range partitioning keeps one hot series from landing in one task."""
-    out = (df.withColumn("date", F.to_date("ts"))
-           .repartitionByRange("date", "series_id", "ts")
-           .sortWithinPartitions("series_id", "ts"))
+    if ts not in df.columns and "Local_Time" in df.columns:
+        ts = "Local_Time"
+    out = (df.withColumn("date", F.to_date(ts))
+           .repartitionByRange("date", "series_id", ts)
+           .sortWithinPartitions("series_id", ts))
     w = out.write.mode("overwrite").partitionBy("date")
     if fmt == "csv":
         w.option("header", True).csv(path)

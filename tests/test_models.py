@@ -1,0 +1,57 @@
+"""Per-horizon training, evaluation, registry save/load (sf0.01 panel)."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from hazecast.operators import features as FT
+from hazecast.operators import models as M
+from hazecast.session import shared_dir
+from hazecast.sources import tables
+
+SF = "/root/testdata/sf0.01"
+CUT = ("2024-01-20", "2024-01-25")
+
+
+@pytest.fixture(scope="module")
+def feat(spark):
+    obs = tables.observations(spark, SF)
+    return M.persist_shared(FT.build_features(obs, FT.ALL_NAMES, horizons=[1, 4]))
+
+
+def test_linear_save_load_same_predictions(spark, feat):
+    res = M.train_horizons(feat, [1, 4], "linear", cutoffs=CUT, budget=0.05, min_train_rows=50)
+    assert [r.k for r in res] == [1, 4]
+    # the scaler is part of the saved pipeline
+    assert any("StandardScaler" in type(s).__name__ for s in res[0].model.stages)
+    base = shared_dir(spark, "models-test")
+    M.save_models(spark, res, "linear", base)
+    loaded = M.load_models(spark, base, "linear")
+    for r in res:
+        frame = r.metrics["split_frame"].limit(50)
+        a = [x["prediction"] for x in r.model.transform(frame).select("prediction").collect()]
+        model, names = loaded[r.k]
+        assert names == r.features
+        b = [x["prediction"] for x in model.transform(frame).select("prediction").collect()]
+        assert a == b
+
+
+def test_gbt_metrics(spark, feat):
+    res = M.train_horizons(feat, [1], "gbt", cutoffs=CUT, budget=0.02, min_train_rows=50)
+    m = M.evaluate(res, spark).collect()
+    assert len(m) == 1
+    row = m[0]
+    for c in ("rmse_train", "rmse_val", "rmse_test"):
+        assert row[c] is not None and math.isfinite(row[c]) and row[c] >= 0
+    assert abs(row["gap"] - (row["rmse_val"] - row["rmse_train"])) < 1e-9
+
+
+def test_min_train_rows_guard(spark, feat):
+    assert M.train_horizons(feat, [1], "linear", cutoffs=CUT, min_train_rows=10 ** 9) == []
+
+
+def test_scaled_budget():
+    p = M.scaled_budget(M.gbt_params(1), 0.02)
+    assert p["maxIter"] == 6 and p["maxDepth"] == 5
+    assert M.scaled_budget(M.rf_params(49), 0.001)["numTrees"] == 2

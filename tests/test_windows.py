@@ -107,3 +107,14 @@ def test_hours_since_rain_cases(spark):
     assert got[15] == 12.0
     assert got[27] == 24.0
     assert got[28] == 48.0
+
+
+def test_localize_dst(spark):
+    import datetime as dt
+    from hazecast.functions.calendar import localize
+    rows = [(dt.datetime(2024, 3, 10, 2, 30),),    # spring gap in New York
+            (dt.datetime(2024, 11, 3, 1, 30),),    # autumn overlap
+            (dt.datetime(2024, 6, 1, 12, 0),)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz")
+    got = [r[0] for r in df.select(localize("ts", "America/New_York")).collect()]
+    assert got == [None, None, dt.datetime(2024, 6, 1, 12, 0)]
