@@ -3,17 +3,22 @@
 A plain ``Window.partitionBy(series_id).orderBy(ts)`` puts every row of a
 series in one task; with one station holding a third of 100 TB that task
 never finishes.  ``series_windows`` therefore evaluates windows on *halo
-buckets*:
-
-1. ``dense_index`` numbers the rows of each series 0..n-1 without a
-   whole-series task: row counts per (series, day) are aggregated, turned
-   into running offsets over the (small) per-day table, joined back, and a
-   ``row_number`` inside each (series, day) adds the local position.
-2. Each row is copied into every bucket ``idx div B`` whose rows can see it
-   through their frames (``back`` rows behind, ``fwd`` rows ahead), via
-   ``explode(sequence(...))``.  Replication is ``1 + (back + fwd) / B``.
-3. Windows run per (series, bucket); only rows whose home bucket is the
-   current bucket are kept.  Results equal the plain window exactly.
+buckets* built from whole days:
+
+1. rows are counted per (series, day) – a small aggregate – and a running sum
+   over that table gives each day its row range [start, end) in the series;
+2. a day's *home* bucket is ``start div B``; its rows are also copied into
+   every bucket whose frames reach them (``back`` rows behind, ``fwd``
+   ahead), computed per day on the small table and applied with
+   ``explode(sequence(lo, hi))``.  Each bucket then holds a contiguous run
+   of days covering its home rows plus the halo; replication is about
+   ``1 + (back + fwd + day size) / B``;
+3. windows run per (series, bucket) ordered by time, and only rows whose
+   home bucket is the current bucket are kept.  Results equal the plain
+   window exactly.
+
+The only full-data exchange is the one the window needs anyway (the
+per-day table is joined back by broadcast when AQE measures it small).
 
 Long frames (e.g. 8 760 rows) use prefix sums – running ``sum``/``count``
 (incremental in Spark) minus their ``lag`` – instead of a sliding frame that
@@ -58,12 +63,14 @@ def _apply(df: DataFrame, stages) -> DataFrame:
 
 def series_windows(df: DataFrame, build: Callable[[WindowSpec], dict | list],
                    back: int, fwd: int = 0, key: str = "series_id", order=("ts",),
-                   bucket_rows: int | None = None, split: bool = True) -> DataFrame:
+                   bucket_rows: int | None = None, split: bool = True,
+                   block_unit: str = "day") -> DataFrame:
     """Add the window columns returned by ``build(w)`` – one dict, or a list
     of dicts applied in order when later columns read earlier ones (all
     stages share the partitioning and sort, so they add no exchange).
 
-    ``w`` is ordered per series; ``build`` may use ``lag``/``lead`` up to
+    ``w`` is ordered per series by ``order`` (the first column is the time
+    used for day blocks); ``build`` may use ``lag``/``lead`` up to
     ``back``/``fwd`` rows and frames inside ``[-back, fwd]``.  With
     ``split=False`` the plain per-series window is used (reference plan,
     also used by tests as the equivalence baseline).
@@ -72,15 +79,35 @@ def series_windows(df: DataFrame, build: Callable[[WindowSpec], dict | list],
         w = Window.partitionBy(key).orderBy(*order)
         return _apply(df, build(w))
     B = bucket_rows or default_bucket_rows(back, fwd)
-    d = dense_index(df, key, order)
-    idx = F.col("_idx")
-    lo = F.greatest(F.floor((idx - F.lit(fwd)) / F.lit(B)), F.lit(0))
-    hi = F.floor((idx + F.lit(back)) / F.lit(B))
-    d = d.withColumn("_bucket", F.explode(F.sequence(lo, hi)))
-    w = Window.partitionBy(key, "_bucket").orderBy("_idx")
+    d = df.withColumn("_blk", F.date_trunc(block_unit, F.col(order[0])))
+    meta = _bucket_ranges(d, key, B, back, fwd)
+    d = d.join(meta, [key, "_blk"], "inner")
+    d = d.withColumn("_bucket", F.explode(F.sequence("_clo", "_chi")))
+    w = Window.partitionBy(key, "_bucket").orderBy(*order)
     out = _apply(d, build(w))
-    home = F.floor(idx / F.lit(B)) == F.col("_bucket")
-    return out.where(home).drop("_bucket", "_idx")
+    return out.where(F.col("_home") == F.col("_bucket")).drop("_blk", "_home", "_clo", "_chi", "_bucket")
+
+
+def _bucket_ranges(d: DataFrame, key: str, B: int, back: int, fwd: int) -> DataFrame:
+    """Per (series, day): home bucket and the range of buckets that see the
+    day's rows.  Computed on the per-day count table only.
+
+    A day with rows [s, e) lives in bucket ``s div B``.  Bucket c starts at a
+    day boundary ≥ cB and ends before (c+1)B + m (m = largest day of the
+    series), so the day is needed by buckets ``(s − fwd − m) div B`` …
+    ``(e + back − 1) div B``; both bounds grow with the day, so every bucket
+    receives a contiguous run of days."""
+    counts = d.groupBy(key, "_blk").agg(F.count("*").alias("_c"))
+    run = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
+    e = F.sum("_c").over(run)
+    m = F.max("_c").over(Window.partitionBy(key))
+    t = counts.select(key, "_blk", (e - F.col("_c")).alias("_s"), e.alias("_e"), m.alias("_m"))
+    b = F.lit(B)
+    return t.select(
+        key, "_blk",
+        F.floor(F.col("_s") / b).alias("_home"),
+        F.greatest(F.floor((F.col("_s") - F.lit(fwd) - F.col("_m")) / b), F.lit(0)).alias("_clo"),
+        F.floor((F.col("_e") + F.lit(back - 1)) / b).alias("_chi"))
 
 
 # ---------------------------------------------------------------------------

@@ -420,7 +420,7 @@ def _train_forecast(spark, sf_dir, family):
     feat = _wide_features(spark, sf_dir, FT.ALL_NAMES, horizons=FT.HORIZONS)
     feat = M.persist_shared(feat)
     res = M.train_horizons(feat, FT.HORIZONS, family, cutoffs=(VAL_CUTOFF, TEST_CUTOFF),
-                           budget=0.02, min_train_rows=50)
+                           budget=0.02, min_train_rows=50, parallel=8)
     serving = FC.serving_frame(feat, tables.weather_forecast(spark, sf_dir), FT.HORIZONS)
     return FC.score_horizons(serving, {r.k: (r.model, r.features) for r in res})
 
