@@ -232,14 +232,14 @@ def _win_column(w, f: WinFeature):
     raise ValueError(f.kind)
 
 
-def _horizon_columns(w, horizons, target, available):
+def _horizon_columns(w, horizons, target, available, weather=True):
     cols = {}
     for k in horizons:
         lead = F.lead(F.col(target), k).over(w)
         cols[f"label_raw__k{k}"] = lead
         cols[f"label__k{k}"] = F.log1p(lead)
         cols[f"pm25_lagK__k{k}"] = F.lag(F.col(target), k).over(w)
-        for c in WEATHER_LEAD:
+        for c in WEATHER_LEAD if weather else ():
             if c in available:
                 cols[f"{c}_atK__k{k}"] = F.lead(F.col(c), k).over(w)
     return cols
@@ -256,7 +256,7 @@ def add_row_local(df: DataFrame, target: str = "PM25", ts: str = "ts") -> DataFr
 def build_features(df: DataFrame, names=None, horizons=(), target: str = "PM25",
                    key: str = "series_id", order=("ts",), clean: bool = True,
                    impute: bool = True, split: bool = True,
-                   bucket_rows: int | None = None) -> DataFrame:
+                   bucket_rows: int | None = None, horizon_weather: bool = True) -> DataFrame:
     """Feature table for ``names`` (default: the whole catalogue) and, for
     each K in ``horizons``, the label and +K columns suffixed ``__k{K}``.
 
@@ -278,7 +278,7 @@ def build_features(df: DataFrame, names=None, horizons=(), target: str = "PM25",
 
     def build(w):
         stage1 = {f.name: _win_column(w, f) for f in short}
-        stage1.update(_horizon_columns(w, horizons, target, set(df.columns)))
+        stage1.update(_horizon_columns(w, horizons, target, set(df.columns), horizon_weather))
         for f in long_:
             stage1.update(Wn.prefix_columns(w, f.src))
         stages = [stage1]

@@ -676,3 +676,5 @@ FROM slots"""
 
 
 SQL["run_slot_tables"] = _run_slots()
+
+SQL["ingest_observations"] = SQL["csv_roundtrip"]

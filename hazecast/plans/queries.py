@@ -61,9 +61,19 @@ def _long_features(spark, sf_dir, names):
     return round_doubles(out.select("series_id", "ts", "event_id", *names))
 
 
-def _wide_features(spark, sf_dir, names, horizons=()):
+def _wide_features(spark, sf_dir, names, horizons=(), horizon_weather=True):
     obs = tables.observations(spark, sf_dir)
-    return FT.build_features(obs, names, horizons=horizons)
+    return FT.build_features(obs, names, horizons=horizons, horizon_weather=horizon_weather)
+
+
+# --- J1 ingest ----------------------------------------------------------------
+
+@register("ingest_observations")
+def ingest_observations(spark, sf_dir):
+    """Weather × air quality merge (N1), six-pollutant AQI and dominant
+    pollutant (F8), canonical columns, landed as the observation table that
+    the later jobs of the session read."""
+    return round_doubles(tables.observations(spark, sf_dir))
 
 
 # --- J5 history rollups -----------------------------------------------------
@@ -347,11 +357,10 @@ LINEITEM_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linen
 def spearman_target(spark, sf_dir):
     """M7: |Spearman| of each numeric lineitem column with the target
     l_extendedprice (ranks with averaged ties, computed on the executors)."""
-    from hazecast.operators.selection import correlation_frame, corr_matrix
+    from hazecast.operators.selection import rank_correlation
     li = tables.table(spark, sf_dir, "lineitem")
     feats = [c for c in LINEITEM_NUM if c != "l_extendedprice"]
-    m = corr_matrix(li, feats + ["l_extendedprice"], "spearman")
-    return round_doubles(correlation_frame(spark, feats + ["l_extendedprice"], m, target="l_extendedprice"))
+    return round_doubles(rank_correlation(li, feats, "l_extendedprice"))
 
 
 @register("pearson_matrix")
@@ -380,7 +389,7 @@ def prune_features(spark, sf_dir):
 
 def _persistence(spark, sf_dir):
     from hazecast.operators import evaluate as EV
-    feat = _wide_features(spark, sf_dir, ["pm25_current"], horizons=FT.HORIZONS)
+    feat = _wide_features(spark, sf_dir, ["pm25_current"], horizons=FT.HORIZONS, horizon_weather=False)
     return EV.metrics_by_split(EV.persistence_predictions(feat, FT.HORIZONS, VAL_CUTOFF, TEST_CUTOFF))
 
 

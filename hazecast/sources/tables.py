@@ -96,13 +96,43 @@ def merge_weather_air(weather: DataFrame, air: DataFrame) -> DataFrame:
     return weather.join(air, ["series_id", "ts"], "inner")
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ingest_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ingest job J1 on the stand-ins: merge → six-pollutant AQI → canonical
     column order."""
     merged = merge_weather_air(weather_hourly(spark, sf_dir), air_quality_hourly(spark, sf_dir))
     return with_overall_aqi(merged).select(*OBS_ORDER)
 
 
+_LANDED: dict[tuple, str] = {}
+
+
+def observations(spark: SparkSession, sf_dir: str, landed: bool = True) -> DataFrame:
+    """The observation table as downstream jobs read it.
+
+    As in the reference (ingest writes the history file that training,
+    serving and rollups read), J1 runs once per session and input: its result
+    is written as parquet to the shared checkpoint folder, clustered by
+    (series_id, ts), and every later job scans that table – short lineage,
+    fast planning, and nothing to recompute after an executor loss.
+    ``landed=False`` returns the ingest plan itself."""
+    if not landed:
+        return ingest_observations(spark, sf_dir)
+    import os
+    from hazecast.session import shared_dir
+    src = f"{sf_dir.rstrip('/')}/events.parquet"
+    stamp = os.path.getmtime(src) if os.path.exists(src) else None
+    key = (spark.sparkContext.applicationId, sf_dir, stamp)
+    path = _LANDED.get(key)
+    if path is None:
+        path = shared_dir(spark, "observations")
+        # files sorted by (series_id, ts): tight min/max statistics for
+        # series and time-range pruning on every later scan
+        (ingest_observations(spark, sf_dir).sortWithinPartitions("series_id", "ts")
+         .write.mode("overwrite").parquet(path))
+        _LANDED[key] = path
+    return spark.read.parquet(path)
+
+
 def orders_daily_aqi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multi-year series for the monthly/yearly rollups: per order priority
     (series) and order date, PM2.5-equivalent = o_totalprice / 1000 → AQI."""
