@@ -678,3 +678,9 @@ FROM slots"""
 SQL["run_slot_tables"] = _run_slots()
 
 SQL["ingest_observations"] = SQL["csv_roundtrip"]
+
+SQL["forecast_payload"] = ("WITH " + WEATHER + "\nSELECT 'events' AS series_id, ts AS valid_ts, "
+                           + ", ".join(f"{r4(c)} AS {a}" for a, c in
+                                       [("temp", "Temperature"), ("humid", "Relative_Humidity"),
+                                        ("precip", "Precipitation"), ("wind", "Wind_Speed"),
+                                        ("press", "Pressure"), ("blh", "BLH")]) + " FROM weather")

@@ -418,22 +418,42 @@ def leaderboard(spark, sf_dir):
     return round_doubles(EV.leaderboard(_persistence(spark, sf_dir), spark))
 
 
+_TRAINED: dict = {}
+
+
+def _trained(spark, sf_dir, family):
+    """Train one pipeline per horizon on the panel's training split.
+    Smoke budget: 2 % of the per-K trees / iterations of the parameter
+    tables, at least 2 (``budget=1.0`` runs the full table); pruning and the
+    importance refit are as in the library default.  The feature table and
+    the fitted models are kept for the session, so the forecast and the
+    evaluation queries of one family share one training run."""
+    from hazecast.operators import models as M
+    key = (spark.sparkContext.applicationId, sf_dir, family)
+    if key not in _TRAINED:
+        feat = M.persist_shared(_wide_features(spark, sf_dir, FT.ALL_NAMES, horizons=FT.HORIZONS))
+        res = M.train_horizons(feat, FT.HORIZONS, family, cutoffs=(VAL_CUTOFF, TEST_CUTOFF),
+                               budget=0.02, min_train_rows=50, parallel=8)
+        _TRAINED[key] = (feat, res)
+    return _TRAINED[key]
+
+
 def _train_forecast(spark, sf_dir, family):
-    """Train one pipeline per horizon on the panel's training split and score
-    the newest row of every series.  Smoke budget: 2 % of the per-K trees /
-    iterations of the parameter tables, at least 2 (``budget=1.0`` runs the
-    full table); every other step – pruning, importance refit – is as in
-    the library default."""
+    """Score the newest row of every series for every trained horizon."""
     from hazecast.operators import forecast as FC
-    from hazecast.operators import models as M
-    feat = _wide_features(spark, sf_dir, FT.ALL_NAMES, horizons=FT.HORIZONS)
-    feat = M.persist_shared(feat)
-    res = M.train_horizons(feat, FT.HORIZONS, family, cutoffs=(VAL_CUTOFF, TEST_CUTOFF),
-                           budget=0.02, min_train_rows=50, parallel=8)
+    feat, res = _trained(spark, sf_dir, family)
     serving = FC.serving_frame(feat, tables.weather_forecast(spark, sf_dir), FT.HORIZONS)
     return FC.score_horizons(serving, {r.k: (r.model, r.features) for r in res})
 
 
+def _train_eval(spark, sf_dir, family):
+    """M11 + F29: rmse per split, gap and test R² of every trained horizon."""
+    from hazecast.operators import evaluate as EV
+    from hazecast.operators import models as M
+    _, res = _trained(spark, sf_dir, family)
+    return round_doubles(EV.with_flags(M.evaluate(res, spark)))
+
+
 @register("gbt_forecast")
 def gbt_forecast(spark, sf_dir):
     return _train_forecast(spark, sf_dir, "gbt")
@@ -449,6 +469,21 @@ def ridge_forecast(spark, sf_dir):
     return _train_forecast(spark, sf_dir, "linear")
 
 
+@register("gbt_eval")
+def gbt_eval(spark, sf_dir):
+    return _train_eval(spark, sf_dir, "gbt")
+
+
+@register("rf_eval")
+def rf_eval(spark, sf_dir):
+    return _train_eval(spark, sf_dir, "rf")
+
+
+@register("ridge_eval")
+def ridge_eval(spark, sf_dir):
+    return _train_eval(spark, sf_dir, "linear")
+
+
 # --- serving (L2, L4, T1, A11, M15, N3, N4, N5, A6, S4–S9) -------------------
 
 @register("latest_row")
@@ -547,6 +582,17 @@ def forecast_document(spark, sf_dir):
                        "display_dt", "label")
 
 
+@register("forecast_payload")
+def forecast_payload(spark, sf_dir):
+    """Weather-forecast payloads (parallel arrays per series and day) →
+    (series_id, valid_ts, temp, humid, precip, wind, press, blh)."""
+    from hazecast.schema import FORECAST_RENAME
+    from hazecast.sources import payloads as PL
+    fc = tables.weather_forecast(spark, sf_dir).withColumnRenamed("valid_ts", "ts")
+    pl = PL.build_payloads(fc, FORECAST_RENAME)
+    return round_doubles(PL.forecast_rows(pl))
+
+
 @register("payload_explode")
 def payload_explode(spark, sf_dir):
     """Hourly panel → API payloads (one per series and day, parallel
