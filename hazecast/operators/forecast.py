@@ -31,6 +31,8 @@ SLOT_DAYS = [1, 2]
 NAIVE_STEP = 0.1            # naive fallback adds 0.1 per horizon hour
 NAIVE_WINDOW = 24
 REALTIME_WINDOW = 8
+# next-hour record when nothing can be predicted: label, css class, colour
+NO_DATA = ("Không có dữ liệu", "unknown", "#9e9e9e")
 
 # forecast field → feature name at horizon K (serving side of `_atK`)
 FORECAST_TO_ATK = {"temp": "Temperature_atK", "wind": "Wind_Speed_atK",
@@ -211,7 +213,27 @@ def next_hour(slots: DataFrame, history: DataFrame, as_of: DataFrame, value="PM2
                    .otherwise("error").alias("source"),
                    F.date_format("next_hour", "HH:00").alias("hour_str"))
     cat = aqi_category("aqi")
-    return out.withColumns({"label": cat["label"], "css_class": cat["css_class"], "color": cat["color"]})
+    err = F.col("source") == "error"
+    # M16 error record when a series has neither a slot nor history
+    return out.withColumns({
+        "aqi": F.when(err, F.lit(0)).otherwise(F.col("aqi")),
+        "pm25": F.when(err, F.lit(0.0)).otherwise(F.col("pm25")),
+        "label": F.when(err, F.lit(NO_DATA[0])).otherwise(cat["label"]),
+        "css_class": F.when(err, F.lit(NO_DATA[1])).otherwise(cat["css_class"]),
+        "color": F.when(err, F.lit(NO_DATA[2])).otherwise(cat["color"])})
+
+
+def slots_for_day(slots: DataFrame, day_index: int | None) -> DataFrame:
+    """Slots of one display day (0 or 1); ``None`` keeps all."""
+    return slots if day_index is None else slots.where(F.col("day_index") == day_index)
+
+
+def slot_days(slots: DataFrame, key="series_id") -> DataFrame:
+    """The sorted distinct display days per series with their date
+    label and AQI range (one row per day tab)."""
+    return (slots.groupBy(key, "base_ts", "day_index")
+            .agg(F.min("date_str").alias("date_str"), F.min("aqi").alias("aqi_min"),
+                 F.max("aqi").alias("aqi_max"), F.count("*").alias("n_slots")))
 
 
 def slot_stats(slots: DataFrame, key="series_id") -> DataFrame:

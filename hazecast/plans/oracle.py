@@ -606,6 +606,7 @@ FROM slots GROUP BY 1, 2"""
 
 def _next_hour() -> str:
     from hazecast.functions import aqi as A
+    from hazecast.operators.forecast import NO_DATA
     cb = A.CATEGORY_BANDS[:-1] + [(None,) + A.CATEGORY_BANDS[-1][1:]]
 
     def nn(e):
@@ -625,10 +626,12 @@ o AS (SELECT h.series_id, h.next_hour,
              CASE WHEN h.aqi IS NOT NULL THEN 'slot' WHEN fb.fb IS NOT NULL THEN 'realtime' ELSE 'error' END AS source,
              strftime(h.next_hour, '%H:00') AS hour_str
       FROM hit h LEFT JOIN fb USING (series_id))
-SELECT series_id, next_hour, aqi, {r4('pm25')} AS pm25, source, hour_str,
-       {nn(_band_sql('aqi', cb, lambda b: _q(b[1])))} AS label,
-       {nn(_band_sql('aqi', cb, lambda b: _q(b[2])))} AS css_class,
-       {nn(_band_sql('aqi', cb, lambda b: _q(b[3])))} AS color FROM o"""
+SELECT series_id, next_hour, CASE WHEN source = 'error' THEN 0 ELSE aqi END AS aqi,
+       {r4("CASE WHEN source = 'error' THEN 0.0 ELSE pm25 END")} AS pm25, source, hour_str,
+       CASE WHEN source = 'error' THEN {_q(NO_DATA[0])} ELSE {nn(_band_sql('aqi', cb, lambda b: _q(b[1])))} END AS label,
+       CASE WHEN source = 'error' THEN {_q(NO_DATA[1])} ELSE {nn(_band_sql('aqi', cb, lambda b: _q(b[2])))} END AS css_class,
+       CASE WHEN source = 'error' THEN {_q(NO_DATA[2])} ELSE {nn(_band_sql('aqi', cb, lambda b: _q(b[3])))} END AS color
+FROM o"""
 
 
 SQL["next_hour_lookup"] = _next_hour()
@@ -684,3 +687,7 @@ SQL["forecast_payload"] = ("WITH " + WEATHER + "\nSELECT 'events' AS series_id,
                                        [("temp", "Temperature"), ("humid", "Relative_Humidity"),
                                         ("precip", "Precipitation"), ("wind", "Wind_Speed"),
                                         ("press", "Pressure"), ("blh", "BLH")]) + " FROM weather")
+
+SQL["slot_days"] = _slots_cte() + """
+SELECT series_id, base_ts, day_index, min(date_str) AS date_str, min(aqi) AS aqi_min,
+       max(aqi) AS aqi_max, count(*) AS n_slots FROM slots GROUP BY 1, 2, 3"""

@@ -559,6 +559,15 @@ def slot_stats(spark, sf_dir):
     return FC.slot_stats(FC.slots_nearest(_naive(spark, sf_dir)))
 
 
+@register("slot_days")
+def slot_days(spark, sf_dir):
+    """P14 + L9: per series the display days (day 0 and day 1 tabs) of the
+    nearest slots with date label and AQI range."""
+    from hazecast.operators import forecast as FC
+    slots = FC.slots_nearest(_naive(spark, sf_dir))
+    return FC.slot_days(FC.slots_for_day(slots, None))
+
+
 @register("next_hour_lookup")
 def next_hour_lookup(spark, sf_dir):
     """Slot for the hour after each series' last observation, else

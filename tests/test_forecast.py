@@ -61,3 +61,19 @@ def test_weather_fallback(spark):
     out = {r["K"]: r for r in FC.weather_at_horizon(base, fc, [1, 2]).collect()}
     assert out[1]["temp_fK"] == 20.0 and out[1]["humid_fK"] == 50.0      # null value → fallback
     assert out[2]["temp_fK"] == 10.0                                     # missing hour → fallback
+
+
+def test_next_hour_paths(spark):
+    """slot hit / realtime fallback (mean of newest 8) / error record."""
+    t = dt.datetime(2024, 1, 1, 10)
+    slots = spark.createDataFrame(
+        [("a", t + dt.timedelta(hours=1, minutes=20), t + dt.timedelta(hours=14), 120, 40.0)],
+        "series_id string, forecast_dt timestamp_ntz, target_dt timestamp_ntz, aqi int, pm25 double")
+    hist = spark.createDataFrame([("a", t, 1.0)] + [("b", t - dt.timedelta(hours=i), float(i)) for i in range(10)],
+                                 "series_id string, ts timestamp_ntz, PM25 double")
+    as_of = spark.createDataFrame([("a", t), ("b", t), ("c", t)], "series_id string, as_of timestamp_ntz")
+    out = {r["series_id"]: r for r in FC.next_hour(slots, hist, as_of).collect()}
+    assert out["a"]["source"] == "slot" and out["a"]["aqi"] == 120
+    assert out["b"]["source"] == "realtime" and out["b"]["pm25"] == round(sum(range(8)) / 8, 2)
+    assert out["c"]["source"] == "error" and out["c"]["aqi"] == 0 and out["c"]["css_class"] == "unknown"
+    assert out["a"]["hour_str"] == "11:00"
