@@ -14,4 +14,20 @@ metrics.  Sub-packages:
 
 from hazecast.session import get_spark, shared_dir
 
+
+def _pickle_by_value() -> None:
+    """Python functions shipped to executors (the grouped-map pandas step)
+    are serialised with their code, so executors need no installed copy of
+    this package – the same effect as ``--py-files`` without staging files."""
+    try:
+        import sys
+
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # noqa: BLE001 - older cloudpickle: rely on --py-files
+        pass
+
+
+_pickle_by_value()
+
 __all__ = ["get_spark", "shared_dir"]
