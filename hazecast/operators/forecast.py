@@ -143,8 +143,9 @@ def slots_nearest(pred: DataFrame, key="series_id") -> DataFrame:
     nearest forecast_dt, ties to the earlier one – an as-of join."""
     bases = pred.select(key, "base_ts").distinct()
     targets = slot_targets(bases, key)
-    m = asof_nearest(targets, pred.select(key, "forecast_dt", "K", "pm25", "aqi"), [key],
-                     "target_dt", "forecast_dt", ["K", "pm25", "aqi"])
+    # one as-of group per (series, run): ≤ 16 targets + 17 predictions
+    m = asof_nearest(targets, pred.select(key, "base_ts", "forecast_dt", "K", "pm25", "aqi"),
+                     [key, "base_ts"], "target_dt", "forecast_dt", ["K", "pm25", "aqi"])
     return _slot_columns(m)
 
 

@@ -29,7 +29,8 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys, left_ts: str, right_ts
     at-or-after come from ``last/first(ignorenulls)`` over running frames and
     the nearer one wins (``tie='earlier'``: the earlier right row on equal
     distance).  Left rows travel through the union as a struct, so no join
-    back is needed.
+    back is needed.  Each ``keys`` group is one window partition: choose keys
+    that bound it (e.g. series and forecast run for slot matching).
     """
     keys = list(keys)
     lcols = list(left.columns)

@@ -27,11 +27,13 @@ def _write_batch(path: str):
     return fn
 
 
-def file_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """A file-source stream over ``<directory>/<name>.parquet`` files."""
+def file_stream(spark: SparkSession, directory: str, name: str,
+                max_files_per_trigger: int = 64) -> DataFrame:
+    """A file-source stream over ``<directory>/<name>.parquet`` files with an
+    explicit schema; ``max_files_per_trigger`` bounds each micro-batch."""
     schema = spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet").schema
     return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(directory))
+            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(directory))
 
 
 def resolve_latest(versions: DataFrame, keys, order_cols) -> DataFrame:
