@@ -2,8 +2,9 @@
 
 All functions are compiled ``CASE WHEN`` chains, so they stay inside
 whole-stage codegen.  Rounding: the reference uses Python's half-even
-``round``; we use ``bround`` (HALF_EVEN on the decimal form of the double),
-which agrees with Python on every exactly representable tie.
+``round``; we round half-even on the scaled double (``bround(x·10)/10``),
+which agrees with Python on every exactly representable tie and gives the
+same answer in every engine.
 """
 
 from __future__ import annotations
@@ -169,16 +170,16 @@ def overall_aqi(cols: dict | None = None) -> tuple[Column, Column]:
 
 
 def with_overall_aqi(df, cols: dict | None = None):
-    """Adds AQI and AQI_Pollutant; the sub-indices are computed once in a
-    projection below so the greatest/coalesce step does not repeat them."""
+    """Adds AQI and AQI_Pollutant.  Two projections: the six sub-indices are
+    computed once, then the maximum and the first pollutant reaching it –
+    the CASE chains are never duplicated into the later expressions."""
     cols = cols or {p: p for p, _ in POLLUTANT_ORDER}
-    subs = {f"_sub_{p}": sub_index(cols[p], p) for p, _ in POLLUTANT_ORDER}
-    out = df.withColumns(subs)
-    best = F.greatest(*[F.col(f"_sub_{p}") for p, _ in POLLUTANT_ORDER])
-    out = out.withColumn("AQI", best)
-    dominant = F.coalesce(*[F.when(F.col(f"_sub_{p}") == F.col("AQI"), F.lit(name))
-                            for p, name in POLLUTANT_ORDER])
-    return out.withColumn("AQI_Pollutant", dominant).drop(*subs.keys())
+    subs = [sub_index(cols[p], p).alias(f"_sub_{p}") for p, _ in POLLUTANT_ORDER]
+    out = df.select("*", *subs)
+    sub = {p: F.col(f"_sub_{p}") for p, _ in POLLUTANT_ORDER}
+    best = F.greatest(*sub.values())
+    dominant = F.coalesce(*[F.when(sub[p] == best, F.lit(name)) for p, name in POLLUTANT_ORDER])
+    return out.select(*[F.col(c) for c in df.columns], best.alias("AQI"), dominant.alias("AQI_Pollutant"))
 
 
 def pm25_to_aqi_simple(c) -> Column:
