@@ -610,13 +610,18 @@ def forecast_payload(spark, sf_dir):
 @register("payload_explode")
 def payload_explode(spark, sf_dir):
     """Hourly panel → API payloads (one per series and day, parallel
-    arrays) → rows again, renamed to the canonical names."""
+    arrays) landed as JSON files → scanned with the explicit payload schema
+    → rows again, renamed to the canonical names."""
     from hazecast.schema import AIR_QUALITY_RENAME
     from hazecast.sources import payloads as PL
     air = tables.air_quality_hourly(spark, sf_dir).select(
         "series_id", "ts", "PM25", "PM10", "NO2", "O3", "CO", "SO2")
+    from hazecast.session import shared_dir
     pl = PL.build_payloads(air, AIR_QUALITY_RENAME)
-    back = PL.explode_payload(pl, AIR_QUALITY_RENAME)
+    path = shared_dir(spark, "aq-payloads")
+    pl.write.mode("overwrite").json(path)                    # landed payload files
+    landed = PL.read_payloads(spark, path, list(AIR_QUALITY_RENAME))
+    back = PL.explode_payload(landed, AIR_QUALITY_RENAME)
     return round_doubles(back.select("series_id", "ts", "PM25", "PM10", "NO2", "O3", "CO", "SO2"))
 
 
