@@ -20,6 +20,18 @@ DEFAULT_CONF = {
 }
 
 
+# Cluster sizing (applied when running under spark-submit, i.e. no master
+# given): ~256 MB scan splits and post-shuffle partitions, a high initial
+# shuffle width that AQE coalesces, and skew splitting for hot keys.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+    "spark.sql.shuffle.partitions": "4000",
+}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "hazecast", extra: dict | None = None) -> SparkSession:
     """Return (or create) a session with the engine defaults.
@@ -31,6 +43,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         b = b.master(master)
         b = b.config("spark.ui.enabled", "false")
     conf = dict(DEFAULT_CONF)
+    if not master:
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
