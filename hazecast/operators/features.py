@@ -112,6 +112,7 @@ WEATHER_LEAD = ["Temperature", "Wind_Speed", "Relative_Humidity", "Pressure",
 HORIZONS = list(range(1, 50, 3))          # 1, 4, ..., 49
 HORIZON_NORM = 49.0
 
+# Feature-name sets of the three horizon strategies.
 RAIN_FEATS = ["hours_since_rain", "rain_acc_6h", "rain_acc_12h", "rain_acc_24h",
               "rain_washout", "is_rainy_season", "wind_rainy_interact",
               "blh_rainy_interact", "precip_trend"]

@@ -691,3 +691,7 @@ SQL["forecast_payload"] = ("WITH " + WEATHER + "\nSELECT 'events' AS series_id,
 SQL["slot_days"] = _slots_cte() + """
 SELECT series_id, base_ts, day_index, min(date_str) AS date_str, min(aqi) AS aqi_min,
        max(aqi) AS aqi_max, count(*) AS n_slots FROM slots GROUP BY 1, 2, 3"""
+
+SQL["stream_daily_rollup"] = f"""SELECT event_type AS series_id, date_trunc('day', ts) AS ts,
+       count(*) AS n, {r4('sum(value)')} AS sum_value, {r4('max(value)')} AS max_value
+FROM events GROUP BY 1, 2"""

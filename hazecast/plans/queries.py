@@ -642,6 +642,14 @@ def stream_hourly_rollup(spark, sf_dir):
     return round_doubles(run(spark, sf_dir))
 
 
+@register("stream_daily_rollup")
+def stream_daily_rollup(spark, sf_dir):
+    """T4: the daily rollup maintained by the same stream (1-day windows,
+    1-day watermark)."""
+    from hazecast.streaming.incremental import stream_hourly_rollup as run
+    return round_doubles(run(spark, sf_dir, watermark="1 day", window="1 day"))
+
+
 # --- sources / sinks / tables (P4b, S1, S8, S17, N7, F28) --------------------
 
 LOCAL_TZ = "America/Sao_Paulo"   # DST started at local midnight in 1995–2001
