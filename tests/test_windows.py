@@ -118,3 +118,23 @@ def test_localize_dst(spark):
     df = spark.createDataFrame(rows, "ts timestamp_ntz")
     got = [r[0] for r in df.select(localize("ts", "America/New_York")).collect()]
     assert got == [None, None, dt.datetime(2024, 6, 1, 12, 0)]
+
+
+def test_no_lookahead(spark, sf_small):
+    """Features at row t are unchanged when every row after t is removed
+    (only labels and the +K columns may look ahead)."""
+    import datetime as dt
+    obs = tables.observations(spark, sf_small)
+    cut = dt.datetime(2024, 1, 20)
+    names = [n for n in FT.ALL_NAMES if n != "days_since_start"]
+    full = FT.build_features(obs, names, split=True, bucket_rows=19)
+    part = FT.build_features(obs.where(F.col("ts") <= F.lit(cut)), names, split=True, bucket_rows=19,
+                             impute=False)
+    full_imp = FT.build_features(obs.where(F.col("ts") <= F.lit(cut)), names, split=False,
+                                 impute=False)
+    # imputation uses whole-history medians, so compare on the un-imputed build
+    _compare(part, full_imp, ["ts"])
+    plain_all = FT.build_features(obs, names, split=False, impute=False)
+    early = plain_all.where(F.col("ts") <= F.lit(cut))
+    _compare(part, early, ["ts"])
+    assert full.count() >= part.count()
