@@ -257,7 +257,8 @@ def add_row_local(df: DataFrame, target: str = "PM25", ts: str = "ts") -> DataFr
 def build_features(df: DataFrame, names=None, horizons=(), target: str = "PM25",
                    key: str = "series_id", order=("ts",), clean: bool = True,
                    impute: bool = True, split: bool = True,
-                   bucket_rows: int | None = None, horizon_weather: bool = True) -> DataFrame:
+                   bucket_rows: int | None = None, horizon_weather: bool = True,
+                   days_per_bucket: int = 8) -> DataFrame:
     """Feature table for ``names`` (default: the whole catalogue) and, for
     each K in ``horizons``, the label and +K columns suffixed ``__k{K}``.
 
@@ -288,7 +289,7 @@ def build_features(df: DataFrame, names=None, horizons=(), target: str = "PM25",
         return stages
 
     out = Wn.series_windows(df, build, back=back, fwd=fwd, key=key, order=order,
-                            bucket_rows=bucket_rows, split=split)
+                            bucket_rows=bucket_rows, split=split, days_per_bucket=days_per_bucket)
     out = out.drop(*[c for c in out.columns if c.startswith("_cs_") or c.startswith("_cn_")])
     if derived:
         out = out.withColumns({n: F.expr(DERIVED[n]) for n in derived})

@@ -64,7 +64,7 @@ def _apply(df: DataFrame, stages) -> DataFrame:
 def series_windows(df: DataFrame, build: Callable[[WindowSpec], dict | list],
                    back: int, fwd: int = 0, key: str = "series_id", order=("ts",),
                    bucket_rows: int | None = None, split: bool = True,
-                   block_unit: str = "day") -> DataFrame:
+                   block_unit: str = "day", days_per_bucket: int = 8) -> DataFrame:
     """Add the window columns returned by ``build(w)`` – one dict, or a list
     of dicts applied in order when later columns read earlier ones (all
     stages share the partitioning and sort, so they add no exchange).
@@ -80,7 +80,7 @@ def series_windows(df: DataFrame, build: Callable[[WindowSpec], dict | list],
         return _apply(df, build(w))
     B = bucket_rows or default_bucket_rows(back, fwd)
     d = df.withColumn("_blk", F.date_trunc(block_unit, F.col(order[0])))
-    meta = _bucket_ranges(d, key, B, back, fwd)
+    meta = _bucket_ranges(d, key, B, back, fwd, days_per_bucket)
     d = d.join(meta, [key, "_blk"], "inner")
     d = d.withColumn("_bucket", F.explode(F.sequence("_clo", "_chi")))
     w = Window.partitionBy(key, "_bucket").orderBy(*order)
@@ -88,7 +88,8 @@ def series_windows(df: DataFrame, build: Callable[[WindowSpec], dict | list],
     return out.where(F.col("_home") == F.col("_bucket")).drop("_blk", "_home", "_clo", "_chi", "_bucket")
 
 
-def _bucket_ranges(d: DataFrame, key: str, B: int, back: int, fwd: int) -> DataFrame:
+def _bucket_ranges(d: DataFrame, key: str, B: int, back: int, fwd: int,
+                   days_per_bucket: int = 8) -> DataFrame:
     """Per (series, day): home bucket and the range of buckets that see the
     day's rows.  Computed on the per-day count table only.
 
@@ -96,13 +97,15 @@ def _bucket_ranges(d: DataFrame, key: str, B: int, back: int, fwd: int) -> DataF
     day boundary ≥ cB and ends before (c+1)B + m (m = largest day of the
     series), so the day is needed by buckets ``(s − fwd − m) div B`` …
     ``(e + back − 1) div B``; both bounds grow with the day, so every bucket
-    receives a contiguous run of days."""
+    receives a contiguous run of days.  B is raised per series to at least
+    ``days_per_bucket`` × m, so a very dense series (huge days) is still
+    copied at most ~``1 + 1/days_per_bucket + (back + fwd)/B`` times."""
     counts = d.groupBy(key, "_blk").agg(F.count("*").alias("_c"))
     run = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
     e = F.sum("_c").over(run)
     m = F.max("_c").over(Window.partitionBy(key))
     t = counts.select(key, "_blk", (e - F.col("_c")).alias("_s"), e.alias("_e"), m.alias("_m"))
-    b = F.lit(B)
+    b = F.greatest(F.lit(B), F.col("_m") * F.lit(days_per_bucket))
     return t.select(
         key, "_blk",
         F.floor(F.col("_s") / b).alias("_home"),

@@ -51,7 +51,7 @@ def test_halo_buckets_equal_plain_windows(spark, sf_small):
         "pm25_anomaly_score", "is_spike", "pm25_level_ratio"]
     df = _long(spark, sf_small)
     kw = dict(order=("ts", "event_id"), impute=False, horizons=[1, 7])
-    split = FT.build_features(df, names, split=True, bucket_rows=23, **kw)
+    split = FT.build_features(df, names, split=True, bucket_rows=23, days_per_bucket=1, **kw)
     plain = FT.build_features(df, names, split=False, **kw)
     _compare(split, plain, ["event_id"])
 
@@ -59,7 +59,7 @@ def test_halo_buckets_equal_plain_windows(spark, sf_small):
 def test_halo_on_panel_with_impute(spark, sf_small):
     obs = tables.observations(spark, sf_small)
     names = ["pm25_lag1", "blh_roll24_mean", "hours_since_rain", "rain_acc_24h", "dispersion_idx"]
-    split = FT.build_features(obs, names, horizons=[4], split=True, bucket_rows=17)
+    split = FT.build_features(obs, names, horizons=[4], split=True, bucket_rows=17, days_per_bucket=1)
     plain = FT.build_features(obs, names, horizons=[4], split=False)
     _compare(split, plain, ["ts"])
 
@@ -127,9 +127,9 @@ def test_no_lookahead(spark, sf_small):
     obs = tables.observations(spark, sf_small)
     cut = dt.datetime(2024, 1, 20)
     names = [n for n in FT.ALL_NAMES if n != "days_since_start"]
-    full = FT.build_features(obs, names, split=True, bucket_rows=19)
+    full = FT.build_features(obs, names, split=True, bucket_rows=19, days_per_bucket=1)
     part = FT.build_features(obs.where(F.col("ts") <= F.lit(cut)), names, split=True, bucket_rows=19,
-                             impute=False)
+                             impute=False, days_per_bucket=1)
     full_imp = FT.build_features(obs.where(F.col("ts") <= F.lit(cut)), names, split=False,
                                  impute=False)
     # imputation uses whole-history medians, so compare on the un-imputed build
@@ -138,3 +138,19 @@ def test_no_lookahead(spark, sf_small):
     early = plain_all.where(F.col("ts") <= F.lit(cut))
     _compare(part, early, ["ts"])
     assert full.count() >= part.count()
+
+
+
+def test_bucket_replication_bounded(spark, sf_small):
+    """Dense days: with the per-series minimum bucket (8 days) a day is copied
+    into at most a few buckets, and results still equal the plain window."""
+    df = _long(spark, sf_small)
+    d = df.withColumn("_blk", F.date_trunc("day", "ts"))
+    meta = Wn._bucket_ranges(d, "series_id", 5, 24, 1, days_per_bucket=8)
+    spans = [r["_chi"] - r["_clo"] + 1 for r in meta.collect()]
+    assert max(spans) <= 3
+    names = ["pm25_lag24", "pm25_roll24_mean"]
+    kw = dict(order=("ts", "event_id"), impute=False)
+    a = FT.build_features(df, names, split=True, bucket_rows=5, **kw)
+    b = FT.build_features(df, names, split=False, **kw)
+    _compare(a, b, ["event_id"])
