@@ -2,10 +2,9 @@
 
 Each query reads the driver tables (or data Spark derives from them) in full.
 Column names match the oracle SQL in ``plans.oracle``.  Doubles produced by
-floating aggregation or windows are rounded to 4 decimals with an
-engine-independent rule (``numeric.round_dp``) so the order-insensitive
-value hash is stable across Spark and DuckDB; reference-facing rollups keep
-their 1-decimal rounding.
+floating aggregation or windows are snapped to a 2^-20 grid
+(``numeric.snap``) so the order-insensitive value hash is stable across Spark
+and DuckDB; reference-facing 1-decimal rollups are rounded exactly.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import types as T
 
 from hazecast.functions import aqi as A
 from hazecast.functions.calendar import hour_floor
-from hazecast.functions.numeric import round_dp, snap
+from hazecast.functions.numeric import snap
 from hazecast.operators import clean, features as FT, rollups
 from hazecast.sources import tables
 

@@ -3,7 +3,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from hazecast.operators import features as FT
 from hazecast.operators import models as M

@@ -3,7 +3,6 @@ foreachBatch sink resolving to the newest version per key."""
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from hazecast.session import shared_dir
 from hazecast.streaming.incremental import dedupe_stream, resolve_latest
