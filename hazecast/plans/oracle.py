@@ -695,3 +695,44 @@ SELECT series_id, base_ts, day_index, min(date_str) AS date_str, min(aqi) AS aqi
 SQL["stream_daily_rollup"] = f"""SELECT event_type AS series_id, date_trunc('day', ts) AS ts,
        count(*) AS n, {r4('sum(value)')} AS sum_value, {r4('max(value)')} AS max_value
 FROM events GROUP BY 1, 2"""
+
+
+def _greedy_slots() -> str:
+    """Greedy unique slot assignment as a recursive CTE: step n takes the
+    nearest prediction (ties: earlier forecast) whose K is not yet used."""
+    from hazecast.functions import aqi as A
+    from hazecast.operators.forecast import SLOT_DAYS, SLOT_HOURS
+    offs = ", ".join(f"({d - 1}, {d * 24 + h})" for d in SLOT_DAYS for h in SLOT_HOURS)
+    cb = A.CATEGORY_BANDS[:-1] + [(None,) + A.CATEGORY_BANDS[-1][1:]]
+
+    def nn(e):
+        return f"CASE WHEN aqi IS NULL THEN NULL ELSE {e} END"
+    return "WITH RECURSIVE " + _naive_cte("last_ts") + f""",
+offs(day_index, off) AS (VALUES {offs}),
+tg AS (SELECT b.series_id, b.base_ts, date_trunc('day', b.base_ts) + to_hours(offs.off) AS target_dt,
+              offs.day_index, row_number() OVER (PARTITION BY b.series_id, b.base_ts ORDER BY offs.off) AS step
+       FROM (SELECT DISTINCT series_id, base_ts FROM pred) b CROSS JOIN offs),
+g(series_id, base_ts, step, used, K, pm25, aqi, forecast_dt, target_dt, day_index) AS (
+  SELECT DISTINCT series_id, base_ts, 0, CAST([] AS INTEGER[]), CAST(NULL AS INTEGER), CAST(NULL AS DOUBLE),
+         CAST(NULL AS INTEGER), CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP), CAST(NULL AS INTEGER)
+  FROM pred
+  UNION ALL
+  SELECT series_id, base_ts, step, list_append(used, K), K, pm25, aqi, forecast_dt, target_dt, day_index FROM (
+    SELECT g.series_id, g.base_ts, t.step, g.used, p.K, p.pm25, p.aqi, p.forecast_dt, t.target_dt, t.day_index,
+           row_number() OVER (PARTITION BY g.series_id, g.base_ts
+             ORDER BY abs(epoch_us(p.forecast_dt) - epoch_us(t.target_dt)), p.forecast_dt) AS rn
+    FROM g JOIN tg t ON t.series_id = g.series_id AND t.base_ts = g.base_ts AND t.step = g.step + 1
+           JOIN pred p ON p.series_id = g.series_id AND p.base_ts = g.base_ts
+    WHERE NOT list_contains(g.used, p.K)) WHERE rn = 1)
+SELECT series_id, base_ts, target_dt, day_index, K, pm25, aqi, forecast_dt,
+       strftime(target_dt, '%d/%m %Hh') AS display_dt,
+       strftime(target_dt, '%A, %d/%m/%Y %H:%M') AS display_full,
+       strftime(target_dt, '%H:00') AS hour_str,
+       strftime(date_trunc('day', target_dt), '%d/%m') AS date_str,
+       {nn(_band_sql('aqi', cb, lambda b: _q(b[1])))} AS label,
+       {nn(_band_sql('aqi', cb, lambda b: _q(b[2])))} AS css_class,
+       {nn(_band_sql('aqi', cb, lambda b: _q(b[3])))} AS color
+FROM g WHERE step > 0"""
+
+
+SQL["slots_greedy"] = _greedy_slots()
