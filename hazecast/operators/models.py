@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -133,21 +134,26 @@ def train_horizon(feat: DataFrame, k: int, family: str, cutoffs: tuple[str, str]
     names = [c for c in FT.horizon_features(k) if c in hk.columns]
     hk = drop_incomplete(hk, names + ["label", "label_raw"])
     hk = hk.withColumn("split", split_label(val_cut, test_cut))
-    train = hk.where(F.col("split") == "train")
-    n_tr = train.count()
-    if n_tr < min_train_rows:
-        return None
-    chosen = prune(train, names)[0] if prune_corr else names
-    params = scaled_budget(FAMILIES[family](k), budget)
-    model = pipeline(family, chosen, params).fit(train)
-    if prune_importance and family in ("gbt", "rf"):
-        imps = model.stages[-1].featureImportances.toArray()
-        imp_kept = [f for f, v in zip(chosen, imps) if v >= MIN_IMPORTANCE]
-        if len(imp_kept) < 5:
-            imp_kept = chosen
-        if len(imp_kept) < len(chosen):
-            chosen = imp_kept
-            model = pipeline(family, chosen, params).fit(train)
+    # the slice is scanned by the count, both correlation passes and every
+    # fit: keep it (memory, spilling to disk) for the life of this horizon
+    train = hk.where(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n_tr = train.count()
+        if n_tr < min_train_rows:
+            return None
+        chosen = prune(train, names)[0] if prune_corr else names
+        params = scaled_budget(FAMILIES[family](k), budget)
+        model = pipeline(family, chosen, params).fit(train)
+        if prune_importance and family in ("gbt", "rf"):
+            imps = model.stages[-1].featureImportances.toArray()
+            imp_kept = [f for f, v in zip(chosen, imps) if v >= MIN_IMPORTANCE]
+            if len(imp_kept) < 5:
+                imp_kept = chosen
+            if len(imp_kept) < len(chosen):
+                chosen = imp_kept
+                model = pipeline(family, chosen, params).fit(train)
+    finally:
+        train.unpersist()
     return HorizonResult(k, chosen, model, {"n_train": n_tr, "split_frame": hk})
 
 

@@ -433,9 +433,14 @@ def _trained(spark, sf_dir, family):
     the fitted models are kept for the session, so the forecast and the
     evaluation queries of one family share one training run."""
     from hazecast.operators import models as M
-    key = (spark.sparkContext.applicationId, sf_dir, family)
+    app = spark.sparkContext.applicationId
+    fkey = (app, sf_dir, "features")
+    if fkey not in _TRAINED:          # one checkpointed feature table for all families
+        _TRAINED[fkey] = M.persist_shared(_wide_features(spark, sf_dir, FT.ALL_NAMES,
+                                                         horizons=FT.HORIZONS))
+    feat = _TRAINED[fkey]
+    key = (app, sf_dir, family)
     if key not in _TRAINED:
-        feat = M.persist_shared(_wide_features(spark, sf_dir, FT.ALL_NAMES, horizons=FT.HORIZONS))
         res = M.train_horizons(feat, FT.HORIZONS, family, cutoffs=(VAL_CUTOFF, TEST_CUTOFF),
                                budget=0.02, min_train_rows=50, parallel=8)
         _TRAINED[key] = (feat, res)
