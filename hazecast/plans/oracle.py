@@ -736,3 +736,60 @@ FROM g WHERE step > 0"""
 
 
 SQL["slots_greedy"] = _greedy_slots()
+
+
+def _prune() -> str:
+    """M7 + M8 on the K=1 training slice: Spearman by average ranks, Pearson
+    over kept pairs, and the greedy redundancy loop as a recursive CTE over
+    the ordered pairs (outer skip decided at the first pair of each i)."""
+    from hazecast.operators import features as FT
+    names = FT.horizon_features(1)
+    ren = {"label": "label__k1", "label_raw": "label_raw__k1", "pm25_lagK": "pm25_lagK__k1",
+           "horizon_norm": f"CAST({1 / FT.HORIZON_NORM!r} AS DOUBLE)"}
+    ren.update({f"{c}_atK": f"{c}_atK__k1" for c in FT.WEATHER_LEAD})
+    body = feature_sql(FT.ALL_NAMES, True, horizons=[1], out_cols="*").replace("\nSELECT * FROM l2", "\n")
+    body = "WITH RECURSIVE " + body[len("WITH "):]
+    cols = ", ".join(f"CAST({ren.get(n, n)} AS DOUBLE) AS {n}" for n in names)
+    complete = " AND ".join(f"{ren.get(c, c)} IS NOT NULL" for c in names + ["label", "label_raw"])
+    ranks = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r_{c}"
+                      for c in names + ["label"])
+    sp = " UNION ALL ".join(f"SELECT '{c}' AS feature, {i} AS ord, corr(r_{c}, r_label) AS sp FROM rk"
+                            for i, c in enumerate(names))
+    unpiv = ", ".join(names)
+    return body + f""",
+tr AS (SELECT {cols}, CAST(label__k1 AS DOUBLE) AS label FROM l2 WHERE {complete} AND {SPLIT} = 'train'),
+rk AS (SELECT {ranks} FROM tr),
+st1 AS (SELECT feature, ord, CASE WHEN isnan(sp) THEN NULL ELSE sp END AS sp FROM ({sp})),
+flag AS (SELECT *, sp IS NOT NULL AND abs(sp) >= 0.05 AS pass FROM st1),
+keep AS (SELECT feature, ord, sp FROM flag WHERE pass OR (SELECT count_if(pass) FROM flag) < 5),
+keepn AS (SELECT *, row_number() OVER (ORDER BY ord) AS k FROM keep),
+lng AS (SELECT rid, feature, value FROM (SELECT row_number() OVER () AS rid, * FROM tr)
+        UNPIVOT (value FOR feature IN ({unpiv}))),
+pc AS (SELECT a.feature AS fa, b.feature AS fb, corr(a.value, b.value) AS r
+       FROM lng a JOIN lng b USING (rid)
+       WHERE a.feature IN (SELECT feature FROM keep) AND b.feature IN (SELECT feature FROM keep)
+       GROUP BY 1, 2),
+pairs AS (SELECT ka.k AS ia, kb.k AS ib, ka.feature AS fa, kb.feature AS fb, pc.r,
+                 abs(ka.sp) AS ta, abs(kb.sp) AS tb,
+                 row_number() OVER (ORDER BY ka.k, kb.k) AS p
+          FROM keepn ka JOIN keepn kb ON ka.k < kb.k
+               JOIN pc ON pc.fa = ka.feature AND pc.fb = kb.feature),
+g(p, dropped, skip_i) AS (
+  SELECT 0, CAST([] AS VARCHAR[]), false
+  UNION ALL
+  SELECT pr.p,
+         CASE WHEN (CASE WHEN pr.ib = pr.ia + 1 THEN list_contains(g.dropped, pr.fa) ELSE g.skip_i END)
+                   OR list_contains(g.dropped, pr.fb)
+                   OR NOT coalesce(abs(pr.r) > 0.97 AND NOT isnan(pr.r), false)
+              THEN g.dropped
+              ELSE list_append(g.dropped, CASE WHEN pr.ta >= pr.tb THEN pr.fb ELSE pr.fa END) END,
+         CASE WHEN pr.ib = pr.ia + 1 THEN list_contains(g.dropped, pr.fa) ELSE g.skip_i END
+  FROM g JOIN pairs pr ON pr.p = g.p + 1),
+fin AS (SELECT dropped FROM g ORDER BY p DESC LIMIT 1)
+SELECT f.feature,
+       f.feature IN (SELECT feature FROM keep) AND NOT list_contains((SELECT dropped FROM fin), f.feature) AS kept,
+       f.feature IN (SELECT feature FROM keep) AS passed_target
+FROM flag f WHERE (SELECT count(*) FROM tr) >= 200"""
+
+
+SQL["prune_features"] = _prune()

@@ -377,18 +377,27 @@ def pearson_matrix(spark, sf_dir):
 
 @register("prune_features")
 def prune_features(spark, sf_dir):
-    """M7 + M8 on the K=1 training slice of the panel: which SHORT features
-    survive target-correlation and redundancy pruning."""
+    """M7 + M8 on the K=1 training slice of the panel: which features pass the
+    target-correlation stage and which survive redundancy pruning.
+
+    The selection is reported, not the correlation values: rolling sums such
+    as ``rain_acc_24h`` hold many values that tie exactly in real arithmetic
+    but differ by an ulp depending on summation order, which moves average
+    ranks in the last digits between engines.  The correlation operators are
+    checked value by value in ``spearman_target`` and ``pearson_matrix``."""
     from hazecast.operators.selection import prune
     feat = _wide_features(spark, sf_dir, FT.ALL_NAMES, horizons=[1])
     k1 = FT.horizon_frame(feat, 1)
     names = [c for c in FT.horizon_features(1) if c in k1.columns]
     k1 = clean.drop_incomplete(k1, names + ["label", "label_raw"])
+    from hazecast.operators.models import MIN_TRAIN_ROWS
     train = k1.where(clean.split_label(VAL_CUTOFF, TEST_CUTOFF) == "train")
+    schema = "feature string, kept boolean, passed_target boolean"
+    if train.count() < MIN_TRAIN_ROWS:            # P15: the horizon is skipped
+        return spark.createDataFrame([], schema)
     kept, info = prune(train, names)
-    rows = [(n, n in kept, n in info["stage1"], float(info["target_corr"][n])) for n in names]
-    df = spark.createDataFrame(rows, "feature string, kept boolean, passed_target boolean, spearman double")
-    return df.withColumn("spearman", F.nanvl("spearman", F.lit(None).cast("double")))
+    rows = [(n, n in kept, n in info["stage1"]) for n in names]
+    return spark.createDataFrame(rows, schema)
 
 
 def _persistence(spark, sf_dir):

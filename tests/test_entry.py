@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as E  # noqa: E402
 
 ROWS_ONLY = {"gbt_forecast", "rf_forecast", "ridge_forecast", "gbt_eval", "rf_eval", "ridge_eval",
-             "prune_features"}
+             }
 
 
 def test_entry_runs(spark):
