@@ -17,6 +17,10 @@ DEFAULT_CONF = {
     # explicit broadcasts are guarded by size checks (see operators.joins);
     # keep Spark's own threshold at its default 10 MB
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
+    # the feature plans are wide (hundreds of columns): keep the driver from
+    # retaining thousands of full plan descriptions across a long session
+    "spark.sql.ui.retainedExecutions": "50",
+    "spark.sql.maxPlanStringLength": str(256 * 1024),
 }
 
 
