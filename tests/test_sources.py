@@ -36,3 +36,15 @@ def test_documents_backfill_display(spark):
     r = PL.read_documents(spark, d).collect()[0]
     assert r["display_dt"] == "02/01 03h"
     assert r["display_full"] == "Tuesday, 02/01/2024 03:00"
+
+
+def test_write_table_formats(spark):
+    """Result tables written as parquet, CSV (header) and JSON."""
+    df = spark.createDataFrame([(1, 8.76, "good"), (4, 15.7, "fair")], "K int, rmse double, flag string")
+    for fmt in ("parquet", "csv", "json"):
+        path = shared_dir(spark, f"table-{fmt}")
+        PL.write_table(df, path, fmt)
+        reader = spark.read.option("header", True)
+        back = getattr(reader, fmt)(path)
+        got = sorted((int(r["K"]), float(r["rmse"]), r["flag"]) for r in back.collect())
+        assert got == [(1, 8.76, "good"), (4, 15.7, "fair")], fmt
