@@ -16,9 +16,14 @@ from hazecast.session import ensure_checkpoint_dir, shared_dir
 
 #: Words of the contracts: runs of anything but space and \x09-\x0D.  On UTF-8
 #: bytes this is what ``bytes.split()`` gives.
+#: (Java and RE2 read it alike.)
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
+#: Buckets of the bitmap that keeps most rows of a table out of a join.
+BUCKETS = 1 << 18
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, the
     files survive the loss of executors and nothing is computed twice."""
@@ -52,10 +57,20 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
 
 
-def text_key(text: Column) -> Column:
-    """128-bit key of a text (null like the empty text) as two longs."""
+def text_key(text: Column) -> dict[str, Column]:
+    """128-bit key of a text (null like the empty text) as columns k1, k2."""
     t = F.coalesce(text, F.lit(""))
-    return F.struct(F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(1), t, F.length(t)).alias("k2"))
+    return {"k1": F.xxhash64(t), "k2": F.xxhash64(F.lit(1), t, F.length(t))}
+
+
+def marked(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` (with k1) with ``possible``: whether the bucket of the text's key holds
+    a key of ``keys``.  The broadcast side has at most ``BUCKETS`` rows."""
+    def bucket(c: str):
+        return F.pmod(F.col(c), F.lit(BUCKETS)).cast("int")
+    held = keys.select(bucket("k1").alias("bucket"), F.lit(True).alias("held")).distinct()
+    return (docs.withColumn("bucket", bucket("k1")).join(F.broadcast(held), "bucket", "left")
+            .withColumn("possible", F.coalesce("held", F.lit(False))).drop("bucket", "held"))
 
 
 def valid_vector(c: Column) -> Column:
@@ -65,21 +80,50 @@ def valid_vector(c: Column) -> Column:
     return F.coalesce(finite & F.exists(d, lambda x: x != 0.0), F.lit(False))
 
 
-def vectors_of(column: pa.Array) -> np.ndarray:
-    """An Arrow list column of valid vectors as a double matrix; lengths must
-    agree (shorter ones are padded with zeros)."""
+def vector_classes(embeddings: DataFrame, *more: str) -> DataFrame:
+    """Rows with a valid vector and the 128-bit key (k1, k2) of its content and
+    of the columns ``more``; identical vectors share the key."""
+    c = F.col("embedding")
+    return (embeddings.select("vec_id", "embedding", *more).where(valid_vector(c))
+            .withColumns({"k1": F.xxhash64(c, *more), "k2": F.xxhash64(F.lit(1), c, *more)}))
+
+
+def dimension(vectors: DataFrame) -> int:
+    """The largest vector length; shorter ones count as padded with zeros."""
+    return vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+
+
+def vectors_of(column: pa.Array, dim: int) -> np.ndarray:
+    """An Arrow list column of valid vectors as a double matrix of ``dim``
+    columns."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = np.asarray(column.flatten(), dtype=np.float64)
     lengths = np.asarray(column.value_lengths(), dtype=np.int64)
-    if len(lengths) == 0:
-        return np.zeros((0, 0))
-    if (lengths == lengths[0]).all():
-        return flat.reshape(len(lengths), -1)
-    out = np.zeros((len(lengths), lengths.max()))
-    out[np.arange(out.shape[1]) < lengths[:, None]] = flat
+    if len(lengths) and (lengths == dim).all():
+        return flat.reshape(len(lengths), dim)
+    out = np.zeros((len(lengths), dim))
+    out[np.arange(dim) < lengths[:, None]] = flat
     return out
 
 
+def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
+    """Lloyd's centroids of a bounded sample."""
+    rng = np.random.default_rng(seed)
+    centres = x[rng.permutation(len(x))[:k]].copy()
+    for _ in range(rounds):
+        own = nearest(x, centres)[0]
+        sums, n = np.zeros_like(centres), np.bincount(own, minlength=len(centres))
+        np.add.at(sums, own, x)
+        centres[n > 0] = sums[n > 0] / n[n > 0, None]
+    return centres
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre of each row, and all squared distances."""
+    d = (x * x).sum(1)[:, None] + (centres * centres).sum(1) - 2 * (x @ centres.T)
+    return d.argmin(1), np.maximum(d, 0)
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.Table]:
     """Re-cut a partition sorted by ``key`` into tables that end where a key
     ends and hold at least ``least`` rows (the last may be shorter)."""

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazecast.llm import (best_fit_pack, simhash_dedup, source_mix, token_counts, url_filter)
+from hazecast.llm import (ann_forest, best_fit_pack, language_id, pq_dedup, quality_knn, simhash_dedup,
+                          source_mix, substring_dedup, token_counts, url_filter)
 from hazecast.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,7 @@ QUERIES: dict[str, Query] = {}
 
 #: Rows of an Arrow batch: texts can be long, so few of them travel at once.
 TEXT_BATCH = 512
+VECTOR_BATCH = 4096
 
 
 def vocabulary(name: str) -> str:
@@ -23,10 +25,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-def register(name: str):
+def register(name: str, batch: int = TEXT_BATCH):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
             return fn(spark, sf_dir)
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         QUERIES[name] = run
@@ -48,6 +50,34 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_by_source(table(spark, sf_dir, "documents"))
 
 
+@register("op3_ann_forest", VECTOR_BATCH)
+def op3_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every vector whose id is divisible by 50."""
+    found = ann_forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+@register("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words kept of all documents when repeated 35-word windows go."""
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def fold(modulus: int):
+    """The fold of a document: crc32 of its id as text."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+@register("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned outside fold 2 of 4."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(fold(4) != 2).select("text", "lang"))
+    out = language_id.predict(docs, model, spans=False)
+    return out.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 @register("op6_best_fit_pack")
 def op6_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
@@ -60,6 +90,22 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
 
 
+@register("op8_quality_knn")
+def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned outside fold 0 of 5."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(fold(5) != 0).select("doc_id", F.col("quality").alias("label"))
+    model = quality_knn.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    out = quality_knn.score(docs, model)
+    return out.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@register("op9_pq_dedup", VECTOR_BATCH)
+def op9_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all vectors of equal label."""
+    return pq_dedup.duplicate_groups(table(spark, sf_dir, "embeddings"))
+
+
 @register("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""

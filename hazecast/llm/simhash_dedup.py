@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazecast.llm.common import connected_components, materialize, runs, words
+from hazecast.llm.common import connected_components, marked, materialize, runs, text_key, words
 
 SHINGLE = 4
 RADIUS = 4
@@ -67,12 +67,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every document; fp is the fingerprint as a signed long."""
+    """(doc_id, k1, k2, fp) of every document: the key of its text and its
+    fingerprint as a signed long."""
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, "doc_id long, fp long")
+            fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(3)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fp.view(np.int64))], ["doc_id", "k1", "k2", "fp"])
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    read = read.withColumns(text_key(F.col("text"))).select("doc_id", "k1", "k2", "text")
+    return read.mapInArrow(batches, "doc_id long, k1 long, k2 long, fp long")
 
 
 def field_keys(fp: Column, radius: int) -> Column:
@@ -199,15 +202,42 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TIL
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
-                       tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document."""
+def _grouped(docs: DataFrame, shingle: int, radius: int, tile_rows: int) -> DataFrame:
+    """(doc_id, k1, k2, fp, part, component_id) of every document."""
     own = materialize(with_fingerprints(docs, shingle), "fingerprints")
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     parts = connected_components(fingerprint_links(nodes.select("fp"), radius, tile_rows))
     nodes = (nodes.join(parts, F.col("fp") == F.col("node"), "left")
              .select("fp", "least", F.coalesce("component", "fp").alias("part")))
     least = nodes.groupBy("part").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(least, "part").select("fp", "component_id")
-    return own.join(nodes, "fp").select(
+    return own.join(nodes.join(least, "part").select("fp", "part", "component_id"), "fp")
+
+
+def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
+                       tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document."""
+    return _grouped(docs, shingle, radius, tile_rows).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """The documents of which one of each component stays: the smallest
+    doc_id (null last, then by text key), and one of equal rows.
+
+    Only documents whose key bucket holds a row to drop are joined; the
+    others pass without a shuffle of their texts.
+    """
+    rows = materialize(_grouped(docs, shingle, radius, tile_rows)
+                       .groupBy("part", "doc_id", "k1", "k2").agg(F.count("*").alias("times")), "groups")
+    me = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")
+    first = rows.groupBy("part").agg(F.min(me).alias("lead"))
+    marks = (rows.join(first, "part").withColumn("stays", me == F.col("lead")).where("not stays or times > 1")
+             .select(F.col("doc_id").alias("m_id"), F.col("k1").alias("m1"), F.col("k2").alias("m2"), "stays"))
+    marks = materialize(marks, "marks")
+    keyed = marked(docs.withColumns(text_key(F.col("text").cast("string"))), marks.select(F.col("m1").alias("k1")))
+    clear = keyed.where("not possible").select(*docs.columns)
+    joined = keyed.where("possible").join(
+        marks, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left")
+    single = joined.where("stays is null").select(*docs.columns)
+    equal = joined.where("stays").dropDuplicates(["doc_id", "k1", "k2"]).select(*docs.columns)
+    return clear.unionByName(single).unionByName(equal)
