@@ -18,7 +18,7 @@ evidence.  Ties go to the language first by code point.
 from __future__ import annotations
 
 import re
-import zlib
+import uuid
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -32,6 +32,7 @@ from hazecast.llm.common import worker_cache
 
 PER_LANGUAGE = 1_500
 GRAMS = (1, 2, 3, 4)
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BUCKETS = 1 << 15
 SWITCH = 12.0
 #: Least share of a language's letters in a script for it to be a candidate.
@@ -63,11 +64,15 @@ def letters(word: str) -> str:
     return "".join(_LETTERS.findall(word)).lower()
 
 
-def grams(word: str, buckets: int) -> list[int]:
-    """Buckets of the character n-grams of a word's letters."""
-    data = f"^{word}$"
-    return [zlib.crc32(data[i:i + n].encode("utf-8", "replace")) % buckets
-            for n in GRAMS for i in range(len(data) - n + 1)]
+def grams(low: str, buckets: int) -> np.ndarray:
+    """Buckets of the character n-grams of a word's letters, its ends marked."""
+    points = np.frombuffer(f"^{low}$".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    out, code = [], points
+    for n in GRAMS:
+        if n > 1:
+            code = code[:-1] * _MULTIPLIER + points[n - 1:]
+        out.append((code * _MULTIPLIER >> np.uint64(40)) % np.uint64(buckets))
+    return np.concatenate(out).astype(np.int64)
 
 
 class Model:
@@ -78,7 +83,7 @@ class Model:
 
     def word(self, low: str) -> np.ndarray:
         """Scores of the languages for a word's lower-case letters."""
-        allowed = self.scripts.get(Counter(map(script, low[:256])).most_common(1)[0][0])
+        allowed = self.scripts.get("latin" if low.isascii() else Counter(map(script, low[:256])).most_common(1)[0][0])
         if allowed is None:
             return np.zeros(len(self.languages), np.float32)
         s = self.scores[grams(low, len(self.scores))].mean(axis=0) * min(len(low), 12)
@@ -93,15 +98,19 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, buckets: int =
               .where("lang is not null and text is not null").withColumn("n", order).where(F.col("n") <= per_language))
 
     def counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        heard: dict[str, Counter] = {}
         for b in it:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = Counter(low for w in text.split() if (low := letters(w)))
-                for low, n in own.items():
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
+                heard.setdefault(lang, Counter()).update(text.as_py().split())
+        seen: Counter = Counter()
+        for lang, own in heard.items():
+            found = np.zeros(buckets, np.int64)
+            for w, n in own.items():
+                if low := letters(w):
                     for c, k in Counter(map(script, low)).items():
                         seen[lang, -1, c] += k * n
-                    for g in grams(low, buckets):
-                        seen[lang, g, ""] += n
+                    np.add.at(found, grams(low, buckets), n)
+            seen.update({(lang, int(g), ""): int(found[g]) for g in np.flatnonzero(found)})
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()),
              pa.array([k[2] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
@@ -197,7 +206,6 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH, carry: Sequen
             spans: bool = True) -> DataFrame:
     """doc_id, lang_pred, score, spans (and the columns of ``carry``, each with
     a ``_`` before its name); a span is consecutive words of one language."""
-    import uuid
     name = f"word_scores:{uuid.uuid4().hex}"
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.scores, model.scripts))
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
