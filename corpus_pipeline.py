@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hazecast.llm import best_fit_pack, language_id, simhash_dedup, source_mix, substring_dedup
 from hazecast.llm.common import WORD_RE, materialize
-from hazecast.llm.queries import TEXT_BATCH, fold, vocabulary
+from hazecast.llm.queries import PATH_BATCH, TEXT_BATCH, fold, vocabulary
 from hazecast.sources.tables import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,15 +23,15 @@ LEAST_SHARE = 0.5
 ORACLE_SQL = None       # learned languages and hashed selections: tested against a brute-force version
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+def _documents(docs: DataFrame, batch: int = TEXT_BATCH) -> DataFrame:
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     return docs.select(*COLUMNS)
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language stay; texts without letters and texts in
     which no language has half of the letters go."""
-    docs = _documents(docs)
+    docs = _documents(docs, PATH_BATCH)
     model = language_id.train(docs.where(fold(4) != 2).select("text", "lang"))
     out = language_id.predict(docs, model, carry=REST, spans=False)
     stays = (F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SHARE)

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazecast.session import ensure_checkpoint_dir, shared_dir
@@ -52,6 +52,18 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").split() if text else []
 
 
+def bounded_sample(labelled: DataFrame, by: str, n: int) -> DataFrame:
+    """(``by``, text): at most ``n`` different texts of each value of ``by``,
+    those with the smallest hashes.  They are chosen on narrow rows (each map
+    task passes on ``n`` a value) and only their texts are moved."""
+    rows = labelled.select(by, "text").where(F.col(by).isNotNull() & F.col("text").isNotNull())
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("h"))
+    chosen = rows.select(by, "h").distinct().withColumn("place", place).where(F.col("place") <= n).select(by, "h")
+    chosen = F.broadcast(chosen)                        # n rows a value
+    return rows.join(chosen, [by, "h"]).groupBy(by, "h").agg(F.first("text").alias("text")).select(by, "text")
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text column in the JVM (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")

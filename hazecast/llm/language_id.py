@@ -25,19 +25,21 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazecast.llm.common import worker_cache
+from hazecast.llm.common import bounded_sample, worker_cache
 
-PER_LANGUAGE = 1_500
+PER_LANGUAGE = 1_000
 GRAMS = (1, 2, 3, 4)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BUCKETS = 1 << 15
 SWITCH = 12.0
 #: Least share of a language's letters in a script for it to be a candidate.
 SCRIPT_SHARE = 0.01
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
+#: Words scored at once, and the characters from which a word is cut.
+CHUNK_WORDS, LONG_WORD = 16_384, 256
 UND = "und"
 
 # First code points of the ranges of scripts (Unicode blocks).
@@ -51,85 +53,107 @@ SCRIPT_STARTS = (
     (0xFB50, "arabic"), (0xFE00, "other"), (0xFF21, "latin"), (0xFF66, "kana"), (0xFFA0, "other"),
     (0x20000, "han"), (0x30000, "other"),
 )
-_STARTS = [a for a, _ in SCRIPT_STARTS]
-_NAMES = [b for _, b in SCRIPT_STARTS]
+SCRIPTS = sorted({name for _, name in SCRIPT_STARTS})
+_STARTS = np.array([a for a, _ in SCRIPT_STARTS])
+_SCRIPT_OF = np.array([SCRIPTS.index(name) for _, name in SCRIPT_STARTS])
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def script(letter: str) -> str:
-    return _NAMES[bisect_right(_STARTS, ord(letter)) - 1]
+def letters(word: str) -> str:
+    return word.lower() if word.isalpha() else "".join(_LETTERS.findall(word)).lower()
 
 
-def letters(word: str) -> str:
-    return "".join(_LETTERS.findall(word)).lower()
+def script_places(points: np.ndarray) -> np.ndarray:
+    """Place in ``SCRIPTS`` of the script of each code point."""
+    return _SCRIPT_OF[np.searchsorted(_STARTS, points, side="right") - 1]
 
 
-def grams(low: str, buckets: int) -> np.ndarray:
-    """Buckets of the character n-grams of a word's letters, its ends marked."""
-    points = np.frombuffer(f"^{low}$".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    out, code = [], points
-    for n in GRAMS:
-        if n > 1:
-            code = code[:-1] * _MULTIPLIER + points[n - 1:]
-        out.append((code * _MULTIPLIER >> np.uint64(40)) % np.uint64(buckets))
-    return np.concatenate(out).astype(np.int64)
+class Grams:
+    """Buckets of the character n-grams of many words at once, ends marked."""
 
+    def __init__(self, lows: list[str], buckets: int):
+        text = "".join(f"^{low}$" for low in lows)
+        self.points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        self.size = np.fromiter(map(len, lows), np.int64, len(lows))
+        self.word = np.repeat(np.arange(len(lows)), self.size + 2)
+        self.buckets = np.uint64(buckets)
 
-class Model:
-    """Log-likelihoods [bucket, language] and candidates by script."""
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(word, bucket) of the n-grams of each length."""
+        points = code = self.points.astype(np.uint64)
+        for n in GRAMS:
+            if n > 1:
+                code = code[:-1] * _MULTIPLIER + points[n - 1:]
+            inside = self.word[:len(code)] == self.word[n - 1:]
+            yield self.word[:len(code)][inside], ((code[inside] * _MULTIPLIER >> np.uint64(40)) % self.buckets).astype(np.int64)
 
-    def __init__(self, languages: Sequence[str], scores: np.ndarray, scripts: dict[str, np.ndarray]):
-        self.languages, self.scores, self.scripts = list(languages), scores, scripts
+    def scripts(self) -> np.ndarray:
+        """[word, script] numbers of letters."""
+        letter = np.ones(len(self.points), bool)
+        ends = np.cumsum(self.size + 2)
+        letter[ends - 1] = letter[ends - self.size - 2] = False
+        at = self.word[letter] * len(SCRIPTS) + script_places(self.points[letter])
+        return np.bincount(at, minlength=len(self.size) * len(SCRIPTS)).reshape(-1, len(SCRIPTS))
 
-    def word(self, low: str) -> np.ndarray:
-        """Scores of the languages for a word's lower-case letters."""
-        allowed = self.scripts.get("latin" if low.isascii() else Counter(map(script, low[:256])).most_common(1)[0][0])
-        if allowed is None:
-            return np.zeros(len(self.languages), np.float32)
-        s = self.scores[grams(low, len(self.scores))].mean(axis=0) * min(len(low), 12)
-        s = s - s[allowed].max()
-        return np.where(allowed, np.maximum(s, -30), -60).astype(np.float32)
+
+class Model:
+    """Log-likelihoods [bucket, language] and candidates [script, language]."""
+
+    def __init__(self, languages: Sequence[str], scores: np.ndarray, candidates: np.ndarray):
+        self.languages, self.scores, self.candidates = list(languages), scores, candidates
+
+    def words(self, lows: list[str]) -> np.ndarray:
+        """[word, language] scores of the letters of words (none: zeros)."""
+        g = Grams(lows, len(self.scores))
+        total, n = np.zeros((len(lows), len(self.languages))), np.zeros(len(lows))
+        for word, bucket in g:
+            n += np.bincount(word, minlength=len(lows))
+            for k in range(len(self.languages)):
+                total[:, k] += np.bincount(word, self.scores[bucket, k], len(lows))
+        s = total / np.maximum(n, 1)[:, None] * np.minimum(g.size, 12)[:, None]
+        allowed = self.candidates[g.scripts().argmax(1)]
+        s = s - np.where(allowed, s, -np.inf).max(1, initial=-1e9)[:, None]
+        s = np.where(allowed, np.maximum(s, -30), -60)
+        s[(g.size == 0) | ~allowed.any(1)] = 0
+        return s.astype(np.float32)
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, buckets: int = BUCKETS) -> Model:
     """Learn from columns text and lang of a bounded sample."""
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    sample = (labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-              .where("lang is not null and text is not null").withColumn("n", order).where(F.col("n") <= per_language))
+    sample = bounded_sample(labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")),
+                            "lang", per_language)
 
     def counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heard: dict[str, Counter] = {}
         for b in it:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
                 heard.setdefault(lang, Counter()).update(text.as_py().split())
-        seen: Counter = Counter()
+        out: list[list] = [[], [], []]
         for lang, own in heard.items():
-            found = np.zeros(buckets, np.int64)
-            for w, n in own.items():
-                if low := letters(w):
-                    for c, k in Counter(map(script, low)).items():
-                        seen[lang, -1, c] += k * n
-                    np.add.at(found, grams(low, buckets), n)
-            seen.update({(lang, int(g), ""): int(found[g]) for g in np.flatnonzero(found)})
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()),
-             pa.array([k[2] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
-            ["lang", "bucket", "script", "n"])
-
-    rows = (sample.select("lang", "text").mapInArrow(counts, "lang string, bucket int, script string, n long")
-            .groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n")).toArrow().to_pydict())
+            lows, times = [letters(w) for w in own], np.array(list(own.values()))
+            found = np.zeros(buckets + len(SCRIPTS), np.int64)           # n-grams, then letters by script
+            for i in range(0, len(lows), CHUNK_WORDS):
+                g, n = Grams(lows[i:i + CHUNK_WORDS], buckets), times[i:i + CHUNK_WORDS]
+                found[buckets:] += (g.scripts() * n[:, None]).sum(0)
+                for word, bucket in g:
+                    found[:buckets] += np.bincount(bucket, n[word] * (g.size[word] > 0), buckets).astype(np.int64)
+            some = np.flatnonzero(found)
+            for column, v in zip(out, ([lang] * len(some), some, found[some])):
+                column.extend(v)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())],
+                                         ["lang", "bucket", "n"])
+
+    rows = (sample.select("lang", "text").mapInArrow(counts, "lang string, bucket int, n long")
+            .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict())
     languages = sorted(set(rows["lang"]), key=lambda s: s.encode())
     place = {x: i for i, x in enumerate(languages)}
-    found, scripts = np.zeros((buckets, len(languages))), {}
-    for lang, bucket, name, n in zip(rows["lang"], rows["bucket"], rows["script"], rows["n"]):
-        if bucket >= 0:
-            found[bucket, place[lang]] += n
-        else:
-            scripts.setdefault(name, np.zeros(len(languages)))[place[lang]] += n
-    used = sum(scripts.values()) if scripts else 1
-    scripts = {k: v >= SCRIPT_SHARE * used for k, v in scripts.items() if (v >= SCRIPT_SHARE * used).any()}
-    scores = np.log((found + 0.5) / (found.sum(0) + 0.5 * buckets)).astype(np.float32) if languages else found
-    return Model(languages, scores, scripts)
+    found = np.zeros((buckets + len(SCRIPTS), len(languages)))
+    for lang, bucket, n in zip(rows["lang"], rows["bucket"], rows["n"]):
+        found[bucket, place[lang]] = n
+    used = found[buckets:]
+    candidates = (used > 0) & (used >= SCRIPT_SHARE * used.sum(0))
+    scores = np.log((found[:buckets] + 0.5) / (found[:buckets].sum(0) + 0.5 * buckets)).astype(np.float32)
+    return Model(languages, scores, candidates)
 
 
 class WordScores:
@@ -141,28 +165,34 @@ class WordScores:
 
     def clear(self) -> None:
         self.rows: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(self.model.languages)), np.float32)
-        self.letters = np.zeros(1024, np.int64)
-
-    def row(self, word: str) -> int:
-        low, at = letters(word), len(self.rows)
-        if at == len(self.letters):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        if low:
-            self.scores[at], self.letters[at] = self.model.word(low), len(low)
-        self.rows[word] = at
-        return at
-
-    def of(self, text: str) -> np.ndarray:
-        """Rows of the words of a text."""
-        get, row = self.rows.get, self.row
-        return np.array([i if (i := get(w)) is not None else row(w) for w in text.split()], np.int64)
+        self.scores = np.zeros((0, len(self.model.languages)), np.float32)
+        self.letters = np.zeros(0, np.int64)
+
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        """Rows of the words of each text, new words scored together."""
+        split = [self.split(t) for t in texts]
+        new = list(dict.fromkeys(w for t in split for w in t if w not in self.rows))
+        lows = [letters(w) for w in new]
+        scores = [self.model.words(lows[i:i + CHUNK_WORDS]) for i in range(0, len(lows), CHUNK_WORDS)]
+        self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+        self.scores = np.concatenate([self.scores, *scores])
+        self.letters = np.concatenate([self.letters, np.fromiter(map(len, lows), np.int64, len(lows))])
+        return [np.fromiter(map(self.rows.__getitem__, t), np.int64, len(t)) for t in split]
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """Words; those over ``LONG_WORD`` characters in pieces."""
+        w = text.split()
+        if max(map(len, w), default=0) <= LONG_WORD:
+            return w
+        return [x[i:i + LONG_WORD] for x in w for i in range(0, len(x), LONG_WORD)]
 
 
 def viterbi(scores: np.ndarray, rows: list[np.ndarray], switch: float) -> list[np.ndarray]:
     """The best language of every word of several texts at once; each step
     handles one word of every text that is long enough."""
+    if not scores.shape[1]:
+        return [np.zeros(len(r), np.int64) for r in rows]
     by = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
     size = np.array([len(rows[i]) for i in by])
     flat = np.concatenate([rows[i] for i in by]) if len(by) else np.empty(0, np.int64)
@@ -207,7 +237,7 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH, carry: Sequen
     """doc_id, lang_pred, score, spans (and the columns of ``carry``, each with
     a ``_`` before its name); a span is consecutive words of one language."""
     name = f"word_scores:{uuid.uuid4().hex}"
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.scores, model.scripts))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.scores, model.candidates))
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        *(F.col(c).alias(f"_{c}") for c in carry))
     columns = ["doc_id", *(f"_{c}" for c in carry)]
@@ -218,7 +248,7 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH, carry: Sequen
         for b in it:
             if len(cache.rows) > CACHE_WORDS:
                 cache.clear()
-            rows = [cache.of(t.as_py() or "") if languages else np.empty(0, np.int64) for t in b.column("text")]
+            rows = cache.of([t.as_py() or "" if languages else "" for t in b.column("text")])
             pred, score, found = [], [], []
             for r, path in zip(rows, viterbi(cache.scores, rows, switch)):
                 weight = np.bincount(path, cache.letters[r], max(1, len(languages)))

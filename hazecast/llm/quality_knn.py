@@ -26,12 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazecast.llm.common import worker_cache
+from hazecast.llm.common import bounded_sample, worker_cache
 
-PER_LABEL = 1_200
+PER_LABEL = 1_000
 WORD_TERMS, SHAPE_TERMS = 2_048, 512
 TERMS = WORD_TERMS + SHAPE_TERMS + 2        # and: word repeated, no words
 RANK = 48
@@ -113,9 +113,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def train(labelled: DataFrame, per_label: int = PER_LABEL) -> Model:
     """Learn from columns text and label (0 or 1) of a bounded sample."""
-    order = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("text"), "text"))
-    sample = (labelled.select(F.col("label").cast("int").alias("label"), F.col("text").cast("string").alias("text"))
-              .where("label in (0, 1)").withColumn("n", order).where(F.col("n") <= per_label))
+    sample = bounded_sample(labelled.select(F.col("label").cast("int").alias("label"), F.col("text").cast("string").alias("text"))
+                            .where("label in (0, 1)"), "label", per_label)
 
     def vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = TermIds()

@@ -18,6 +18,8 @@ QUERIES: dict[str, Query] = {}
 #: Rows of an Arrow batch: texts can be long, so few of them travel at once.
 TEXT_BATCH = 512
 VECTOR_BATCH = 4096
+#: Texts whose Viterbi paths advance together.
+PATH_BATCH = 2048
 
 
 def vocabulary(name: str) -> str:
@@ -69,7 +71,7 @@ def fold(modulus: int):
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
-@register("op5_language_id")
+@register("op5_language_id", PATH_BATCH)
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned outside fold 2 of 4."""
     docs = table(spark, sf_dir, "documents")
