@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazecast.functions.calendar import add_hours, hour_floor, hours_between
@@ -84,18 +84,34 @@ def null_report(df: DataFrame, cols, key="series_id") -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
+def exact_median(df: DataFrame, col: str, keys: dict, out: str) -> DataFrame:
+    """The lower median of ``col`` per group, exact at any size.
+
+    A sketch brackets the median between the 0.499 and 0.501 quantiles (its
+    rank error is 1e-4); then rows are counted by value inside the bracket and
+    as one below it, and the running count picks the median.  Both passes
+    aggregate map-side, and the window sees the few values of the bracket
+    only, so a group that holds a third of the rows is never collected."""
+    names = list(keys)
+    d = df.where(F.col(col).isNotNull()).select(*(c.alias(k) for k, c in keys.items()), F.col(col).alias("_v"))
+    bracket = d.groupBy(*names).agg(F.percentile_approx("_v", [0.499, 0.501], 10_000).alias("_b"),
+                                    F.count("*").alias("_n"))
+    counts = (d.join(bracket, names).where(F.col("_v") <= F.col("_b")[1])
+              .groupBy(*names, "_n", F.when(F.col("_v") >= F.col("_b")[0], F.col("_v")).alias("_v"))
+              .agg(F.count("*").alias("_c")))
+    run = F.sum("_c").over(Window.partitionBy(*names).orderBy(F.asc_nulls_first("_v")))
+    return (counts.withColumn("_run", run).where(F.col("_v").isNotNull() & (2 * F.col("_run") >= F.col("_n")))
+            .groupBy(*names).agg(F.min("_v").alias(out)))
+
+
 def seasonal_median(df: DataFrame, col: str, key="series_id", ts="ts") -> DataFrame:
-    """A2: median per (series, hour of day, month) over non-null values.
-    ``percentile_approx`` is a bounded-memory sketch merged map-side."""
-    return (df.where(F.col(col).isNotNull())
-            .groupBy(key, F.hour(ts).alias("hour"), F.month(ts).alias("month"))
-            .agg(F.percentile_approx(col, 0.5).alias("seasonal_med")))
+    """A2: median per (series, hour of day, month) over non-null values."""
+    return exact_median(df, col, {key: F.col(key), "hour": F.hour(ts), "month": F.month(ts)}, "seasonal_med")
 
 
 def series_median(df: DataFrame, col: str, key="series_id") -> DataFrame:
     """A3: per-series median fallback (a table, never a driver scalar)."""
-    return (df.where(F.col(col).isNotNull()).groupBy(key)
-            .agg(F.percentile_approx(col, 0.5).alias("series_med")))
+    return exact_median(df, col, {key: F.col(key)}, "series_med")
 
 
 def impute_seasonal(df: DataFrame, col: str, key="series_id", ts="ts") -> DataFrame:
@@ -129,12 +145,13 @@ def union_all(frames) -> DataFrame:
 def dedupe_by_priority(df: DataFrame, priority: str, keys=("series_id", "ts"),
                        keep: str = "max") -> DataFrame:
     """Keep one row per key: the one with the largest (``keep='max'``) or
-    smallest priority value."""
+    smallest priority value; rows of equal priority are ordered by their
+    other columns, so the winner does not depend on the plan."""
     keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    pick = F.max_by if keep == "max" else F.min_by
-    return (df.groupBy(*keys).agg(pick(F.struct(*rest), F.col(priority)).alias("_r"))
-            .select(*keys, "_r.*").drop(priority))
+    rest = [c for c in df.columns if c not in keys and c != priority]
+    pick = F.max if keep == "max" else F.min
+    return (df.groupBy(*keys).agg(pick(F.struct(priority, *rest)).alias("_r"))
+            .select(*keys, *(F.col("_r")[c].alias(c) for c in rest)))
 
 
 def dedupe_keep_first(first: DataFrame, second: DataFrame, keys=("series_id", "ts")) -> DataFrame:

@@ -85,7 +85,9 @@ def decode_predictions(scored: DataFrame, key="series_id", ts="ts") -> DataFrame
 
 def score_horizons(serving: DataFrame, models: dict, key="series_id") -> DataFrame:
     """One batched ``transform`` per horizon; horizons without a model
-    are skipped."""
+    are skipped (no model at all: no rows)."""
+    if not models:
+        return decode_predictions(serving.where(F.lit(False)).withColumn("prediction", F.lit(0.0)), key)
     parts = []
     for k, (model, names) in sorted(models.items()):
         rows = serving.where(F.col("K") == k)

@@ -1,4 +1,4 @@
-"""Join helpers: size-checked broadcast and as-of (nearest) matching."""
+"""Join helper: as-of (nearest) matching."""
 
 from __future__ import annotations
 
@@ -6,15 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def small_side(side: DataFrame, max_rows: int) -> DataFrame:
-    """``broadcast(side)`` when ``side`` has at most ``max_rows`` rows, else
-    ``side`` unchanged so Spark plans a shuffle join.  The check is a
-    ``limit(max_rows + 1).count()`` job on ``side`` – use it only for sides
-    that are cheap to evaluate (dimension tables, small literal grids)."""
-    n = side.limit(max_rows + 1).count()
-    return F.broadcast(side) if n <= max_rows else side
-
-
 def _micros(c):
     return F.unix_micros(c.cast("timestamp"))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazecast.functions.numeric import round_dp, safe_float
+from hazecast.functions.numeric import round_dp
 from hazecast.schema import ROLLUP_FIELDS
 
 MIN_DATE = "2000-01-01"
@@ -48,14 +48,18 @@ def _clean_measures(df: DataFrame, fields) -> list:
             for f in fields]
 
 
+def _dated(df: DataFrame, ts: str) -> DataFrame:
+    """P10 on the time column itself, so that the scan prunes by it."""
+    return df.where(F.col(ts) >= F.lit(MIN_DATE).cast(df.schema[ts].dataType))
+
+
 def daily_rollup(df: DataFrame, fields=ROLLUP_FIELDS, key="series_id", ts="ts",
                  digits: int = 1) -> DataFrame:
     """A4: mean per (series, date) of each measure ignoring nulls/NaN, rounded;
     a (series, date) exists iff at least one measure is non-null; bad dates
     (< 2000-01-01) are dropped (P10)."""
-    base = df.select(key, F.date_format(ts, "yyyy-MM-dd").alias("date"),
-                     *_clean_measures(df, fields))
-    base = base.where(F.col("date") >= F.lit(MIN_DATE))
+    base = _dated(df, ts).select(key, F.date_format(ts, "yyyy-MM-dd").alias("date"),
+                                 *_clean_measures(df, fields))
     parts, means = _rounded_means(base, fields, digits)
     present = F.count(F.coalesce(*[F.col(f) for f in fields])).alias("_n")
     return (base.groupBy(key, "date").agg(*parts, present)
@@ -65,9 +69,8 @@ def daily_rollup(df: DataFrame, fields=ROLLUP_FIELDS, key="series_id", ts="ts",
 def hourly_rollup(df: DataFrame, fields=ROLLUP_FIELDS, key="series_id", ts="ts",
                   digits: int = 1) -> DataFrame:
     """A5: mean per (series, date, hour)."""
-    base = df.select(key, F.date_format(ts, "yyyy-MM-dd").alias("date"), F.hour(ts).alias("hour"),
-                     *_clean_measures(df, fields))
-    base = base.where(F.col("date") >= F.lit(MIN_DATE))
+    base = _dated(df, ts).select(key, F.date_format(ts, "yyyy-MM-dd").alias("date"), F.hour(ts).alias("hour"),
+                                 *_clean_measures(df, fields))
     parts, means = _rounded_means(base, fields, digits)
     present = F.count(F.coalesce(*[F.col(f) for f in fields])).alias("_n")
     return (base.groupBy(key, "date", "hour").agg(*parts, present)
@@ -136,13 +139,9 @@ def mean_of_last_n(df: DataFrame, n: int, value="PM25", key="series_id", ts="ts"
 
 
 def latest_row(df: DataFrame, key="series_id", ts="ts") -> DataFrame:
-    """L4: the newest row per series as one aggregate (max_by over a struct);
-    constant memory per group, partial aggregation before the shuffle."""
+    """L4: the newest row per series as one aggregate; of rows with the same
+    time the one with the largest other columns, in their order.  Constant
+    memory per group, partial aggregation before the shuffle."""
     cols = [c for c in df.columns if c != key]
-    return (df.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(ts)).alias("_r"))
-            .select(key, "_r.*"))
-
-
-def safe_measures(df: DataFrame, fields) -> DataFrame:
-    """P11 applied to text columns (CSV read as strings)."""
-    return df.withColumns({f: safe_float(f) for f in fields if f in df.columns})
+    newest = F.max(F.struct(ts, *(c for c in cols if c != ts)))
+    return df.groupBy(key).agg(newest.alias("_r")).select(key, *(F.col("_r")[c].alias(c) for c in cols))

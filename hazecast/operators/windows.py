@@ -32,7 +32,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-LONG_FRAME = 169          # frames longer than this use prefix sums
 MIN_BUCKET_ROWS = 1 << 16
 
 

@@ -70,9 +70,9 @@ def _wide_features(spark, sf_dir, names, horizons=(), horizon_weather=True):
 @register("ingest_observations")
 def ingest_observations(spark, sf_dir):
     """Weather × air quality merge (N1), six-pollutant AQI and dominant
-    pollutant (F8), canonical columns, landed as the observation table that
-    the later jobs of the session read."""
-    return round_doubles(tables.observations(spark, sf_dir))
+    pollutant (F8), canonical columns; always executed, never read from the
+    table that it lands for later jobs."""
+    return round_doubles(tables.observations(spark, sf_dir, landed=False))
 
 
 # --- J5 history rollups -----------------------------------------------------
@@ -319,7 +319,7 @@ def covariate_features(spark, sf_dir):
     return round_doubles(out.select("series_id", "ts", *COVARIATE))
 
 
-HL_HORIZONS = [1, 4, 25, 49]
+HL_HORIZONS = FT.HORIZONS
 
 
 @register("horizon_labels")
@@ -650,17 +650,16 @@ def stream_upsert(spark, sf_dir):
 
 @register("stream_hourly_rollup")
 def stream_hourly_rollup(spark, sf_dir):
-    """T4: watermarked 1-hour tumbling windows per series (update mode)."""
+    """T4: 1-hour tumbling windows per series, partials merged on read."""
     from hazecast.streaming.incremental import stream_hourly_rollup as run
     return round_doubles(run(spark, sf_dir))
 
 
 @register("stream_daily_rollup")
 def stream_daily_rollup(spark, sf_dir):
-    """T4: the daily rollup maintained by the same stream (1-day windows,
-    1-day watermark)."""
+    """T4: the daily rollup maintained by the same stream (1-day windows)."""
     from hazecast.streaming.incremental import stream_hourly_rollup as run
-    return round_doubles(run(spark, sf_dir, watermark="1 day", window="1 day"))
+    return round_doubles(run(spark, sf_dir, window="1 day"))
 
 
 # --- sources / sinks / tables (P4b, S1, S8, S17, N7, F28) --------------------

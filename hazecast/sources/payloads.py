@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazecast.functions.calendar import display_formats, parse_ts
+from hazecast.functions.numeric import safe_float
 from hazecast.operators.clean import rename, select_existing
 from hazecast.schema import FORECAST_RENAME, OBSERVATION, OBS_ORDER, payload_schema
 
@@ -62,8 +64,19 @@ def read_observations_csv(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("header", True).csv(path, inferSchema=False)
     df = rename(raw, {"Local_Time": "ts"})
     types = {f.name: f.dataType for f in OBSERVATION.fields}
-    cols = [F.col(c).try_cast(types[c]).alias(c) if c != "ts"
-            else F.to_timestamp_ntz(F.col(c)).alias(c) for c in df.columns if c in types]
+
+    def typed(c: str):
+        """Text to the column's type: NaN and unparsable numbers are null
+        (P11), and a whole number may be written with a decimal point."""
+        if c == "ts":
+            return F.to_timestamp_ntz(F.col(c))
+        if isinstance(types[c], T.DoubleType):
+            return safe_float(F.col(c))
+        if isinstance(types[c], T.IntegralType):
+            return F.rint(safe_float(F.col(c))).cast(types[c])
+        return F.col(c).try_cast(types[c])
+
+    cols = [typed(c).alias(c) for c in df.columns if c in types]
     return select_existing(df.select(*cols), OBS_ORDER)
 
 

@@ -60,3 +60,11 @@ def test_split_and_filters(spark):
     assert clean.target_not_null(df).count() == 1
     s = df.select(clean.split_label("2024-01-02", "2024-01-03").alias("s")).collect()
     assert [r["s"] for r in s] == ["train", "val", "test"]
+
+
+def test_exact_median_of_large_groups(spark):
+    from pyspark.sql import functions as F
+    from hazecast.operators.clean import series_median
+    df = spark.range(60_001).select(F.lit("a").alias("series_id"), (F.pmod(F.col("id") * 7919, F.lit(60_001)) / 8).alias("v"))
+    df = df.unionByName(spark.createDataFrame([("b", 1.0), ("b", 4.0), ("b", None)], "series_id string, v double"))
+    assert {r[0]: r[1] for r in series_median(df, "v").collect()} == {"a": 30_000 / 8, "b": 1.0}
