@@ -39,12 +39,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def worker_cache(name: str, make: Callable[[], object]) -> object:
-    """An object kept for the life of a Python worker (functions are shipped by
-    value, so module globals would be new in every task)."""
+    """An object that a Python worker keeps from task to task (functions are
+    shipped by value, so module globals would be new in every task).  A worker
+    keeps one: the next operator's takes its place."""
     store = sys.modules.setdefault("_llm_worker_cache", types.ModuleType("_llm_worker_cache"))
-    if not hasattr(store, name):
-        setattr(store, name, make())
-    return getattr(store, name)
+    if getattr(store, "name", None) != name:
+        store.held = None
+        store.name, store.held = name, make()
+    return store.held
 
 
 def words(text: str | None) -> list[bytes]:

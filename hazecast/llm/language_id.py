@@ -37,7 +37,7 @@ BUCKETS = 1 << 15
 SWITCH = 12.0
 #: Least share of a language's letters in a script for it to be a candidate.
 SCRIPT_SHARE = 0.01
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Words scored at once, and the characters from which a word is cut.
 CHUNK_WORDS, LONG_WORD = 16_384, 256
 UND = "und"

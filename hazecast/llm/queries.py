@@ -19,7 +19,7 @@ QUERIES: dict[str, Query] = {}
 TEXT_BATCH = 512
 VECTOR_BATCH = 4096
 #: Texts whose Viterbi paths advance together.
-PATH_BATCH = 2048
+PATH_BATCH = 1024
 
 
 def vocabulary(name: str) -> str:
