@@ -40,6 +40,8 @@ SHARE = 1.5
 REPEATS = 2
 SEED = 20
 DIGIT = 4096
+#: Tables of one row per pattern or source are broadcast up to so many rows.
+BROADCAST_ROWS = 100_000
 
 
 def targets_of(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, share: float = SHARE,
@@ -160,7 +162,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     plan = spark.createDataFrame([(p, g // n if n else 0, g % n if n else 0) for p, n, g in given],
                                  "sources array<string>, passes long, rest long")
     key = F.xxhash64(F.to_json("sources"))
-    plan = plan.select(key.alias("p"), "passes", "rest")
+    plan = _small(plan.select(key.alias("p"), "passes", "rest"), len(given))
 
     def digit(k: int) -> Column:
         return F.shiftrightunsigned("h", 52 - 12 * k).bitwiseAND(F.lit(DIGIT - 1)).cast("int")
@@ -178,9 +180,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
                 .select("p", F.col("e.d").alias(f"{digit_name}_end"), F.col("e.b").alias(f"{digit_name}_before")))
 
     d = planned(sized).withColumn("zero", F.lit(0).cast("long"))
-    e1 = materialize(edge(d, "d1", "zero"), "mix-edge")
+    e1 = _small(materialize(edge(d, "d1", "zero"), "mix-edge"), len(given))
     e2 = materialize(edge(d.join(e1, "p").where("d1 = d1_end"), "d2", "d1_before"), "mix-edge")
-    ends = e1.join(e2, "p")                                    # one row per pattern, like ``plan``
+    # one row per pattern, like ``plan``; no document moves to meet them
+    ends = _small(e1.join(e2, "p"), len(given))
     d = planned(wide if carry else sized).join(ends, "p", "left")
     # whole documents below the end; a pattern whose rest is 0 ends before its first word
     one_more = (F.col("d1") < F.col("d1_end")) | ((F.col("d1") == F.col("d1_end")) & (F.col("d2") < F.col("d2_end")))
@@ -194,7 +197,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     out = whole.unionByName(cut)
     table = spark.createDataFrame([(s, sizes[s], float(targets[s])) for s in sizes],
                                   "source string, source_size long, target double")
-    return out, table
+    return out, _small(table, len(sizes))
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of so many rows, marked for broadcast if they are few; a table
+    made on the driver has no statistics that would tell."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def mix_by_source(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS,
