@@ -22,6 +22,8 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 
 #: Buckets of the bitmap that keeps most rows of a table out of a join.
 BUCKETS = 1 << 18
+#: Parts of a value from which a bounded sample is first chosen.
+SALTS = 64
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -54,16 +56,26 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").split() if text else []
 
 
-def bounded_sample(labelled: DataFrame, by: str, n: int) -> DataFrame:
+def bounded_sample(labelled: DataFrame, by: str, n: int, texts: DataFrame | None = None) -> DataFrame:
     """(``by``, text): at most ``n`` different texts of each value of ``by``,
-    those with the smallest hashes.  They are chosen on narrow rows (each map
-    task passes on ``n`` a value) and only their texts are moved."""
-    rows = labelled.select(by, "text").where(F.col(by).isNotNull() & F.col("text").isNotNull())
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    place = F.row_number().over(Window.partitionBy(by).orderBy("h"))
-    chosen = rows.select(by, "h").distinct().withColumn("place", place).where(F.col("place") <= n).select(by, "h")
-    chosen = F.broadcast(chosen)                        # n rows a value
-    return rows.join(chosen, [by, "h"]).groupBy(by, "h").agg(F.first("text").alias("text")).select(by, "text")
+    those with the smallest hashes.  They are chosen on narrow rows, first
+    within ``SALTS`` parts of each value, so that at most ``SALTS * n`` rows of
+    a value meet in one task, and only their texts are moved.  With ``texts``
+    (column text), ``labelled`` has the hashes ``h`` of its texts in their stead.
+    """
+    if texts is None:
+        rows = labelled.select(by, "text").where(F.col(by).isNotNull() & F.col("text").isNotNull())
+        texts = rows = rows.withColumn("h", F.xxhash64("text"))
+        keys = [by, "h"]
+    else:
+        rows = labelled.where(F.col(by).isNotNull() & F.col("h").isNotNull())
+        texts, keys = texts.where("text is not null").select("text", F.xxhash64("text").alias("h")), ["h"]
+    chosen = rows.select(by, "h").distinct().withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    for part in ([by, "salt"], [by]):
+        place = F.row_number().over(Window.partitionBy(*part).orderBy("h"))
+        chosen = chosen.withColumn("place", place).where(F.col("place") <= n).drop("place")
+    chosen = F.broadcast(chosen.select(by, "h"))        # n rows a value
+    return texts.join(chosen, keys).groupBy(by, "h").agg(F.first("text").alias("text")).select(by, "text")
 
 
 def word_count(text: Column) -> Column:

@@ -111,10 +111,20 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]).astype(np.float32)
 
 
-def train(labelled: DataFrame, per_label: int = PER_LABEL) -> Model:
-    """Learn from columns text and label (0 or 1) of a bounded sample."""
-    sample = bounded_sample(labelled.select(F.col("label").cast("int").alias("label"), F.col("text").cast("string").alias("text"))
-                            .where("label in (0, 1)"), "label", per_label)
+def train(labelled: DataFrame, per_label: int = PER_LABEL, labels: DataFrame | None = None) -> Model:
+    """Learn from columns text and label (0 or 1) of a bounded sample.
+
+    With ``labels`` (doc_id, label), ``labelled`` has doc_id and text; only
+    hashes of texts are joined with the labels, texts are not shuffled.
+    """
+    label, text = F.col("label").cast("int").alias("label"), F.col("text").cast("string").alias("text")
+    if labels is None:
+        sample = bounded_sample(labelled.select(label, text).where("label in (0, 1)"), "label", per_label)
+    else:
+        texts = labelled.select("doc_id", text).where("text is not null")
+        rows = texts.select("doc_id", F.xxhash64("text").alias("h")).join(
+            labels.select("doc_id", label).where("label in (0, 1)"), "doc_id")
+        sample = bounded_sample(rows, "label", per_label, texts.select("text"))
 
     def vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = TermIds()

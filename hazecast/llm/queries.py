@@ -97,7 +97,7 @@ def op8_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learned outside fold 0 of 5."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(fold(5) != 0).select("doc_id", F.col("quality").alias("label"))
-    model = quality_knn.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = quality_knn.train(docs.select("doc_id", "text"), labels=labels)
     out = quality_knn.score(docs, model)
     return out.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
