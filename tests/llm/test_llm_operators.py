@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hazecast.llm import (ann_forest, best_fit_pack, language_id, pq_dedup, quality_knn, simhash_dedup, source_mix,
                           substring_dedup, token_counts, url_filter)
-from hazecast.llm.common import connected_components
+from hazecast.llm.common import bounded_sample, connected_components
 from hazecast.llm.queries import vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -306,3 +306,25 @@ def test_pq_dedup(vectors):
         for i in range(200, 206):
             assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
     assert pq_dedup.duplicate_groups(df.where("false")).count() == 0
+
+
+def test_quality_labels_by_hash_give_the_same_model(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(48)] + [(3, 1), (5, None), (None, 1), (999, 0)],
+                                   "doc_id long, label int")
+    slim = docs.select("doc_id", "text")
+    joined = quality_knn.train(slim.join(labels, "doc_id"), per_label=9)
+    hashed = quality_knn.train(slim, per_label=9, labels=labels)
+    assert len(hashed.labels) == len(joined.labels) and (hashed.labels == joined.labels).all()
+    assert np.allclose(hashed.latent, joined.latent)
+    assert not len(quality_knn.train(slim, labels=labels.where("false")).labels)
+
+
+def test_bounded_sample_takes_the_smallest_hashes(spark):
+    rows = spark.range(3000).select(F.concat(F.lit("t"), F.col("id") % 1500).alias("text"),
+                                    F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("lang"))
+    got = {(r[0], r[1]) for r in bounded_sample(rows, "lang", 40).collect()}
+    want = set()
+    for lang in "ab":
+        texts = rows.where(F.col("lang") == lang).select("text", F.xxhash64("text").alias("h")).distinct().collect()
+        want |= {(lang, r["text"]) for r in sorted(texts, key=lambda r: r["h"])[:40]}
+    assert got == want
