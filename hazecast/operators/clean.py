@@ -42,11 +42,15 @@ def target_not_null(df: DataFrame, target="PM25") -> DataFrame:
     return df.where(F.col(target).isNotNull() & ~F.isnan(F.col(target)))
 
 
+def complete(cols) -> Column:
+    """Whether none of ``cols`` is null or NaN."""
+    return reduce(lambda a, b: a & b,
+                  [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols])
+
+
 def drop_incomplete(df: DataFrame, cols) -> DataFrame:
     """Drop rows with a null/NaN in any of ``cols``."""
-    cond = reduce(lambda a, b: a & b,
-                  [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols])
-    return df.where(cond)
+    return df.where(complete(cols))
 
 
 def fill_zero(df: DataFrame, cols) -> DataFrame:

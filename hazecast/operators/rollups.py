@@ -18,24 +18,28 @@ from hazecast.schema import ROLLUP_FIELDS
 MIN_DATE = "2000-01-01"
 
 
-MICRO = 1_000_000
+EXACT = "decimal(38,18)"
 
 
 def exact_mean_parts(col: str) -> list:
-    """Aggregates for ``exact_rounded_mean``: the sum of the values in integer
-    micro-units (exact and order independent) and the count of non-nulls."""
-    q = F.round(F.col(col) * F.lit(float(MICRO)), 0).cast("long")
-    return [F.sum(q).alias(f"_s_{col}"), F.count(col).alias(f"_n_{col}")]
+    """Aggregates for ``exact_rounded_mean``: the sum of the values' decimal
+    texts (exact and order independent), the counts of non-nulls and of the
+    values that a decimal holds, and the double mean for the others."""
+    q = F.col(col).try_cast(EXACT)
+    return [F.try_sum(q).alias(f"_s_{col}"), F.count(col).alias(f"_n_{col}"),
+            F.count(q).alias(f"_q_{col}"), F.avg(col).alias(f"_a_{col}")]
 
 
 def exact_rounded_mean(col: str, digits: int) -> Column:
-    """Mean rounded half away from zero at ``digits`` decimals, decided with
-    integer arithmetic on the exact micro-unit sum.  A float ``avg`` is summed
-    in partition order, so a mean lying exactly on a rounding tie could round
-    either way depending on the plan; this cannot."""
-    s, n, u = f"_s_{col}", f"_n_{col}", MICRO // 10 ** digits
-    return F.expr(f"CASE WHEN {n} > 0 THEN signum({s}) * ((2 * abs({s}) + {n} * {u}) div (2 * {n} * {u}))"
-                  f" / {float(10 ** digits)} END")
+    """Mean rounded half away from zero at ``digits`` decimals, decided on the
+    exact decimal sum.  A float ``avg`` is summed in partition order, so a mean
+    lying exactly on a rounding tie could round either way depending on the
+    plan; this cannot.  Groups with values or sums of 1e20 and more, or with
+    infinities, take the double mean."""
+    s, n, q = (F.col(f"_{p}_{col}") for p in "snq")
+    exact = F.round(s / n.cast("decimal(20,0)"), digits).cast("double")
+    return (F.when(n == 0, F.lit(None).cast("double")).when((n == q) & s.isNotNull(), exact)
+            .otherwise(F.round(f"_a_{col}", digits)))
 
 
 def _rounded_means(grouped, fields, digits):

@@ -96,12 +96,12 @@ ROLL_FIELDS = ["AQI", "PM25", "PM10", "NO2", "O3", "CO", "SO2"]
 
 
 def exact_mean(x: str, d: int = 1) -> str:
-    """Matches rollups.exact_rounded_mean: integer micro-unit sum, half away
-    from zero decided by integer division."""
-    s = f"sum(CAST(round(({x}) * 1000000.0) AS BIGINT))"
+    """Mean of the values' decimal texts, half away from zero, by integers in
+    units of 1e-18."""
+    s = f"CAST(replace(CAST(sum(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18))) AS VARCHAR), '.', '') AS HUGEINT)"
     n = f"count({x})"
-    u = 1_000_000 // 10 ** d
-    return (f"(CASE WHEN {n} > 0 THEN sign({s}) * ((2 * abs({s}) + {n} * {u}) // (2 * {n} * {u}))"
+    u = f"CAST({10 ** (18 - d)} AS HUGEINT)"
+    return (f"(CASE WHEN {n} > 0 THEN CAST(sign({s}) * ((2 * abs({s}) + {n} * {u}) // (2 * {n} * {u})) AS DOUBLE)"
             f" / CAST({float(10 ** d)} AS DOUBLE) END)")
 
 
@@ -414,17 +414,20 @@ def _register_features():
         for k in hz)
     SQL["horizon_labels"] = body.replace("\nSELECT * FROM l2", ",\nfeat AS (SELECT * FROM l2)\n") + unions
     names = FT.ALL_NAMES
-    k1 = feature_sql(names, True, horizons=[1], out_cols="*")
-    ren = {"label_raw__k1": "label_raw", "label__k1": "label", "pm25_lagK__k1": "pm25_lagK"}
-    ren.update({f"{c}_atK__k1": f"{c}_atK" for c in FT.WEATHER_LEAD})
-    cols = [c for c in FT.horizon_features(1) if c != "horizon_norm"] + ["label", "label_raw"]
-    inv = {v: k for k, v in ren.items()}
-    cond = " AND ".join(f"{inv.get(c, c)} IS NOT NULL" for c in cols)
     split = ("CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 'train' "
              "WHEN ts < TIMESTAMP '2024-01-25' THEN 'val' ELSE 'test' END")
-    SQL["drop_incomplete"] = k1.replace("\nSELECT * FROM l2", "\n") + (
-        f"SELECT {split} AS split, count(*) AS n_rows, {r4('avg(label_raw__k1)')} AS mean_label "
-        f"FROM l2 WHERE {cond} GROUP BY 1")
+
+    def complete(k: int) -> str:
+        at = {f"{c}_atK": f"{c}_atK__k{k}" for c in FT.WEATHER_LEAD} | {
+            c: f"{c}__k{k}" for c in ("label", "label_raw", "pm25_lagK")}
+        cols = [c for c in FT.horizon_features(k) if c != "horizon_norm"] + ["label", "label_raw"]
+        return " AND ".join(f"{at.get(c, c)} IS NOT NULL" for c in cols)
+
+    unions = " UNION ALL ".join(
+        f"SELECT {k} AS K, {split} AS split, count(*) AS n_rows, {r4(f'avg(label_raw__k{k})')} AS mean_label "
+        f"FROM feat WHERE {complete(k)} GROUP BY 2" for k in FT.HORIZONS)
+    body = feature_sql(names, True, horizons=FT.HORIZONS, out_cols="*")
+    SQL["drop_incomplete"] = body.replace("\nSELECT * FROM l2", ",\nfeat AS (SELECT * FROM l2)\n") + unions
     SQL["time_split_counts"] = (f"SELECT event_type AS series_id, {split} AS split, count(*) AS n_rows "
                                 "FROM events GROUP BY 1, 2")
 

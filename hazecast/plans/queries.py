@@ -333,15 +333,20 @@ def horizon_labels(spark, sf_dir):
 
 @register("drop_incomplete")
 def drop_incomplete(spark, sf_dir):
-    """P6 + P9 + A1: rows left per split after dropping incomplete K=1 rows
-    of the SHORT feature set."""
-    feat = _wide_features(spark, sf_dir, FT.ALL_NAMES, horizons=[1])
-    k1 = FT.horizon_frame(feat, 1)
-    cols = [c for c in FT.horizon_features(1) if c in k1.columns] + ["label", "label_raw"]
-    done = clean.drop_incomplete(k1, cols)
-    return (done.withColumn("split", clean.split_label(VAL_CUTOFF, TEST_CUTOFF))
-            .groupBy("split").agg(F.count("*").alias("n_rows"),
-                                  snap(F.avg("label_raw")).alias("mean_label")))
+    """P6 + P9 + A1: rows left per horizon and split after dropping the rows
+    that lack a feature of their horizon's set, in one pass over (row, K)."""
+    feat = _wide_features(spark, sf_dir, FT.ALL_NAMES, horizons=FT.HORIZONS)
+    lng = FT.horizon_long(feat, FT.HORIZONS)
+    sets: dict[tuple, list[int]] = {}
+    for k in FT.HORIZONS:
+        names = tuple(c for c in FT.horizon_features(k) if c in lng.columns)
+        sets.setdefault(names, []).append(k)
+    keep = F.lit(False)
+    for names, ks in sets.items():
+        keep = keep | (F.col("K").isin(ks) & clean.complete([*names, "label", "label_raw"]))
+    return (lng.where(keep).withColumn("split", clean.split_label(VAL_CUTOFF, TEST_CUTOFF))
+            .groupBy("K", "split").agg(F.count("*").alias("n_rows"),
+                                       snap(F.avg("label_raw")).alias("mean_label")))
 
 
 @register("time_split_counts")

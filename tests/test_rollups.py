@@ -43,3 +43,12 @@ def test_daily_rollup_group_exists_iff_any_measure(spark):
         "series_id string, ts timestamp_ntz, AQI int, PM25 double")
     out = rollups.daily_rollup(df, fields=["AQI", "PM25"]).collect()
     assert [(r["date"], r["AQI"], r["PM25"]) for r in out] == [("2024-01-02", 5.0, None)]
+
+
+def test_means_of_long_decimals_and_large_values(spark):
+    """No digit is cut before the mean, and large values abort no job."""
+    rows = [(0, 0.2499999), (0, 0.2499999), (1, 1e13), (1, 1e13), (2, 1e25), (3, None), (4, 0.25), (4, 0.2500000000001)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    out = (df.groupBy("g").agg(*rollups.exact_mean_parts("x"))
+           .select("g", rollups.exact_rounded_mean("x", 1).alias("m")))
+    assert {r["g"]: r["m"] for r in out.collect()} == {0: 0.2, 1: 1e13, 2: 1e25, 3: None, 4: 0.3}
