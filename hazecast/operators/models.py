@@ -126,9 +126,13 @@ class HorizonResult:
 
 def train_horizon(feat: DataFrame, k: int, family: str, cutoffs: tuple[str, str],
                   budget: float = 1.0, prune_corr: bool = True, prune_importance: bool = True,
-                  min_train_rows: int = MIN_TRAIN_ROWS) -> HorizonResult | None:
+                  min_train_rows: int = MIN_TRAIN_ROWS, pruned: dict | None = None) -> HorizonResult | None:
     """One horizon: slice, drop incomplete rows (P6), split (P9), guard
-    (P15), prune (M7/M8), fit, importance pruning and refit (M9)."""
+    (P15), prune (M7/M8), fit, importance pruning and refit (M9).
+
+    ``pruned`` (K -> names) keeps the outcome of M7/M8, which does not depend
+    on the family: families trained on the same table and cut-offs share it."""
+    pruned = {} if pruned is None else pruned
     val_cut, test_cut = cutoffs
     hk = FT.horizon_frame(feat, k)
     names = [c for c in FT.horizon_features(k) if c in hk.columns]
@@ -141,7 +145,9 @@ def train_horizon(feat: DataFrame, k: int, family: str, cutoffs: tuple[str, str]
         n_tr = train.count()
         if n_tr < min_train_rows:
             return None
-        chosen = prune(train, names)[0] if prune_corr else names
+        if prune_corr and k not in pruned:
+            pruned[k] = prune(train, names)[0]
+        chosen = pruned[k] if prune_corr else names
         params = scaled_budget(FAMILIES[family](k), budget)
         model = pipeline(family, chosen, params).fit(train)
         if prune_importance and family in ("gbt", "rf"):
@@ -160,7 +166,8 @@ def train_horizon(feat: DataFrame, k: int, family: str, cutoffs: tuple[str, str]
 def train_horizons(feat: DataFrame, horizons=FT.HORIZONS, family: str = "gbt",
                    cutoffs: tuple[str, str] | None = None, budget: float = 1.0,
                    prune_corr: bool = True, prune_importance: bool = True,
-                   min_train_rows: int = MIN_TRAIN_ROWS, parallel: int = 4) -> list[HorizonResult]:
+                   min_train_rows: int = MIN_TRAIN_ROWS, parallel: int = 4,
+                   pruned: dict | None = None) -> list[HorizonResult]:
     """All horizons over one shared (checkpointed) feature table.
 
     Horizons are independent, so up to ``parallel`` of them submit their
@@ -171,7 +178,7 @@ def train_horizons(feat: DataFrame, horizons=FT.HORIZONS, family: str = "gbt",
 
     def one(k):
         return train_horizon(feat, k, family, cut, budget, prune_corr, prune_importance,
-                             min_train_rows)
+                             min_train_rows, pruned)
     if parallel <= 1:
         res = [one(k) for k in horizons]
     else:

@@ -441,11 +441,9 @@ _TRAINED: dict = {}
 
 def _trained(spark, sf_dir, family):
     """Train one pipeline per horizon on the panel's training split.
-    Smoke budget: 2 % of the per-K trees / iterations of the parameter
-    tables, at least 2 (``budget=1.0`` runs the full table); pruning and the
-    importance refit are as in the library default.  The feature table and
-    the fitted models are kept for the session, so the forecast and the
-    evaluation queries of one family share one training run."""
+    The feature table, the outcome of pruning and the fitted models are kept
+    for the session: the families share the first two, and the forecast and
+    the evaluation queries of one family share one training run."""
     from hazecast.operators import models as M
     app = spark.sparkContext.applicationId
     fkey = (app, sf_dir, "features")
@@ -456,7 +454,7 @@ def _trained(spark, sf_dir, family):
     key = (app, sf_dir, family)
     if key not in _TRAINED:
         res = M.train_horizons(feat, FT.HORIZONS, family, cutoffs=(VAL_CUTOFF, TEST_CUTOFF),
-                               budget=0.02, min_train_rows=50, parallel=8)
+                               parallel=8, pruned=_TRAINED.setdefault((app, sf_dir, "pruned"), {}))
         _TRAINED[key] = (feat, res)
     return _TRAINED[key]
 
