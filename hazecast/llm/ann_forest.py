@@ -17,6 +17,11 @@ vectors are one entry holding its k + 1 smallest ids, so a vector that a third
 of all rows share costs one candidate.  The k best of each shard meet in a
 bounded ranking per query.
 
+Float32 cosines steer the ascent and set apart what cannot be among the best:
+an entry is scored in double unless its float32 cosine is below the best ones
+by more than twice the bound of their error.  Near copies that float32 cannot
+order are thus all scored in double, however many they are.
+
 Vectors that are null, zero or hold null or non-finite components, and rows
 without vec_id, take no part; repeated rows count once; shorter vectors count
 as padded with zeros.  An empty table gives an empty result.
@@ -40,6 +45,8 @@ MISS = 0.08
 SEED = 11
 #: Prefix lengths of the ascent, longest first; below 20 every length counts.
 LADDER = (64, 48, 36, 28, 23, *range(20, -1, -1))
+#: Entries scored in double at a time.
+BLOCK = 1024
 
 
 class Forest:
@@ -102,12 +109,30 @@ class Forest:
                     if (1 - p ** length) ** trees <= miss:
                         break
             entries, s = np.concatenate(found), np.concatenate(scores)
-            if len(entries) > 4 * want:          # float scores choose, double ones decide
-                entries = entries[np.argpartition(-s, 4 * want)[:4 * want]]
-            exact = self.vectors[entries] @ queries[q] / (self.norms[entries] * norms[q])
+            if len(entries) > want:             # float scores leave out, double ones decide
+                least = np.partition(s, len(s) - want)[len(s) - want]
+                entries = entries[s >= least - 2 * cosine_error(self.vectors.shape[1])]
+            exact = np.concatenate([self.cosines(entries[a:a + BLOCK], queries[q], norms[q])
+                                    for a in range(0, len(entries), BLOCK)])
+            if len(entries) > want:             # ties of the last one stay
+                tied = exact >= np.partition(exact, len(exact) - want)[len(exact) - want]
+                entries, exact = entries[tied], exact[tied]
             by = np.argsort(-exact, kind="stable")
             yield entries[by], exact[by]
 
+    def cosines(self, entries: np.ndarray, query: np.ndarray, norm: float) -> np.ndarray:
+        """Cosines in double; a row's sum does not depend on the rows beside
+        it, so exact ties stay ties in every block and shard."""
+        return np.einsum("ij,j->i", self.vectors[entries], query) / (self.norms[entries] * norm)
+
+
+def cosine_error(dim: int) -> float:
+    """Bound of the error of a float32 cosine: ``dim`` products and sums, in
+    any order, of components rounded to float32 (two roundings a product),
+    rounded up for the norms of the rounded vectors and the double score."""
+    u = (dim + 6) * 2.0 ** -24
+    return 1.01 * u / (1 - u) if u < 0.5 else 1.0
+
 
 def hash_strings(unit: np.ndarray, planes: np.ndarray) -> np.ndarray:
     """[tree, row] hash strings as unsigned integers, first sign highest."""
@@ -167,10 +192,13 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 5, trees: int = TRE
         out: list[list] = [[], [], [], []]
         for q, key, (entries, scores) in zip(part.column("query_id").to_pylist(), part.column("k1").to_pylist(), found):
             top: list[tuple[float, int]] = []
+            last = -np.inf                      # score of the k-th best
             for e, s in zip(entries.tolist(), scores.tolist()):
-                if len(top) >= k and -s > sorted(top)[k - 1][0]:
+                if s < last:
                     break
                 top += [(-s, i) for i in members[e] if i != q]
+                if len(top) >= k and last == -np.inf:
+                    last = s
             for s, i in sorted(top)[:k]:
                 for column, v in zip(out, (q, key, i, -s)):
                     column.append(v)

@@ -291,6 +291,24 @@ def test_nearest(vectors):
     assert ann_forest.search(df.where("false"), F.col("vec_id") % 10 == 0).count() == 0
 
 
+@pytest.mark.parametrize("noise", [0.0, 1e-7, 1e-5, 1e-4])
+def test_ann_forest_orders_copies_that_float32_cannot(spark, noise):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal(32)
+    x = np.concatenate([(base + noise * rng.standard_normal((300, 32))) * rng.uniform(0.5, 2, 300)[:, None],
+                        rng.standard_normal((40, 32)), 2.0 ** np.arange(60)[:, None] * rng.standard_normal(32)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    norms, got = np.linalg.norm(x, axis=1), {}
+    for r in ann_forest.search(df, F.col("vec_id") % 20 == 0, shard_rows=150).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in [*range(0, 300, 20), 340, 360, 380]:
+        s = np.einsum("ij,j->i", x, x[q]) / (norms * norms[q])
+        want = [i for i in np.lexsort((np.arange(400), -s)) if i != q][:5]
+        if noise or q >= 300:
+            assert [i for i, _ in got[q]] == want
+        assert np.abs(np.array([v for _, v in got[q]]) - s[want]).max() < 1e-15
+
+
 def test_pq_dedup(vectors):
     df, x = vectors
     rows = [(r["vec_id"], r["label"]) for r in df.collect()]
