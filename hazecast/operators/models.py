@@ -124,20 +124,48 @@ class HorizonResult:
     metrics: dict = field(default_factory=dict)
 
 
+def horizon_slice(feat: DataFrame, k: int, cutoffs: tuple[str, str]) -> tuple[DataFrame, list[str]]:
+    """Complete rows of one horizon (P6) with their split (P9), and its features."""
+    hk = FT.horizon_frame(feat, k)
+    names = [c for c in FT.horizon_features(k) if c in hk.columns]
+    hk = drop_incomplete(hk, names + ["label", "label_raw"])
+    return hk.withColumn("split", split_label(*cutoffs)), names
+
+
+def prune_horizons(feat: DataFrame, horizons, cutoffs: tuple[str, str], min_train_rows: int = MIN_TRAIN_ROWS,
+                   parallel: int = 4, pruned: dict | None = None) -> list[tuple]:
+    """(K, feature, kept, passed_target) of M7/M8 for every feature of every
+    horizon; horizons with too few training rows are skipped (P15).
+    ``pruned`` as in ``train_horizon``."""
+    from concurrent.futures import ThreadPoolExecutor
+    pruned = {} if pruned is None else pruned
+
+    def one(k):
+        hk, names = horizon_slice(feat, k, cutoffs)
+        if k not in pruned:
+            train = hk.where(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                if train.count() < min_train_rows:
+                    return []
+                pruned[k] = prune(train, names)
+            finally:
+                train.unpersist()
+        kept, info = pruned[k]
+        return [(k, n, n in kept, n in info["stage1"]) for n in names]
+    with ThreadPoolExecutor(max_workers=parallel) as ex:
+        return [row for rows in ex.map(one, horizons) for row in rows]
+
+
 def train_horizon(feat: DataFrame, k: int, family: str, cutoffs: tuple[str, str],
                   budget: float = 1.0, prune_corr: bool = True, prune_importance: bool = True,
                   min_train_rows: int = MIN_TRAIN_ROWS, pruned: dict | None = None) -> HorizonResult | None:
     """One horizon: slice, drop incomplete rows (P6), split (P9), guard
     (P15), prune (M7/M8), fit, importance pruning and refit (M9).
 
-    ``pruned`` (K -> names) keeps the outcome of M7/M8, which does not depend
-    on the family: families trained on the same table and cut-offs share it."""
+    ``pruned`` (K -> result of ``prune``) keeps the outcome of M7/M8, which does not
+    depend on the family: families trained on the same table and cut-offs share it."""
     pruned = {} if pruned is None else pruned
-    val_cut, test_cut = cutoffs
-    hk = FT.horizon_frame(feat, k)
-    names = [c for c in FT.horizon_features(k) if c in hk.columns]
-    hk = drop_incomplete(hk, names + ["label", "label_raw"])
-    hk = hk.withColumn("split", split_label(val_cut, test_cut))
+    hk, names = horizon_slice(feat, k, cutoffs)
     # the slice is scanned by the count, both correlation passes and every
     # fit: keep it (memory, spilling to disk) for the life of this horizon
     train = hk.where(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
@@ -146,8 +174,8 @@ def train_horizon(feat: DataFrame, k: int, family: str, cutoffs: tuple[str, str]
         if n_tr < min_train_rows:
             return None
         if prune_corr and k not in pruned:
-            pruned[k] = prune(train, names)[0]
-        chosen = pruned[k] if prune_corr else names
+            pruned[k] = prune(train, names)
+        chosen = pruned[k][0] if prune_corr else names
         params = scaled_budget(FAMILIES[family](k), budget)
         model = pipeline(family, chosen, params).fit(train)
         if prune_importance and family in ("gbt", "rf"):

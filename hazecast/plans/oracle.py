@@ -7,6 +7,8 @@ CTE text and reused.
 
 from __future__ import annotations
 
+import re
+
 # ---------------------------------------------------------------------------
 # shared CTEs
 # ---------------------------------------------------------------------------
@@ -741,26 +743,39 @@ FROM g WHERE step > 0"""
 SQL["slots_greedy"] = _greedy_slots()
 
 
-def _prune() -> str:
-    """M7 + M8 on the K=1 training slice: Spearman by average ranks, Pearson
-    over kept pairs, and the greedy redundancy loop as a recursive CTE over
+def _prune(k: int = 1) -> str:
+    """M7 + M8 on the training slice of horizon ``k``."""
+    from hazecast.operators import features as FT
+    body = feature_sql(FT.ALL_NAMES, True, horizons=[k], out_cols="*").replace("\nSELECT * FROM l2", "\n")
+    return "WITH RECURSIVE " + body[len("WITH "):] + f""",
+""" + _prune_slice(k)
+
+
+def _prune_slice(k: int, exact: bool = False) -> str:
+    """The rest of the query, from the feature table ``l2``: Spearman by
+    average ranks (``exact``: from whole numbers), Pearson over kept pairs, and the greedy redundancy loop as a recursive CTE over
     the ordered pairs (outer skip decided at the first pair of each i)."""
     from hazecast.operators import features as FT
-    names = FT.horizon_features(1)
-    ren = {"label": "label__k1", "label_raw": "label_raw__k1", "pm25_lagK": "pm25_lagK__k1",
-           "horizon_norm": f"CAST({1 / FT.HORIZON_NORM!r} AS DOUBLE)"}
-    ren.update({f"{c}_atK": f"{c}_atK__k1" for c in FT.WEATHER_LEAD})
-    body = feature_sql(FT.ALL_NAMES, True, horizons=[1], out_cols="*").replace("\nSELECT * FROM l2", "\n")
-    body = "WITH RECURSIVE " + body[len("WITH "):]
+    names = FT.horizon_features(k)
+    ren = {"label": f"label__k{k}", "label_raw": f"label_raw__k{k}", "pm25_lagK": f"pm25_lagK__k{k}",
+           "horizon_norm": f"CAST({k / FT.HORIZON_NORM!r} AS DOUBLE)"}
+    ren.update({f"{c}_atK": f"{c}_atK__k{k}" for c in FT.WEATHER_LEAD})
     cols = ", ".join(f"CAST({ren.get(n, n)} AS DOUBLE) AS {n}" for n in names)
     complete = " AND ".join(f"{ren.get(c, c)} IS NOT NULL" for c in names + ["label", "label_raw"])
     ranks = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r_{c}"
                       for c in names + ["label"])
     sp = " UNION ALL ".join(f"SELECT '{c}' AS feature, {i} AS ord, corr(r_{c}, r_label) AS sp FROM rk"
                             for i, c in enumerate(names))
+    if exact:
+        def dot(a, b):
+            return (f"sum(CAST(2 * r_{a} - n_tr - 1 AS HUGEINT) * CAST(2 * r_{b} - n_tr - 1 AS HUGEINT))"
+                    "::DOUBLE")
+        sp = " UNION ALL ".join(
+            f"SELECT '{c}' AS feature, {i} AS ord, {dot(c, 'label')} / "
+            f"nullif(sqrt({dot(c, c)} * {dot('label', 'label')}), 0) AS sp FROM rk, (SELECT count(*) AS n_tr FROM tr)"
+            for i, c in enumerate(names))
     unpiv = ", ".join(names)
-    return body + f""",
-tr AS (SELECT {cols}, CAST(label__k1 AS DOUBLE) AS label FROM l2 WHERE {complete} AND {SPLIT} = 'train'),
+    return f"""tr AS (SELECT {cols}, CAST(label__k{k} AS DOUBLE) AS label FROM l2 WHERE {complete} AND {SPLIT} = 'train'),
 rk AS (SELECT {ranks} FROM tr),
 st1 AS (SELECT feature, ord, CASE WHEN isnan(sp) THEN NULL ELSE sp END AS sp FROM ({sp})),
 flag AS (SELECT *, sp IS NOT NULL AND abs(sp) >= 0.05 AS pass FROM st1),
@@ -796,3 +811,18 @@ FROM flag f WHERE (SELECT count(*) FROM tr) >= 200"""
 
 
 SQL["prune_features"] = _prune()
+
+
+def _prune_horizons() -> str:
+    """M7 + M8 of every horizon over one feature table; materialised, as the
+    recursion would compute its pairs anew in every step."""
+    from hazecast.operators import features as FT
+    body = feature_sql(FT.ALL_NAMES, True, horizons=FT.HORIZONS, out_cols="*").replace("\nSELECT * FROM l2", "\n")
+    body = body.replace("\nl2 AS (", "\nl2 AS MATERIALIZED (")
+    cte = re.compile(r"^(tr|rk|st1|keepn?|flag|pc|pairs) AS \(", re.M)
+    return body + " UNION ALL ".join(
+        f"SELECT {k} AS K, * FROM (WITH RECURSIVE " + cte.sub(r"\1 AS MATERIALIZED (", _prune_slice(k, True)) + ")"
+        for k in FT.HORIZONS)
+
+
+SQL["prune_horizons"] = _prune_horizons()

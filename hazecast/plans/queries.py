@@ -405,6 +405,16 @@ def prune_features(spark, sf_dir):
     return spark.createDataFrame(rows, schema)
 
 
+@register("prune_horizons")
+def prune_horizons(spark, sf_dir):
+    """M7 + M8 on the training slice of every horizon; the outcome is the one
+    that the model queries of the session train with."""
+    from hazecast.operators import models as M
+    rows = M.prune_horizons(_model_features(spark, sf_dir), FT.HORIZONS, (VAL_CUTOFF, TEST_CUTOFF), parallel=8,
+                            pruned=_pruned(spark, sf_dir))
+    return spark.createDataFrame(rows, "K int, feature string, kept boolean, passed_target boolean")
+
+
 def _persistence(spark, sf_dir):
     from hazecast.operators import evaluate as EV
     feat = _wide_features(spark, sf_dir, ["pm25_current"], horizons=FT.HORIZONS, horizon_weather=False)
@@ -439,22 +449,30 @@ def leaderboard(spark, sf_dir):
 _TRAINED: dict = {}
 
 
+def _model_features(spark, sf_dir):
+    """One checkpointed feature table for all families and the pruning."""
+    from hazecast.operators import models as M
+    key = (spark.sparkContext.applicationId, sf_dir, "features")
+    if key not in _TRAINED:
+        _TRAINED[key] = M.persist_shared(_wide_features(spark, sf_dir, FT.ALL_NAMES, horizons=FT.HORIZONS))
+    return _TRAINED[key]
+
+
+def _pruned(spark, sf_dir):
+    return _TRAINED.setdefault((spark.sparkContext.applicationId, sf_dir, "pruned"), {})
+
+
 def _trained(spark, sf_dir, family):
     """Train one pipeline per horizon on the panel's training split.
     The feature table, the outcome of pruning and the fitted models are kept
     for the session: the families share the first two, and the forecast and
     the evaluation queries of one family share one training run."""
     from hazecast.operators import models as M
-    app = spark.sparkContext.applicationId
-    fkey = (app, sf_dir, "features")
-    if fkey not in _TRAINED:          # one checkpointed feature table for all families
-        _TRAINED[fkey] = M.persist_shared(_wide_features(spark, sf_dir, FT.ALL_NAMES,
-                                                         horizons=FT.HORIZONS))
-    feat = _TRAINED[fkey]
-    key = (app, sf_dir, family)
+    feat = _model_features(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, family)
     if key not in _TRAINED:
         res = M.train_horizons(feat, FT.HORIZONS, family, cutoffs=(VAL_CUTOFF, TEST_CUTOFF),
-                               parallel=8, pruned=_TRAINED.setdefault((app, sf_dir, "pruned"), {}))
+                               parallel=8, pruned=_pruned(spark, sf_dir))
         _TRAINED[key] = (feat, res)
     return _TRAINED[key]
 

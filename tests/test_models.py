@@ -97,3 +97,19 @@ def test_prune_matches_bruteforce(spark, feat):
     kept, _ = prune(train, names)
     expected = _bruteforce_prune(train.select(*names, "label").toPandas(), names)
     assert kept == expected
+
+
+def test_prune_horizons_matches_bruteforce(spark, feat):
+    pruned = {}
+    rows = M.prune_horizons(feat, [1, 4], CUT, 50, pruned=pruned)
+    for k in (1, 4):
+        hk, names = M.horizon_slice(feat, k, CUT)
+        train = hk.where("split = 'train'").select(*names, "label").toPandas()
+        assert [r[1] for r in rows if r[0] == k] == names
+        assert [r[1] for r in rows if r[0] == k and r[2]] == _bruteforce_prune(train, names) == pruned[k][0]
+    assert M.prune_horizons(feat, [4], CUT, 10 ** 9) == []
+
+
+def test_prune_query_covers_all_horizons(spark):
+    from hazecast.plans.queries import QUERIES
+    assert {r["K"] for r in QUERIES["prune_horizons"](spark, SF).select("K").distinct().collect()} == set(FT.HORIZONS)
