@@ -29,7 +29,7 @@ from hazecast.operators.clean import impute_seasonal, target_not_null
 @dataclass(frozen=True)
 class WinFeature:
     name: str
-    kind: str          # lag | lead | mean | std | max | min | sum | long_mean | flag_lag
+    kind: str          # lag | lead | mean | std | std_full | max | min | sum | long_mean | flag_lag
     src: str
     n: int
     threshold: float | None = None
@@ -112,6 +112,19 @@ WEATHER_LEAD = ["Temperature", "Wind_Speed", "Relative_Humidity", "Pressure",
 HORIZONS = list(range(1, 50, 3))          # 1, 4, ..., 49
 HORIZON_NORM = 49.0
 
+
+def extra_lags(k: int) -> list[int]:
+    """The further lags of a serving row of horizon ``k``."""
+    return list(dict.fromkeys([k, max(k // 2, 1), max(k // 3, 1)]))
+
+
+# serving side only (W13, W14): population std, null on fewer than n rows
+SERVING_FEATURES: list[WinFeature] = (
+    [_w(f"pm25_lag_extra_{n}", "lag", "PM25", n) for n in sorted({n for k in HORIZONS for n in extra_lags(k)})]
+    + [_w(f"pm25_roll{n}_std_pop", "std_full", "PM25", n) for n in (8, 24, 48, 168)]
+)
+SERVING_NAMES = [f.name for f in SERVING_FEATURES]
+
 # Feature-name sets of the three horizon strategies.
 RAIN_FEATS = ["hours_since_rain", "rain_acc_6h", "rain_acc_12h", "rain_acc_24h",
               "rain_washout", "is_rainy_season", "wind_rainy_interact",
@@ -194,7 +207,7 @@ def horizon_features(k: int) -> list[str]:
 # dependency resolution
 # ---------------------------------------------------------------------------
 
-_WIN = {f.name: f for f in WINDOW_FEATURES}
+_WIN = {f.name: f for f in WINDOW_FEATURES + SERVING_FEATURES}
 _IDENT = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
 
 
@@ -215,7 +228,7 @@ def resolve(names) -> tuple[list[WinFeature], list[str]]:
                     wins[d] = _WIN[d]
         elif n in _WIN:
             wins[n] = _WIN[n]
-    return [f for f in WINDOW_FEATURES if f.name in wins], derived
+    return [f for f in _WIN.values() if f.name in wins], derived
 
 
 ALL_NAMES = ROW_LOCAL + [f.name for f in WINDOW_FEATURES if f.name not in INTERMEDIATE] + list(DERIVED)
@@ -228,6 +241,9 @@ def _win_column(w, f: WinFeature):
         return F.lead(F.col(f.src), f.n).over(w)
     if f.kind == "flag_lag":
         return (F.lag(F.col(f.src), f.n).over(w) > F.lit(f.threshold)).cast("int")
+    if f.kind == "std_full":
+        rows = F.count(F.lit(1)).over(Wn.frame(w, f.n))
+        return F.when(rows == f.n, Wn.rolling(w, f.src, f.n, "std_pop"))
     if f.kind in ("mean", "std", "max", "min", "sum"):
         return Wn.rolling(w, f.src, f.n, f.kind)
     raise ValueError(f.kind)

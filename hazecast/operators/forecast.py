@@ -61,17 +61,24 @@ def weather_at_horizon(base: DataFrame, forecast: DataFrame, horizons, key="seri
 def serving_frame(feat: DataFrame, forecast: DataFrame, horizons, key="series_id") -> DataFrame:
     """Newest feature row of every series × K, with the `_atK` features taken
     from the weather forecast (fallback: last observation) and the horizon
-    columns of K; one row per (series, K)."""
+    columns of K, its extra lags among them; one row per (series, K)."""
     last = latest_row(feat, key)
     w = weather_at_horizon(last, forecast, horizons, key)
     atk = {v: F.col(f"{k}_fK") for k, v in FORECAST_TO_ATK.items()}
     atk["wind_dir_sin_atK"] = F.col("wind_dir_sin")
     atk["wind_dir_cos_atK"] = F.col("wind_dir_cos")
     lag_k = F.coalesce(*[F.when(F.col("K") == k, F.col(f"pm25_lagK__k{k}")) for k in horizons])
-    return (w.withColumns(atk).withColumn("pm25_lagK", lag_k)
+    return (w.withColumns(atk).withColumn("pm25_lagK", lag_k).withColumns(extra_lag_columns(w, horizons))
             .withColumn("horizon_norm", F.col("K") / F.lit(FT.HORIZON_NORM)))
 
 
+def extra_lag_columns(rows: DataFrame, horizons) -> dict:
+    """``pm25_lag_extra_n`` in the rows whose K has that lag, else null."""
+    return {c: F.when(F.col("K").isin([k for k in horizons if n in FT.extra_lags(k)]), F.col(c))
+            for n in sorted({n for k in horizons for n in FT.extra_lags(k)})
+            if (c := f"pm25_lag_extra_{n}") in rows.columns}
+
+
 def decode_predictions(scored: DataFrame, key="series_id", ts="ts") -> DataFrame:
     """M14 output: pm25 (2 dp, after AQI), aqi from the *unrounded* value
     (Q9), forecast_dt = base + K h."""

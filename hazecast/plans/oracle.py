@@ -167,6 +167,8 @@ def _win_sql(f, order: str) -> str:
         return f"lead({f.src}, {f.n}) {over}"
     if f.kind == "flag_lag":
         return f"CAST(lag({f.src}, {f.n}) {over} > {f.threshold} AS INTEGER)"
+    if f.kind == "std_full":
+        return f"CASE WHEN count(*) {frame} = {f.n} THEN stddev_pop({f.src}) {frame} END"
     agg = {"mean": "avg", "long_mean": "avg", "std": "stddev_samp", "max": "max",
            "min": "min", "sum": "sum"}[f.kind]
     return f"{agg}({f.src}) {frame}"
@@ -826,3 +828,20 @@ def _prune_horizons() -> str:
 
 
 SQL["prune_horizons"] = _prune_horizons()
+
+
+def _serving() -> str:
+    """W13 + W14 on the newest row of every series, per horizon."""
+    from hazecast.operators import features as FT
+    cols = []
+    for f in FT.SERVING_FEATURES:
+        ks = ", ".join(str(k) for k in FT.HORIZONS if f.n in FT.extra_lags(k))
+        e = r4(f.name)
+        cols.append(f"{f'CASE WHEN K IN ({ks}) THEN {e} END' if f.kind == 'lag' else e} AS {f.name}")
+    body = feature_sql(FT.SERVING_NAMES, False, out_cols="*").replace("\nSELECT * FROM l2", "\n")
+    return body + f"""SELECT series_id, ts, event_id, {', '.join(cols)}, K FROM (
+  SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC, event_id DESC) AS rn FROM l2),
+  (SELECT unnest({FT.HORIZONS}) AS K) WHERE rn = 1"""
+
+
+SQL["serving_features"] = _serving()

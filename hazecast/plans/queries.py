@@ -246,6 +246,16 @@ def lag_features(spark, sf_dir):
     return _long_features(spark, sf_dir, [f"pm25_lag{n}" for n in FT.TARGET_LAGS])
 
 
+@register("serving_features")
+def serving_features(spark, sf_dir):
+    """W13 + W14: newest row of the five long-form series x 17 horizons with
+    the population stds and the extra lags of its horizon."""
+    from hazecast.operators import forecast as FC
+    last = rollups.latest_row(_long_features(spark, sf_dir, FT.SERVING_NAMES))
+    rows = last.select("*", F.explode(F.array(*[F.lit(k) for k in FT.HORIZONS])).alias("K"))
+    return rows.withColumns(FC.extra_lag_columns(rows, FT.HORIZONS))
+
+
 ROLLING = ["pm25_roll8_mean", "pm25_roll8_std", "pm25_roll8_max", "pm25_roll8_min",
            "pm25_roll24_mean", "pm25_roll24_std", "pm25_roll24_max",
            "pm25_roll48_mean", "pm25_roll48_std", "pm25_roll48_max",
@@ -454,7 +464,8 @@ def _model_features(spark, sf_dir):
     from hazecast.operators import models as M
     key = (spark.sparkContext.applicationId, sf_dir, "features")
     if key not in _TRAINED:
-        _TRAINED[key] = M.persist_shared(_wide_features(spark, sf_dir, FT.ALL_NAMES, horizons=FT.HORIZONS))
+        _TRAINED[key] = M.persist_shared(_wide_features(spark, sf_dir, FT.ALL_NAMES + FT.SERVING_NAMES,
+                                                       horizons=FT.HORIZONS))
     return _TRAINED[key]
 
 

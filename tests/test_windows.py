@@ -154,3 +154,29 @@ def test_bucket_replication_bounded(spark, sf_small):
     a = FT.build_features(df, names, split=True, bucket_rows=5, **kw)
     b = FT.build_features(df, names, split=False, **kw)
     _compare(a, b, ["event_id"])
+
+
+def test_serving_windows_follow_the_reference(spark):
+    """W13 + W14 of the newest row, for a long and a short series."""
+    import datetime as dt
+
+    import numpy as np
+    from hazecast.operators.forecast import extra_lag_columns
+    from hazecast.operators.rollups import latest_row
+    t0, series = dt.datetime(2024, 1, 1), {"long": 200, "short": 20}
+    value = {s: np.random.default_rng(n).uniform(0, 99, n) for s, n in series.items()}
+    df = spark.createDataFrame([(s, t0 + dt.timedelta(hours=i), float(x)) for s, v in value.items()
+                                for i, x in enumerate(v)], "series_id string, ts timestamp, PM25 double")
+    feat = FT.build_features(df, FT.SERVING_NAMES, impute=False)
+    rows = latest_row(feat).select("*", F.explode(F.array(*[F.lit(k) for k in FT.HORIZONS])).alias("K"))
+    got = rows.withColumns(extra_lag_columns(rows, FT.HORIZONS)).collect()
+    assert len(got) == 2 * len(FT.HORIZONS)
+    for r in got:
+        v, k = value[r["series_id"]], r["K"]
+        last = len(v) - 1
+        for n in (8, 24, 48, 168):
+            want = v[last - n:last].std() if last >= n else None
+            assert _close(r[f"pm25_roll{n}_std_pop"], want)
+        lags = {c: r[c] for c in r.asDict() if c.startswith("pm25_lag_extra_")}
+        mine = {f"pm25_lag_extra_{n}": v[last - n] if last >= n else None for n in {k, max(k // 2, 1), max(k // 3, 1)}}
+        assert lags == {c: mine.get(c) for c in lags} and set(mine) <= set(lags)
