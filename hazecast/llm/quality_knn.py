@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from hazecast.llm.common import bounded_sample, worker_cache
 
-PER_LABEL = 1_000
+PER_LABEL = 1_200
 WORD_TERMS, SHAPE_TERMS = 2_048, 512
 TERMS = WORD_TERMS + SHAPE_TERMS + 2        # and: word repeated, no words
 RANK = 48

@@ -346,3 +346,7 @@ def test_bounded_sample_takes_the_smallest_hashes(spark):
         texts = rows.where(F.col("lang") == lang).select("text", F.xxhash64("text").alias("h")).distinct().collect()
         want |= {(lang, r["text"]) for r in sorted(texts, key=lambda r: r["h"])[:40]}
     assert got == want
+
+
+def test_training_bounds_are_those_of_the_first_version():
+    assert (language_id.PER_LANGUAGE, quality_knn.PER_LABEL) == (1_500, 1_200)
