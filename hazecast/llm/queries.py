@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazecast.llm import (ann_forest, best_fit_pack, language_id, pq_dedup, quality_knn, simhash_dedup,
-                          source_mix, substring_dedup, token_counts, url_filter)
+from hazecast.llm import (ann_forest, best_fit_pack, hard_negatives, language_id, pq_dedup, quality_knn,
+                          simhash_dedup, source_mix, substring_dedup, token_counts, url_filter)
 from hazecast.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,13 @@ def op9_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     return token_counts.with_token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@register("op11_hard_negatives", VECTOR_BATCH)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of five positives of every vector whose id
+    is divisible by 50; labels of ids divisible by 7 are moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    out = hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+    return out.withColumn("rank", F.col("rank").cast("int"))
