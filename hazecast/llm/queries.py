@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazecast.llm import (ann_forest, best_fit_pack, hard_negatives, language_id, pq_dedup, quality_knn,
-                          simhash_dedup, source_mix, substring_dedup, token_counts, url_filter)
+from hazecast.llm import (ann_forest, best_fit_pack, filter_audit, hard_negatives, language_id, pq_dedup,
+                          quality_knn, simhash_dedup, source_mix, substring_dedup, token_counts, url_filter)
 from hazecast.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,3 +122,9 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
     out = hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
     return out.withColumn("rank", F.col("rank").cast("int"))
+
+
+@register("op12_filter_audit")
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filters A to E in all 120 orders over all documents, by source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
