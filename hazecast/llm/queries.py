@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazecast.llm import (ann_forest, best_fit_pack, filter_audit, hard_negatives, language_id, pq_dedup,
-                          quality_knn, simhash_dedup, source_mix, substring_dedup, token_counts, url_filter)
+                          quality_knn, simhash_dedup, source_mix, substring_dedup, token_counts, toxicity, url_filter)
 from hazecast.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filters A to E in all 120 orders over all documents, by source."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op13_toxicity")
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned outside fold 1 of 3."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(fold(3) != 1).select("doc_id", F.col("toxic").alias("label"))
+    out = toxicity.score(docs, toxicity.train(docs, labels))
+    return out.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
