@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazecast.llm.common import WORD_RE, materialize, text_key
+from hazecast.session import shared_dir
 
 ID = ["id", "k1"]
 LEAST_WORDS = 50
@@ -52,57 +53,52 @@ def text_filters(text: Column) -> dict[str, Column]:
             "D": text.rlike(SYMBOLS)}
 
 
-def relations(docs: DataFrame, labels: DataFrame, conditions: dict[str, Column], repeats: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """The audited rows (part, identity, label flags) and a stored table of
-    failing ids for every filter; ``repeats`` names the filter that fails a
-    document whose text a smaller id has."""
+def relations(docs: DataFrame, labels: DataFrame, conditions: dict[str, Column], repeats: str) -> tuple[DataFrame, DataFrame]:
+    """The audited rows (part, identity, label flags) and the failing ids
+    (filter, identity), stored as one table a filter; ``repeats`` names the filter
+    that fails a document whose text a smaller id has."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     flagged = read.select("doc_id", "part", *(c.alias(n) for n, c in text_key(F.col("text")).items()),
-                          *(c.alias(f"_{f}") for f, c in conditions.items()))
+                          F.filter(F.array(*(F.when(c, f) for f, c in conditions.items())), lambda f: f.isNotNull()).alias("fails"))
     flagged = materialize(flagged.withColumn("id", F.coalesce("doc_id", F.lit(0))), "flags")
     flags = (labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic")))
     rows = (flagged.select("doc_id", "id", "k1", "part").join(flags, "doc_id", "left")
             .select("part", *ID, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("good", "toxic"))))
-    rows = materialize(rows, "rows")
     own = flagged.where("doc_id is not null")
     firsts = own.groupBy("k1", "k2").agg(F.min("id").alias("id")).select(*ID)
-    failing = {f: flagged.where(f"_{f}").select(*ID) for f in conditions}
-    failing[repeats] = own.select(*ID).join(firsts, ID, "left_anti")
-    return rows, {f: materialize(ids.distinct(), f"failing-{f}") for f, ids in sorted(failing.items())}
+    failing = flagged.select(*ID, F.explode("fails").alias("filter")).unionByName(
+        own.select(*ID).join(firsts, ID, "left_anti").withColumn("filter", F.lit(repeats)))
+    path = f"{shared_dir(docs.sparkSession, 'llm-failing')}/table"
+    failing.distinct().write.partitionBy("filter").parquet(path)
+    return materialize(rows, "rows"), docs.sparkSession.read.schema("id long, k1 long, filter string").parquet(path)
 
 
 def counted(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy("part", *by).agg(F.count("*").alias("n"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic"))
 
 
-def union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
-def prefixes(rows: DataFrame, failing: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Counts (part, prefix, n, good, toxic) of survivors and (part, prefix,
-    filter, ...) of removals; a prefix is the sum of the bits of its filters."""
-    bits = {f: 1 << i for i, f in enumerate(failing)}
-    any_of = union(list(failing.values())).distinct()
+def prefixes(rows: DataFrame, failing: DataFrame, names: list[str]) -> DataFrame:
+    """Counts (part, prefix, filter, n, good, toxic) of what each filter removes
+    after each prefix, and of the survivors where filter is empty; a prefix is
+    the sum of the bits of its filters."""
+    any_of = failing.select(*ID).distinct()
+    every = F.array(*(F.struct(F.lit(f).alias("filter"), F.lit(1 << i).alias("bit")) for i, f in enumerate(names)))
+    clean = counted(rows.join(any_of, ID, "left_anti"))
+    counts = [materialize(clean, "clean").withColumn("prefix", F.explode(F.sequence(F.lit(0), F.lit((1 << len(names)) - 1))))
+              .withColumn("filter", F.lit(""))]
     level = materialize(rows.join(any_of, ID, "left_semi").withColumn("prefix", F.lit(0)), "survivors")
-    kept, removed = [], []
-    for depth in range(len(bits) + 1):
-        kept.append(counted(level, "prefix"))
-        if depth == len(bits):
-            break
-        removed.append(union([counted(level.where(F.col("prefix").bitwiseAND(b) == 0).join(failing[f], ID, "left_semi"), "prefix")
-                              .withColumn("filter", F.lit(f)) for f, b in bits.items()]))
-        # each prefix arises once, from the one without its last filter
-        level = materialize(union([level.where(F.col("prefix") < b).join(failing[f], ID, "left_anti")
-                                   .withColumn("prefix", F.col("prefix") + b) for f, b in bits.items()]), "survivors")
-    clean = counted(rows.join(any_of, ID, "left_anti")).withColumn("prefix", F.explode(F.sequence(F.lit(0), F.lit((1 << len(bits)) - 1))))
-    return counted_again(union([*kept, clean]), "prefix"), union(removed)
-
-
-def counted_again(counts: DataFrame, *by: str) -> DataFrame:
-    return counts.groupBy("part", *by).agg(*(F.sum(c).alias(c) for c in ("n", "good", "toxic")))
+    for depth in range(len(names) + 1):
+        options = level.select("*", F.explode(every).alias("f")).select(*level.columns, "f.*").where(F.col("prefix").bitwiseAND(F.col("bit")) == 0)
+        removed = counted(options.join(failing, ["filter", *ID], "left_semi"), "prefix", "filter")
+        kept = counted(level, "prefix").withColumn("filter", F.lit(""))
+        counts.append(materialize(kept.unionByName(removed), "counts"))
+        if depth < len(names):          # each prefix arises once, from the one without its last filter
+            level = materialize(options.where("prefix < bit").join(failing, ["filter", *ID], "left_anti")
+                                .withColumn("prefix", F.col("prefix") + F.col("bit")).select(*level.columns), "survivors")
+    return (reduce(DataFrame.unionByName, counts).groupBy("part", "prefix", "filter")
+            .agg(*(F.sum(c).alias(c) for c in ("n", "good", "toxic"))))
 
 
 def orders(names: list[str]) -> list[tuple]:
@@ -118,18 +114,15 @@ def audit(docs: DataFrame, labels: DataFrame, conditions: dict[str, Column] | No
     name; the default are the filters A to D.
     """
     conditions = text_filters(F.col("text")) if conditions is None else conditions
-    rows, failing = relations(docs, labels, conditions, repeats)
-    kept, removed = prefixes(rows, failing)
-    names = list(failing)
+    names = [*conditions, repeats]
+    counts = prefixes(*relations(docs, labels, conditions, repeats), names)
     bit = {f: 1 << i for i, f in enumerate(names)}
     everything = sum(bit.values())
 
     # one row a part: its survivors by prefix and its removals by filter and
     # prefix, at most filters x prefixes entries
-    numbers = F.struct("n", "good", "toxic")
-    cells = (kept.select("part", F.concat(F.lit("kept"), "prefix").alias("cell"), numbers.alias("v"))
-             .unionByName(removed.select("part", F.concat("filter", "prefix").alias("cell"), numbers.alias("v"))))
-    cells = cells.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("cell", "v"))).alias("cells"))
+    entry = F.struct(F.concat("filter", F.col("prefix").cast("string")), F.struct("n", "good", "toxic"))
+    cells = counts.groupBy("part").agg(F.map_from_entries(F.collect_list(entry)).alias("cells"))
 
     def of(cell: Column, field: str) -> Column:
         return F.coalesce(F.try_element_at("cells", cell)[field], F.lit(0)).cast("long")
@@ -148,7 +141,7 @@ def audit(docs: DataFrame, labels: DataFrame, conditions: dict[str, Column] | No
     steps = docs.sparkSession.createDataFrame(orders(names), "filter_order string, step int, filter string, prefix int")
     out = by_filter.join(F.broadcast(steps), "filter")          # filters x orders rows, a constant
     here = F.concat("filter", F.col("prefix").cast("string"))
-    after = F.concat(F.lit("kept"), (F.col("prefix") + own).cast("string"))
+    after = (F.col("prefix") + own).cast("string")
     return out.select("part", "filter_order", "step", of(after, "n").alias("kept"), of(here, "n").alias("removed"),
                       (F.col("fails") - of(here, "n")).alias("redundant"), "unique_fails", of(here, "good").alias("good_lost"),
                       of(here, "toxic").alias("toxic_lost"), "shapley")
