@@ -17,9 +17,7 @@ evidence.  Ties go to the language first by code point.
 
 from __future__ import annotations
 
-import re
 import uuid
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -38,8 +36,9 @@ SWITCH = 12.0
 #: Least share of a language's letters in a script for it to be a candidate.
 SCRIPT_SHARE = 0.01
 CACHE_WORDS = 250_000
-#: Words scored at once, and the characters from which a word is cut.
-CHUNK_WORDS, LONG_WORD = 16_384, 256
+#: Words scored at once; longer words are read in pieces that share all but
+#: one character of the longest n-gram, so that no n-gram is lost.
+CHUNK_WORDS, LONG_WORD, OVERLAP = 16_384, 256, max(GRAMS) - 1
 UND = "und"
 
 # First code points of the ranges of scripts (Unicode blocks).
@@ -56,11 +55,11 @@ SCRIPT_STARTS = (
 SCRIPTS = sorted({name for _, name in SCRIPT_STARTS})
 _STARTS = np.array([a for a, _ in SCRIPT_STARTS])
 _SCRIPT_OF = np.array([SCRIPTS.index(name) for _, name in SCRIPT_STARTS])
-_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def letters(word: str) -> str:
-    return word.lower() if word.isalpha() else "".join(_LETTERS.findall(word)).lower()
+    """The letters (by character category, so no number signs) in lower case."""
+    return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word)).lower()
 
 
 def script_places(points: np.ndarray) -> np.ndarray:
@@ -110,7 +109,7 @@ class Model:
             n += np.bincount(word, minlength=len(lows))
             for k in range(len(self.languages)):
                 total[:, k] += np.bincount(word, self.scores[bucket, k], len(lows))
-        s = total / np.maximum(n, 1)[:, None] * np.minimum(g.size, 12)[:, None]
+        s = total / np.maximum(n, 1)[:, None] * g.size[:, None]
         allowed = self.candidates[g.scripts().argmax(1)]
         s = s - np.where(allowed, s, -np.inf).max(1, initial=-1e9)[:, None]
         s = np.where(allowed, np.maximum(s, -30), -60)
@@ -181,11 +180,12 @@ class WordScores:
 
     @staticmethod
     def split(text: str) -> list[str]:
-        """Words; those over ``LONG_WORD`` characters in pieces."""
+        """Words; those over ``LONG_WORD`` characters in overlapping pieces."""
         w = text.split()
         if max(map(len, w), default=0) <= LONG_WORD:
             return w
-        return [x[i:i + LONG_WORD] for x in w for i in range(0, len(x), LONG_WORD)]
+        step = LONG_WORD - OVERLAP
+        return [x[i:i + LONG_WORD] for x in w for i in range(0, max(1, len(x) - OVERLAP), step)]
 
 
 def viterbi(scores: np.ndarray, rows: list[np.ndarray], switch: float) -> list[np.ndarray]:
