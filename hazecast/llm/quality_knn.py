@@ -47,7 +47,7 @@ _SHAPE = re.compile(r"(.)\1+", re.S)
 def shape(word: str) -> str:
     """Runs of upper-case letters, lower-case letters and digits as X, x, 9;
     any other character stands for itself, runs of it once."""
-    kinds = "".join("9" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in word[:64])
+    kinds = "".join("9" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in word)
     return _SHAPE.sub(r"\1", kinds)
 
 
