@@ -1,12 +1,12 @@
 """Token counts of whole texts by a map-side two-tier lookup.
 
-Pass 1 counts pre-tokens in every partition (bounded summaries of the heaviest
-ones, all texts covered) and merges the summaries to the ``frequent`` heaviest
-pre-tokens of the corpus; their token numbers are a compact table (one string
-buffer, one byte array) that is broadcast.  Pass 2 cuts every text into
-pre-tokens and adds up their numbers: frequent ones from the broadcast table,
-the rest from the worker's cache, which encodes what it misses.  No pre-token
-is shuffled; only the summaries are.
+The first tier is a compact table (one string buffer, one byte array) of the
+token numbers of frequent pre-tokens, broadcast; one task counts them in a
+bounded sample of texts.  Every text, whatever its script, is then cut into
+pre-tokens in the map task that holds it and their numbers are added up:
+frequent ones from the table, the rest from the worker's cache, which encodes
+what it misses.  No pre-token is shuffled.  Texts that hold a special token's
+string are encoded whole, as the library cuts those out first.
 
 The table is a speed-up: counts are those of the tokenizer for any table.
 Null and empty texts have 0 bytes and 0 tokens; repeated rows and null doc_ids
@@ -29,37 +29,33 @@ from hazecast.llm.common import worker_cache
 from hazecast.llm.tokens import CACHED_LENGTH, PieceCounts, PieceTokenizer, cut_byte_level
 
 FREQUENT = 32_768
-#: Pre-tokens that one partition holds while counting, and reports.
-HELD, REPORTED = 100_000, 4_096
+#: Texts sampled for the table, and pre-tokens held while they are counted.
+SAMPLE, HELD = 8_192, 1_000_000
 PIECE_LIMIT = 255
 
 
-def frequent_pretokens(docs: DataFrame, vocabulary: str, frequent: int = FREQUENT) -> list[tuple[str, int]]:
-    """The heaviest pre-tokens of the corpus with their token numbers; at most
-    ``frequent`` rows reach the driver."""
-    def summaries(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = worker_cache(f"piece_tokenizer:{vocabulary}", lambda: PieceTokenizer(vocabulary)).plain
-        cut, seen, floor = cut_byte_level(), Counter(), 0
+def frequent_pretokens(docs: DataFrame, vocabulary: str, frequent: int = FREQUENT, sample: int = SAMPLE) -> list[tuple[str, int]]:
+    """The heaviest pre-tokens of a bounded sample of texts (spread by hash over
+    all of them) with their token numbers; one task counts them and at most
+    ``frequent`` rows reach the driver.  No pre-token is shuffled."""
+    def counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pt = worker_cache(f"piece_tokenizer:{vocabulary}", lambda: PieceTokenizer(vocabulary))
+        cut, seen = cut_byte_level(), Counter()
         for b in it:
             for t in b.column(0):
                 text = t.as_py()
-                if text and plain(text):
-                    seen.update(cut(text))
-                    if len(seen) > HELD:               # lossy counting: the lightest go
-                        floor += 1
-                        seen = Counter({k: n for k, n in seen.items() if n > floor})
-                        while len(seen) > HELD // 2:
-                            floor *= 2
-                            seen = Counter({k: n for k, n in seen.items() if n > floor})
-        top = [(k, n) for k, n in seen.most_common(REPORTED) if len(k) <= CACHED_LENGTH]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()),
-                                          pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
-
-    rows = (docs.select(F.col("text").cast("string")).mapInArrow(summaries, "piece string, n long")
-            .groupBy("piece").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "piece").limit(frequent).collect())
+                if text and not pt.marked(text):
+                    seen.update(k for k in (cut if pt.plain(text) else pt.cut)(text) if len(k) <= CACHED_LENGTH)
+            if len(seen) > HELD:
+                seen = Counter(dict(seen.most_common(HELD // 2)))
+        top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:frequent]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string())], ["piece"])
+
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    every = max(1, docs.count() // sample)
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).limit(sample)
     pt = PieceTokenizer(vocabulary)
-    sized = [(r[0], len(pt.piece_ids(r[0]))) for r in rows]
+    sized = [(r[0], len(pt.piece_ids(r[0]))) for r in some.coalesce(1).mapInArrow(counts, "piece string").collect()]
     return [x for x in sized if x[1] <= PIECE_LIMIT]
 
 

@@ -3,9 +3,10 @@
 A tokenizer of the ``tokenizers`` library never joins text across the places
 where its own pattern cuts, so a text's ids are those of its pieces in a row.
 Texts of code points below 256 without special-token strings are cut here by
-the pattern (classes built from the character database); every other text goes
-through the library whole or by words.  The ids of a piece always come from
-the BPE model of the vocabulary file.
+the pattern (classes built from the character database); texts with others are
+cut by the library's own pre-tokenizer, and texts with special-token strings go
+through the library whole.  The ids of a piece always come from the BPE model of
+the vocabulary file.
 """
 
 from __future__ import annotations
@@ -51,6 +52,20 @@ class PieceTokenizer:
             return False
         return not _OTHER.search(text)
 
+    def marked(self, text: str) -> bool:
+        """Whether the text holds a special-token string."""
+        return self.special is not None and "<|" in text and bool(self.special.search(text))
+
+    def cut(self, text: str) -> list[str]:
+        """Pieces of a text without special-token strings, by the library's
+        pre-tokenizer: slices of the text."""
+        out, at = [], 0
+        for _, (_, end) in self.tok.pre_tokenizer.pre_tokenize_str(text):
+            if end > at:
+                out.append(text[at:end])
+                at = end
+        return out
+
     def piece_ids(self, piece: str) -> list[int]:
         if not (piece.isascii() and piece.isalpha()):     # letters of ASCII stand for themselves
             piece = piece.encode().decode("latin-1").translate(self.letters)
@@ -149,7 +164,9 @@ class PieceCounts(BoundedCache):
             return 0
         if self.pt.plain(text):
             return sum(map(self.__getitem__, self.cut(text)))
-        return len(self.pt.encode(text))
+        if self.pt.marked(text):
+            return len(self.pt.encode(text))
+        return sum(map(self.__getitem__, self.pt.cut(text)))
 
 
 def cut_byte_level():
