@@ -71,9 +71,9 @@ def table_of(packed: tuple[str, np.ndarray, np.ndarray]) -> dict[str, int]:
     return {buffer[e - k:e]: n for e, k, n in zip(ends, lengths.tolist(), numbers.tolist())}
 
 
-def with_token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, frequent: int = FREQUENT) -> DataFrame:
+def with_token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, frequent: int = FREQUENT, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every document."""
-    table = docs.sparkSession.sparkContext.broadcast(compact(frequent_pretokens(docs, vocabulary, frequent)))
+    table = docs.sparkSession.sparkContext.broadcast(compact(frequent_pretokens(docs, vocabulary, frequent, sample)))
     name = f"piece_counts:{uuid.uuid4().hex}"
 
     @F.pandas_udf("long")

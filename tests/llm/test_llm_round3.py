@@ -119,7 +119,7 @@ def failing(rows):
 
 
 def audited(rows, labels):
-    good, toxic = ({i for i, *x in labels if x[k] == 1} for k in (0, 1))
+    good, toxic = ({i for i, *x in labels if x[k] == 1 and i is not None} for k in (0, 1))
     out, shapley = {}, Counter()
     docs = failing(rows)
     for part in {d[0] for d in docs}:
