@@ -124,6 +124,17 @@ SERVING_FEATURES: list[WinFeature] = (
     + [_w(f"pm25_roll{n}_std_pop", "std_full", "PM25", n) for n in (8, 24, 48, 168)]
 )
 SERVING_NAMES = [f.name for f in SERVING_FEATURES]
+WIND_LAGS = (1, 6)
+
+
+def wind_lag_columns(w) -> dict:
+    """Sine and cosine of the wind direction 1 and 6 rows ago, as the
+    serving side has them (a missing direction counts as 0 degrees)."""
+    out = {}
+    for n in WIND_LAGS:
+        x = F.radians(F.coalesce(F.lag("Wind_Direction", n).over(w), F.lit(0.0)))
+        out |= {f"winddir_sin_lag{n}": F.sin(x), f"winddir_cos_lag{n}": F.cos(x)}
+    return out
 
 # Feature-name sets of the three horizon strategies.
 RAIN_FEATS = ["hours_since_rain", "rain_acc_6h", "rain_acc_12h", "rain_acc_24h",
@@ -231,9 +242,18 @@ def resolve(names) -> tuple[list[WinFeature], list[str]]:
     return [f for f in _WIN.values() if f.name in wins], derived
 
 
+def look_back(names) -> int:
+    """Rows before a row that its features read."""
+    return max((f.n for f in resolve(names)[0]), default=0)
+
+
 ALL_NAMES = ROW_LOCAL + [f.name for f in WINDOW_FEATURES if f.name not in INTERMEDIATE] + list(DERIVED)
 
 
+#: Kinds of trailing frames, all evaluated in linear time.
+FRAME_KINDS = {"mean": "mean", "long_mean": "mean", "std": "std", "std_full": "std_full", "max": "max", "min": "min", "sum": "sum"}
+
+
 def _win_column(w, f: WinFeature):
     if f.kind == "lag":
         return F.lag(F.col(f.src), f.n).over(w)
@@ -241,11 +261,6 @@ def _win_column(w, f: WinFeature):
         return F.lead(F.col(f.src), f.n).over(w)
     if f.kind == "flag_lag":
         return (F.lag(F.col(f.src), f.n).over(w) > F.lit(f.threshold)).cast("int")
-    if f.kind == "std_full":
-        rows = F.count(F.lit(1)).over(Wn.frame(w, f.n))
-        return F.when(rows == f.n, Wn.rolling(w, f.src, f.n, "std_pop"))
-    if f.kind in ("mean", "std", "max", "min", "sum"):
-        return Wn.rolling(w, f.src, f.n, f.kind)
     raise ValueError(f.kind)
 
 
@@ -273,8 +288,7 @@ def add_row_local(df: DataFrame, target: str = "PM25", ts: str = "ts") -> DataFr
 def build_features(df: DataFrame, names=None, horizons=(), target: str = "PM25",
                    key: str = "series_id", order=("ts",), clean: bool = True,
                    impute: bool = True, split: bool = True,
-                   bucket_rows: int | None = None, horizon_weather: bool = True,
-                   days_per_bucket: int = 8) -> DataFrame:
+                   bucket_rows: int | None = None, horizon_weather: bool = True) -> DataFrame:
     """Feature table for ``names`` (default: the whole catalogue) and, for
     each K in ``horizons``, the label and +K columns suffixed ``__k{K}``.
 
@@ -288,25 +302,25 @@ def build_features(df: DataFrame, names=None, horizons=(), target: str = "PM25",
         df = impute_seasonal(df, "BLH", key)
     df = add_row_local(df, target)
     wins, derived = resolve(names)
-    long_ = [f for f in wins if f.kind == "long_mean"]
-    short = [f for f in wins if f.kind != "long_mean"]
+    frames = [f for f in wins if f.kind in FRAME_KINDS]
+    offsets = [f for f in wins if f.kind not in FRAME_KINDS]
     horizons = list(horizons)
-    back = max([f.n for f in short] + [f.n + 1 for f in long_] + horizons + [1])
+    back = max([f.n for f in offsets] + [f.n + 1 for f in frames] + horizons + [1])
     fwd = max(horizons + [0])
-
-    def build(w):
-        stage1 = {f.name: _win_column(w, f) for f in short}
-        stage1.update(_horizon_columns(w, horizons, target, set(df.columns), horizon_weather))
-        for f in long_:
-            stage1.update(Wn.prefix_columns(w, f.src))
-        stages = [stage1]
-        if long_:
-            stages.append({f.name: Wn.long_mean(w, f.src, f.n) for f in long_})
-        return stages
+    helpers = []
+
+    def build(w, by):
+        t = Wn.Trailing(w, by)
+        for f in frames:
+            t.need(f.src, f.n, FRAME_KINDS[f.kind])
+        columns = {f.name: _win_column(w, f) for f in offsets}
+        columns.update(_horizon_columns(w, horizons, target, set(df.columns), horizon_weather))
+        columns.update({f.name: t.column(f.src, f.n, FRAME_KINDS[f.kind]) for f in frames})
+        helpers.extend(t.helpers() if frames else ())
+        return [*(t.stages() if frames else ()), columns]
 
     out = Wn.series_windows(df, build, back=back, fwd=fwd, key=key, order=order,
-                            bucket_rows=bucket_rows, split=split, days_per_bucket=days_per_bucket)
-    out = out.drop(*[c for c in out.columns if c.startswith("_cs_") or c.startswith("_cn_")])
+                            bucket_rows=bucket_rows, split=split).drop(*helpers)
     if derived:
         out = out.withColumns({n: F.expr(DERIVED[n]) for n in derived})
     return out.drop(*[c for c in INTERMEDIATE if c in out.columns and c not in names])

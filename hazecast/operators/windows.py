@@ -1,28 +1,33 @@
-"""Row-based series windows that scale past one hot series.
+"""Row-based series windows that scale past one hot series and long frames.
 
 A plain ``Window.partitionBy(series_id).orderBy(ts)`` puts every row of a
 series in one task; with one station holding a third of 100 TB that task
 never finishes.  ``series_windows`` therefore evaluates windows on *halo
-buckets* built from whole days:
-
-1. rows are counted per (series, day) – a small aggregate – and a running sum
-   over that table gives each day its row range [start, end) in the series;
-2. a day's *home* bucket is ``start div B``; its rows are also copied into
+buckets* cut from the series' exact row index:
+
+1. rows are counted per (series, day) - a small aggregate - and a running sum
+   over that table gives each day its first row number in the series.  A day of
+   more than ``B / PIECES`` rows is *thick*: its rows are sorted together with
+   those of other thick days by range partitioning, so that their numbers in
+   the day follow from their place in a range and the counts of the ranges
+   before it.  Thick days are cut into pieces of ``B / PIECES`` rows by that
+   number; other days are one piece each.  The cut does not depend on how many
+   rows a day, an hour or one instant holds;
+2. a piece's *home* bucket is ``first row div B``; its rows are also copied into
    every bucket whose frames reach them (``back`` rows behind, ``fwd``
-   ahead), computed per day on the small table and applied with
-   ``explode(sequence(lo, hi))``.  Each bucket then holds a contiguous run
-   of days covering its home rows plus the halo; replication is about
-   ``1 + (back + fwd + day size) / B``;
+   ahead) with ``explode(sequence(lo, hi))``.  A bucket holds at most
+   ``B + back + fwd`` rows and three pieces more;
 3. windows run per (series, bucket) ordered by time, and only rows whose
    home bucket is the current bucket are kept.  Results equal the plain
    window exactly.
 
-The only full-data exchange is the one the window needs anyway (the
-per-day table is joined back by broadcast when AQE measures it small).
+Without thick days the only full-data exchange is the one the window needs
+anyway (the per-day table is joined by broadcast when AQE measures it small);
+thick days cost one more for their rows.
 
-Long frames (e.g. 8 760 rows) use prefix sums – running ``sum``/``count``
-(incremental in Spark) minus their ``lag`` – instead of a sliding frame that
-re-aggregates the whole frame for every row.
+Frames are evaluated in linear time, whatever their length: means, sums and
+deviations from centred running sums and their lags, maxima and minima from
+running maxima inside blocks of the frame's length, forwards and backwards.
 """
 
 from __future__ import annotations
@@ -32,7 +37,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from hazecast.session import ensure_checkpoint_dir
+
 MIN_BUCKET_ROWS = 1 << 16
+#: Pieces of a bucket: a bucket is at most 3 / PIECES fuller than it need be.
+PIECES = 32
 
 
 def default_bucket_rows(back: int, fwd: int) -> int:
@@ -40,18 +49,20 @@ def default_bucket_rows(back: int, fwd: int) -> int:
     return max(MIN_BUCKET_ROWS, 32 * (back + fwd))
 
 
-def dense_index(df: DataFrame, key: str = "series_id", order=("ts",), block_ts: str = "ts",
-                block_unit: str = "day", out: str = "_idx") -> DataFrame:
-    """0-based row number per series in ``order`` (ties broken by the later
-    order columns), computed without a whole-series partition."""
-    blk = F.date_trunc(block_unit, F.col(block_ts))
-    d = df.withColumn("_blk", blk)
-    counts = d.groupBy(key, "_blk").count()
-    w_off = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(key, "_blk", F.coalesce(F.sum("count").over(w_off), F.lit(0)).alias("_off"))
-    d = d.join(offsets, [key, "_blk"], "inner")
-    w_loc = Window.partitionBy(key, "_blk").orderBy(*order)
-    return d.withColumn(out, F.col("_off") + F.row_number().over(w_loc) - 1).drop("_blk", "_off")
+def numbered(df: DataFrame, by: list[str], order, out: str) -> DataFrame:
+    """0-based row number within ``by`` in ``order``, without a task per group:
+    rows are ranged by (``by``, ``order``) over all tasks and numbered by their
+    place in the range plus the rows of their group in earlier ranges.  The
+    ranged rows are checkpointed, as both readers must see the same ranges."""
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = (df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+              .withColumn("_at", F.monotonically_increasing_id()).checkpoint())      # range << 33 | place
+    place = F.shiftright("_at", 33)
+    sizes = ranged.groupBy(*by, place.alias("_range")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)     # one row a range
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return (ranged.withColumn("_range", place).join(sizes, [*by, "_range"])
+            .withColumn(out, F.col("_before") + F.col("_at") - F.col("_first")).drop("_at", "_range", "_first", "_before"))
 
 
 def _apply(df: DataFrame, stages) -> DataFrame:
@@ -60,56 +71,57 @@ def _apply(df: DataFrame, stages) -> DataFrame:
     return df
 
 
-def series_windows(df: DataFrame, build: Callable[[WindowSpec], dict | list],
+def series_windows(df: DataFrame, build: Callable[[WindowSpec, list[str]], dict | list],
                    back: int, fwd: int = 0, key: str = "series_id", order=("ts",),
                    bucket_rows: int | None = None, split: bool = True,
-                   block_unit: str = "day", days_per_bucket: int = 8) -> DataFrame:
-    """Add the window columns returned by ``build(w)`` – one dict, or a list
+                   block_unit: str = "day") -> DataFrame:
+    """Add the window columns returned by ``build(w, by)`` – one dict, or a list
     of dicts applied in order when later columns read earlier ones (all
-    stages share the partitioning and sort, so they add no exchange).
+    stages share the partitioning, so they add no exchange).
 
-    ``w`` is ordered per series by ``order`` (the first column is the time
-    used for day blocks); ``build`` may use ``lag``/``lead`` up to
-    ``back``/``fwd`` rows and frames inside ``[-back, fwd]``.  With
-    ``split=False`` the plain per-series window is used (reference plan,
-    also used by tests as the equivalence baseline).
+    ``w`` is partitioned by the columns ``by`` and ordered by ``order`` (the
+    first column is the time used for day blocks); ``build`` may use
+    ``lag``/``lead`` up to ``back``/``fwd`` rows and frames inside
+    ``[-back, fwd]``.  With ``split=False`` the plain per-series window is used
+    (reference plan, also used by tests as the equivalence baseline).
     """
     if not split:
-        w = Window.partitionBy(key).orderBy(*order)
-        return _apply(df, build(w))
+        return _apply(df, build(Window.partitionBy(key).orderBy(*order), [key]))
+    d = bucketed(df, back, fwd, key, order, bucket_rows, block_unit)
+    out = _apply(d, build(Window.partitionBy(key, "_bucket").orderBy(*order), [key, "_bucket"]))
+    return out.where(F.col("_home") == F.col("_bucket")).drop("_home", "_bucket")
+
+
+def bucketed(df: DataFrame, back: int, fwd: int, key: str = "series_id", order=("ts",),
+             bucket_rows: int | None = None, block_unit: str = "day") -> DataFrame:
+    """``df`` with the columns ``_bucket`` (each row in all buckets that need it)
+    and ``_home`` (the one that keeps it).
+
+    A piece with rows [s, e) lives in bucket ``s div B``.  Bucket c starts at a
+    piece's start ≥ cB and ends before (c+1)B + m (m = largest piece), so the
+    piece is needed by buckets ``(s − fwd − m) div B`` … ``(e + back − 1) div B``;
+    both bounds grow with the piece, so every bucket receives a contiguous run."""
     B = bucket_rows or default_bucket_rows(back, fwd)
+    piece = max(1, B // PIECES)
+    ensure_checkpoint_dir(df.sparkSession)
     d = df.withColumn("_blk", F.date_trunc(block_unit, F.col(order[0])))
-    meta = _bucket_ranges(d, key, B, back, fwd, days_per_bucket)
-    d = d.join(meta, [key, "_blk"], "inner")
-    d = d.withColumn("_bucket", F.explode(F.sequence("_clo", "_chi")))
-    w = Window.partitionBy(key, "_bucket").orderBy(*order)
-    out = _apply(d, build(w))
-    return out.where(F.col("_home") == F.col("_bucket")).drop("_blk", "_home", "_clo", "_chi", "_bucket")
-
-
-def _bucket_ranges(d: DataFrame, key: str, B: int, back: int, fwd: int,
-                   days_per_bucket: int = 8) -> DataFrame:
-    """Per (series, day): home bucket and the range of buckets that see the
-    day's rows.  Computed on the per-day count table only.
-
-    A day with rows [s, e) lives in bucket ``s div B``.  Bucket c starts at a
-    day boundary ≥ cB and ends before (c+1)B + m (m = largest day of the
-    series), so the day is needed by buckets ``(s − fwd − m) div B`` …
-    ``(e + back − 1) div B``; both bounds grow with the day, so every bucket
-    receives a contiguous run of days.  B is raised per series to at least
-    ``days_per_bucket`` × m, so a very dense series (huge days) is still
-    copied at most ~``1 + 1/days_per_bucket + (back + fwd)/B`` times."""
-    counts = d.groupBy(key, "_blk").agg(F.count("*").alias("_c"))
-    run = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
-    e = F.sum("_c").over(run)
-    m = F.max("_c").over(Window.partitionBy(key))
-    t = counts.select(key, "_blk", (e - F.col("_c")).alias("_s"), e.alias("_e"), m.alias("_m"))
-    b = F.greatest(F.lit(B), F.col("_m") * F.lit(days_per_bucket))
-    return t.select(
-        key, "_blk",
-        F.floor(F.col("_s") / b).alias("_home"),
-        F.greatest(F.floor((F.col("_s") - F.lit(fwd) - F.col("_m")) / b), F.lit(0)).alias("_clo"),
-        F.floor((F.col("_e") + F.lit(back - 1)) / b).alias("_chi"))
+    days = d.groupBy(key, "_blk").agg(F.count("*").alias("_c"))
+    run = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)           # one row a day
+    days = days.select(key, "_blk", "_c", (F.sum("_c").over(run) - F.col("_c")).alias("_s0"),
+                       F.least(F.max("_c").over(Window.partitionBy(key)), F.lit(piece)).alias("_m")).checkpoint()
+    thick = days.where(F.col("_c") > piece).select(key, "_blk")
+    if thick.isEmpty():
+        d = d.withColumn("_pos", F.lit(0).cast("long"))
+    else:
+        d = (d.join(thick, [key, "_blk"], "left_anti").withColumn("_pos", F.lit(0).cast("long"))
+             .unionByName(numbered(d.join(thick, [key, "_blk"], "left_semi"), [key, "_blk"], order, "_pos")))
+    d = d.join(days, [key, "_blk"], "inner")
+    s = F.col("_s0") + F.floor(F.col("_pos") / piece) * piece
+    e = F.least(s + piece, F.col("_s0") + F.col("_c"))
+    d = d.withColumns({"_home": F.floor(s / B), "_clo": F.greatest(F.floor((s - fwd - F.col("_m")) / B), F.lit(0)),
+                       "_chi": F.floor((e + (back - 1)) / B)})
+    return (d.withColumn("_bucket", F.explode(F.sequence("_clo", F.greatest("_chi", "_home"))))
+            .drop("_blk", "_c", "_s0", "_m", "_pos", "_clo", "_chi"))
 
 
 # ---------------------------------------------------------------------------
@@ -123,34 +135,85 @@ def frame(w: WindowSpec, n: int) -> WindowSpec:
 
 
 def rolling(w: WindowSpec, col: str, n: int, how: str) -> Column:
-    c = F.col(col)
-    f = frame(w, n)
-    if how == "mean":
-        return F.avg(c).over(f)
-    if how == "std":
-        return F.stddev_samp(c).over(f)
-    if how == "std_pop":
-        return F.stddev_pop(c).over(f)
-    if how == "max":
-        return F.max(c).over(f)
-    if how == "min":
-        return F.min(c).over(f)
-    if how == "sum":
-        return F.sum(c).over(f)
-    raise ValueError(how)
-
-
-def prefix_columns(w: WindowSpec, col: str) -> dict[str, Column]:
-    """Running sum and count (current row included) – stage 1 of a long mean."""
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return {f"_cs_{col}": F.sum(F.col(col)).over(run),
-            f"_cn_{col}": F.count(F.col(col)).over(run)}
-
-
-def long_mean(w: WindowSpec, col: str, n: int) -> Column:
-    """Mean of the ``n`` preceding rows from the running sums of
-    ``prefix_columns`` (stage 2; needs ``back >= n + 1``)."""
-    cs, cn = F.col(f"_cs_{col}"), F.col(f"_cn_{col}")
-    s = F.lag(cs, 1).over(w) - F.coalesce(F.lag(cs, n + 1).over(w), F.lit(0.0))
-    k = F.lag(cn, 1).over(w) - F.coalesce(F.lag(cn, n + 1).over(w), F.lit(0))
-    return F.when(k > 0, s / k)
+    """A frame evaluated row by row, in time n a row (short frames, tests)."""
+    fn = {"mean": F.avg, "std": F.stddev_samp, "std_pop": F.stddev_pop, "max": F.max, "min": F.min, "sum": F.sum}
+    return fn[how](F.col(col)).over(frame(w, n))
+
+
+class Trailing:
+    """Frames of preceding rows in linear time, as stages for ``series_windows``.
+
+    ``need`` names what is wanted; ``stages`` are the columns to add first, and
+    ``column`` is the value once they are there.  Needs ``back >= n + 1``.
+
+    Sums: of a column less its bucket's mean, running; a frame's is the
+    difference of two lags.  Extremes: rows are cut into blocks of n; the running
+    maximum of (block, value) begins anew with each block, so the frame, which
+    meets two blocks, is the larger of one running forwards and one backwards.
+    A deviation is exactly 0 where the frame's values are all equal.  NaN counts
+    as null.
+    """
+
+    SUMS = ("mean", "sum", "std", "std_pop", "std_full")
+
+    def __init__(self, w: WindowSpec, by: list[str]):
+        self.w, self.whole = w, Window.partitionBy(*by)
+        self.backwards = self.whole.orderBy(F.desc("_row"))
+        self.sums: dict[str, bool] = {}             # column -> squares too
+        self.ends: dict[tuple[str, int, str], None] = {}
+
+    def need(self, col: str, n: int, how: str) -> None:
+        if how in self.SUMS:
+            self.sums[col] = self.sums.get(col, False) or how not in ("mean", "sum")
+        for end in (("max", "min") if how in ("std", "std_pop", "std_full") else (how,) if how in ("max", "min") else ()):
+            self.ends[col, n, end] = None
+
+    @staticmethod
+    def _value(col: str) -> Column:
+        return F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
+
+    def stages(self) -> list[dict]:
+        run = self.w.rowsBetween(Window.unboundedPreceding, 0)
+        first = {"_row": F.row_number().over(self.w) - 1}
+        first |= {f"_mid_{c}": F.coalesce(F.avg(self._value(c)).over(self.whole), F.lit(0.0)) for c in self.sums}
+        second = {}
+        for c, squares in self.sums.items():
+            d = F.coalesce(self._value(c) - F.col(f"_mid_{c}"), F.lit(0.0))
+            second[f"_s_{c}"], second[f"_n_{c}"] = F.sum(d).over(run), F.count(self._value(c)).over(run)
+            if squares:
+                second[f"_q_{c}"] = F.sum(d * d).over(run)
+        third = {}
+        back = self.backwards.rowsBetween(Window.unboundedPreceding, 0)
+        for c, n, end in self.ends:
+            v = self._value(c) if end == "max" else -self._value(c)
+            block = F.floor(F.col("_row") / n)
+            second[f"_f_{end}{n}_{c}"] = F.max(F.struct(block, v.alias("v"))).over(run)["v"]
+            third[f"_b_{end}{n}_{c}"] = F.max(F.struct(-block, v.alias("v"))).over(back)["v"]
+        return [first, second, *([third] if third else [])]
+
+    def _end(self, col: str, n: int, end: str) -> Column:
+        ahead = F.lag(f"_f_{end}{n}_{col}", 1).over(self.w)
+        m = F.greatest(ahead, F.lag(f"_b_{end}{n}_{col}", n).over(self.w))
+        return m if end == "max" else -m
+
+    def column(self, col: str, n: int, how: str) -> Column:
+        if how in ("max", "min"):
+            return self._end(col, n, how)
+
+        def over(c: str) -> Column:
+            return F.lag(c, 1).over(self.w) - F.coalesce(F.lag(c, n + 1).over(self.w), F.lit(0))
+        s, k, mid = over(f"_s_{col}"), over(f"_n_{col}"), F.col(f"_mid_{col}")
+        if how == "mean":
+            return F.when(k > 0, s / k + mid)
+        if how == "sum":
+            return F.when(k > 0, s + mid * k)
+        least = 2 if how == "std" else 1
+        spread = F.greatest(over(f"_q_{col}") - s * s / k, F.lit(0.0)) / (k - (1 if how == "std" else 0))
+        flat = self._end(col, n, "max") == self._end(col, n, "min")
+        value = F.when(k >= least, F.when(flat, F.lit(0.0)).otherwise(F.sqrt(spread)))
+        return F.when(F.col("_row") >= n, value) if how == "std_full" else value
+
+    def helpers(self) -> list[str]:
+        """Columns to drop at the end."""
+        return (["_row"] + [f"_{p}_{c}" for c in self.sums for p in ("mid", "s", "n", "q")]
+                + [f"_{p}_{end}{n}_{c}" for c, n, end in self.ends for p in ("f", "b")])

@@ -1,6 +1,7 @@
 """Halo-bucket windows and prefix-sum means equal the plain per-series window."""
 
 import math
+import re
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -34,12 +35,13 @@ def _compare(x, y, keys):
             assert _close(a[c], b[c]), (k, c, a[c], b[c])
 
 
-def test_dense_index_matches_row_number(spark, sf_small):
-    df = _long(spark, sf_small)
-    got = Wn.dense_index(df, order=("ts", "event_id"))
-    w = Window.partitionBy("series_id").orderBy("ts", "event_id")
-    want = df.withColumn("_idx", F.row_number().over(w) - 1)
-    _compare(got.select("event_id", "_idx"), want.select("event_id", "_idx"), ["event_id"])
+def test_numbered_matches_row_number(spark, sf_small):
+    df = _long(spark, sf_small).withColumn("day", F.date_trunc("day", "ts"))
+    for by in (["series_id"], ["series_id", "day"]):
+        got = Wn.numbered(df, by, ("ts", "event_id"), "_idx")
+        w = Window.partitionBy(*by).orderBy("ts", "event_id")
+        want = df.withColumn("_idx", F.row_number().over(w) - 1)
+        _compare(got.select("event_id", "_idx"), want.select("event_id", "_idx"), ["event_id"])
 
 
 def test_halo_buckets_equal_plain_windows(spark, sf_small):
@@ -51,7 +53,7 @@ def test_halo_buckets_equal_plain_windows(spark, sf_small):
         "pm25_anomaly_score", "is_spike", "pm25_level_ratio"]
     df = _long(spark, sf_small)
     kw = dict(order=("ts", "event_id"), impute=False, horizons=[1, 7])
-    split = FT.build_features(df, names, split=True, bucket_rows=23, days_per_bucket=1, **kw)
+    split = FT.build_features(df, names, split=True, bucket_rows=23, **kw)
     plain = FT.build_features(df, names, split=False, **kw)
     _compare(split, plain, ["event_id"])
 
@@ -59,29 +61,57 @@ def test_halo_buckets_equal_plain_windows(spark, sf_small):
 def test_halo_on_panel_with_impute(spark, sf_small):
     obs = tables.observations(spark, sf_small)
     names = ["pm25_lag1", "blh_roll24_mean", "hours_since_rain", "rain_acc_24h", "dispersion_idx"]
-    split = FT.build_features(obs, names, horizons=[4], split=True, bucket_rows=17, days_per_bucket=1)
+    split = FT.build_features(obs, names, horizons=[4], split=True, bucket_rows=17)
     plain = FT.build_features(obs, names, horizons=[4], split=False)
     _compare(split, plain, ["ts"])
 
 
-def test_prefix_sum_mean_equals_sliding_frame(spark, sf_small):
+def test_trailing_equals_sliding_frames(spark, sf_small):
+    """Every kind of frame, with nulls, NaN and a flat stretch, against the row by
+    row evaluation."""
     df = _long(spark, sf_small)
-    n = 40
-
-    def build(w):
-        return [Wn.prefix_columns(w, "PM25"),
-                {"fast": Wn.long_mean(w, "PM25", n),
-                 "slow": F.avg("PM25").over(w.rowsBetween(-n, -1))}]
-    out = Wn.series_windows(df, build, back=n + 1, order=("ts", "event_id"), split=False)
-    for r in out.select("fast", "slow").collect():
-        assert _close(r["fast"], r["slow"], 1e-9)
+    odd = (F.when(F.col("event_id") % 11 == 0, F.lit(None)).when(F.col("event_id") % 13 == 0, F.lit(float("nan")))
+           .when(F.dayofmonth("ts") < 9, F.lit(7.25)).otherwise(F.col("PM25")))
+    df = df.withColumn("odd", odd).withColumn("clean", F.nanvl("odd", F.lit(None).cast("double")))
+    kinds = [(n, how) for n in (1, 2, 5, 8, 40, 400) for how in ("mean", "sum", "std", "std_pop", "max", "min")]
+
+    def build(w, by):
+        t = Wn.Trailing(w, by)
+        for n, how in kinds:
+            t.need("odd", n, how)
+        return [*t.stages(), {f"fast_{how}{n}": t.column("odd", n, how) for n, how in kinds}
+                | {f"slow_{how}{n}": Wn.rolling(w, "clean", n, how) for n, how in kinds}]
+    for kw in ({"split": False}, {"bucket_rows": 64}):
+        for r in Wn.series_windows(df, build, back=401, order=("ts", "event_id"), **kw).collect():
+            for n, how in kinds:
+                fast, slow = r[f"fast_{how}{n}"], r[f"slow_{how}{n}"]
+                if how in ("max", "min"):
+                    assert fast == slow
+                else:
+                    assert _close(fast, slow, 1e-6 if how.startswith("std") else 1e-9), (n, how, fast, slow)
+
+
+def test_frame_work_does_not_grow_with_its_length(spark):
+    """No frame of the plan is longer than its running start, whatever n."""
+    df = spark.createDataFrame([("s", 1, 1.0)], "series_id string, ts int, PM25 double")
+    plans = []
+    for n in (168, 8760):
+        def build(w, by, n=n):
+            t = Wn.Trailing(w, by)
+            for how in ("mean", "std", "max", "min"):
+                t.need("PM25", n, how)
+            return [*t.stages(), {how: t.column("PM25", n, how) for how in ("mean", "std", "max", "min")}]
+        plan = Wn.series_windows(df, build, back=n + 1, split=False)._jdf.queryExecution().optimizedPlan().toString()
+        assert "specifiedwindowframe(RowFrame, -168, -1)" not in plan and "-8760, -1" not in plan
+        plans.append(re.sub(r"#\d+L?|8761|8760|169|168", "", plan))
+    assert plans[0] == plans[1]
 
 
 def test_first_rows_of_frames(spark):
     df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate([5, 7, 9, 11])],
                                "series_id string, ts int, PM25 double")
 
-    def build(w):
+    def build(w, by):
         return {"m": Wn.rolling(w, "PM25", 8, "mean"), "sd": Wn.rolling(w, "PM25", 8, "std")}
     rows = Wn.series_windows(df, build, back=8, split=False).orderBy("ts").collect()
     assert rows[0]["m"] is None and rows[0]["sd"] is None
@@ -127,9 +157,9 @@ def test_no_lookahead(spark, sf_small):
     obs = tables.observations(spark, sf_small)
     cut = dt.datetime(2024, 1, 20)
     names = [n for n in FT.ALL_NAMES if n != "days_since_start"]
-    full = FT.build_features(obs, names, split=True, bucket_rows=19, days_per_bucket=1)
+    full = FT.build_features(obs, names, split=True, bucket_rows=19)
     part = FT.build_features(obs.where(F.col("ts") <= F.lit(cut)), names, split=True, bucket_rows=19,
-                             impute=False, days_per_bucket=1)
+                             impute=False)
     full_imp = FT.build_features(obs.where(F.col("ts") <= F.lit(cut)), names, split=False,
                                  impute=False)
     # imputation uses whole-history medians, so compare on the un-imputed build
@@ -141,19 +171,23 @@ def test_no_lookahead(spark, sf_small):
 
 
 
-def test_bucket_replication_bounded(spark, sf_small):
-    """Dense days: with the per-series minimum bucket (8 days) a day is copied
-    into at most a few buckets, and results still equal the plain window."""
-    df = _long(spark, sf_small)
-    d = df.withColumn("_blk", F.date_trunc("day", "ts"))
-    meta = Wn._bucket_ranges(d, "series_id", 5, 24, 1, days_per_bucket=8)
-    spans = [r["_chi"] - r["_clo"] + 1 for r in meta.collect()]
-    assert max(spans) <= 3
-    names = ["pm25_lag24", "pm25_roll24_mean"]
-    kw = dict(order=("ts", "event_id"), impute=False)
-    a = FT.build_features(df, names, split=True, bucket_rows=5, **kw)
-    b = FT.build_features(df, names, split=False, **kw)
-    _compare(a, b, ["event_id"])
+def test_buckets_of_a_series_in_one_hour_are_bounded(spark):
+    """All rows of a series in one hour (and a third at one instant): buckets
+    hold at most 1.1 (B + back + fwd) rows, and windows equal the plain ones."""
+    rows = spark.range(20_000).select(
+        F.lit("s").alias("series_id"), F.col("id").alias("event_id"),
+        F.expr("timestamp_ntz '2024-01-05 10:00:00' + make_dt_interval(0, 0, 0, if(id % 3 = 0, 7, id % 3600))").alias("ts"),
+        F.expr("cast((id * 7919) % 1000 as double)").alias("PM25"))
+    thin = rows.where("event_id < 300").withColumns({"series_id": F.lit("t"), "ts": F.expr("ts + make_dt_interval(cast(event_id % 20 as int))")})
+    df = rows.unionByName(thin)
+    B, back, fwd, order = 640, 25, 4, ("ts", "event_id")
+    got = Wn.bucketed(df, back, fwd, order=order, bucket_rows=B)
+    sizes = [r["count"] for r in got.where("series_id = 's'").groupBy("_bucket").count().collect()]
+    assert max(sizes) <= 1.1 * (B + back + fwd) and len(sizes) >= 20_000 // B
+    assert got.where("_home = _bucket").count() == df.count()
+    names = ["pm25_lag24", "pm25_roll24_mean", "pm25_roll24_std", "pm25_roll8_max", "pm25_roll8_min"]
+    kw = dict(order=order, impute=False, horizons=[4])
+    _compare(FT.build_features(df, names, bucket_rows=B, **kw), FT.build_features(df, names, split=False, **kw), ["series_id", "event_id"])
 
 
 def test_serving_windows_follow_the_reference(spark):
