@@ -86,3 +86,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
     return path
+
+
+def file_stamp(spark: SparkSession, path: str) -> str:
+    """What tells a version of an input from another: length and modification
+    time of the file, or of the files of a folder, in whatever store it is in
+    (empty: there is none)."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return ""
+    files = fs.listStatus(place)
+    return " ".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files))

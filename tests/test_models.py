@@ -51,9 +51,9 @@ def test_min_train_rows_guard(spark, feat):
 
 
 def test_scaled_budget():
-    p = M.scaled_budget(M.gbt_params(1), 0.02)
+    p = M.scaled_budget(M.params_of("gbt", 1), 0.02)
     assert p["maxIter"] == 6 and p["maxDepth"] == 5
-    assert M.scaled_budget(M.rf_params(49), 0.001)["numTrees"] == 2
+    assert M.scaled_budget(M.params_of("rf", 49), 0.001)["numTrees"] == 2
 
 
 def _bruteforce_prune(pdf, cols, target="label", min_corr=0.05, max_inter=0.97):
@@ -101,7 +101,7 @@ def test_prune_matches_bruteforce(spark, feat):
 
 def test_prune_horizons_matches_bruteforce(spark, feat):
     pruned = {}
-    rows = M.prune_horizons(feat, [1, 4], CUT, 50, pruned=pruned)
+    rows = M.prune_horizons(feat, [1, 4], CUT, 50, pruned)
     for k in (1, 4):
         hk, names = M.horizon_slice(feat, k, CUT)
         train = hk.where("split = 'train'").select(*names, "label").toPandas()
