@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazecast.functions.calendar import add_hours, hour_floor, hours_between
+from hazecast.session import ensure_checkpoint_dir
 
 # ---------------------------------------------------------------------------
 # projections / filters
@@ -68,12 +69,18 @@ def happened(df: DataFrame, as_of_cutoff, start=None, ts="ts") -> DataFrame:
     return df.where(cond)
 
 
-def split_label(val_cutoff, test_cutoff, ts="ts") -> Column:
-    """Chronological split train < val_cutoff <= val < test_cutoff <= test."""
-    t = F.col(ts)
-    return (F.when(t < F.lit(val_cutoff).cast("timestamp_ntz"), "train")
-            .when(t < F.lit(test_cutoff).cast("timestamp_ntz"), "val")
-            .otherwise("test"))
+def split_label(val_cutoff, test_cutoff, ts="ts", embargo=None) -> Column:
+    """Chronological split train < val_cutoff <= val < test_cutoff <= test.
+
+    ``embargo`` (hours, a number or a column) is the horizon of the row's label:
+    rows whose label lies on the other side of a cut-off are ``embargo``, so
+    that no split has seen a value that the next one is judged by."""
+    t, val, test = F.col(ts), F.lit(val_cutoff).cast("timestamp_ntz"), F.lit(test_cutoff).cast("timestamp_ntz")
+    if embargo is None:
+        return F.when(t < val, "train").when(t < test, "val").otherwise("test")
+    seen = add_hours(t, embargo)
+    return (F.when(t < val, F.when(seen < val, "train").otherwise("embargo"))
+            .when(t < test, F.when(seen < test, "val").otherwise("embargo")).otherwise("test"))
 
 
 def null_report(df: DataFrame, cols, key="series_id") -> DataFrame:
@@ -88,29 +95,80 @@ def null_report(df: DataFrame, cols, key="series_id") -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
+#: Counts a group that a pass of ``exact_medians`` makes at most.
+RADIX = 1 << 12
+_WIDE = "decimal(20,0)"         # differences of 64-bit numbers
+
+
+def ordered_bits(c: Column) -> Column:
+    """A double's bits as a long of the same order (-0.0 like 0.0)."""
+    bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), c.cast("double") + F.lit(0.0)).cast("long")
+    return F.when(bits >= 0, bits).otherwise(F.bitwise_not(bits).bitwiseXOR(F.lit(-(1 << 63))))
+
+
+def from_ordered_bits(c: Column) -> Column:
+    bits = F.when(c >= 0, c).otherwise(F.bitwise_not(c.bitwiseXOR(F.lit(-(1 << 63)))))
+    return F.call_function("java_method", F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
+def exact_medians(df: DataFrame, col: str, groupings: list[dict], out: str, radix: int = RADIX) -> list[DataFrame]:
+    """The lower median of ``col`` per group, exact at any size, for several
+    groupings of the same rows: a table (keys, ``out``) each.
+
+    Radix selection on the ordered bits of the values, for all groups at once.
+    A pass cuts every group's remaining range of bits into at most ``radix``
+    cells and counts the rows of each (folded map-side); the cell that holds the
+    median's rank, narrowed to its least and largest value, is the next range.
+    A group is done when the two are equal, mostly after one or two passes, at
+    last after six.  No task sees more than ``radix`` cells of a group, whatever
+    rows or different values it has; rows and ranges meet in a plain join on
+    the group, whose small side AQE broadcasts while it is small and whose large
+    side it splits where a group is hot."""
+    if not groupings:
+        return []
+    ensure_checkpoint_dir(df.sparkSession)
+    names = list(dict.fromkeys(k for g in groupings for k in g))
+    kinds = {}
+    for g in groupings:
+        for k, c in g.items():
+            kinds.setdefault(k, df.select(c.alias(k)).schema[k].dataType)
+    cells = [F.struct(F.lit(i).alias("_g"), *((g[k] if k in g else F.lit(None)).cast(kinds[k]).alias(k) for k in names))
+             for i, g in enumerate(groupings)]
+    d = df.where(F.col(col).isNotNull()).select(ordered_bits(F.col(col)).alias("_b"), F.explode(F.array(*cells)).alias("_k"))
+    d = d.groupBy("_k", "_b").agg(F.count("*").alias("_c")).checkpoint()        # equal values once
+    state = d.groupBy("_k").agg(F.min("_b").alias("_lo"), F.max("_b").alias("_hi"), F.sum("_c").alias("_n"))
+    state = state.select("_k", "_lo", "_hi", F.expr("(_n + 1) div 2").alias("_rank")).checkpoint()
+    done = []
+    while True:
+        done.append(state.where("_lo = _hi").select("_k", F.col("_lo").alias("_b")))
+        state = state.where("_lo < _hi")
+        if state.isEmpty():
+            break
+        span = F.col("_hi").cast(_WIDE) - F.col("_lo").cast(_WIDE)
+        ranges = state.withColumn("_w", F.floor(span / F.lit(radix).cast(_WIDE)).cast(_WIDE) + 1)
+        j = d.join(ranges, "_k").where("_b between _lo and _hi")
+        cell = F.floor((F.col("_b").cast(_WIDE) - F.col("_lo").cast(_WIDE)) / F.col("_w")).cast("long")
+        counts = j.groupBy("_k", "_rank", cell.alias("_cell")).agg(F.sum("_c").alias("_c"), F.min("_b").alias("_lo"), F.max("_b").alias("_hi"))
+        run = F.sum("_c").over(Window.partitionBy("_k").orderBy("_cell"))                # at most ``radix`` rows a group
+        state = (counts.withColumn("_run", run).where("_run >= _rank and _run - _c < _rank")
+                 .select("_k", "_lo", "_hi", (F.col("_rank") - F.col("_run") + F.col("_c")).alias("_rank")).checkpoint())
+    found = reduce(DataFrame.unionByName, done)
+    return [found.where(F.col("_k._g") == i).select(*(F.col("_k")[k].alias(k) for k in g), from_ordered_bits(F.col("_b")).alias(out))
+            for i, g in enumerate(groupings)]
+
+
 def exact_median(df: DataFrame, col: str, keys: dict, out: str) -> DataFrame:
-    """The lower median of ``col`` per group, exact at any size.
-
-    A sketch brackets the median between the 0.499 and 0.501 quantiles (its
-    rank error is 1e-4); then rows are counted by value inside the bracket and
-    as one below it, and the running count picks the median.  Both passes
-    aggregate map-side, and the window sees the few values of the bracket
-    only, so a group that holds a third of the rows is never collected."""
-    names = list(keys)
-    d = df.where(F.col(col).isNotNull()).select(*(c.alias(k) for k, c in keys.items()), F.col(col).alias("_v"))
-    bracket = d.groupBy(*names).agg(F.percentile_approx("_v", [0.499, 0.501], 10_000).alias("_b"),
-                                    F.count("*").alias("_n"))
-    counts = (d.join(bracket, names).where(F.col("_v") <= F.col("_b")[1])
-              .groupBy(*names, "_n", F.when(F.col("_v") >= F.col("_b")[0], F.col("_v")).alias("_v"))
-              .agg(F.count("*").alias("_c")))
-    run = F.sum("_c").over(Window.partitionBy(*names).orderBy(F.asc_nulls_first("_v")))
-    return (counts.withColumn("_run", run).where(F.col("_v").isNotNull() & (2 * F.col("_run") >= F.col("_n")))
-            .groupBy(*names).agg(F.min("_v").alias(out)))
+    """The lower median of ``col`` per group: see ``exact_medians``."""
+    return exact_medians(df, col, [keys], out)[0]
+
+
+def seasonal_keys(key="series_id", ts="ts") -> dict:
+    return {key: F.col(key), "hour": F.hour(ts), "month": F.month(ts)}
 
 
 def seasonal_median(df: DataFrame, col: str, key="series_id", ts="ts") -> DataFrame:
     """A2: median per (series, hour of day, month) over non-null values."""
-    return exact_median(df, col, {key: F.col(key), "hour": F.hour(ts), "month": F.month(ts)}, "seasonal_med")
+    return exact_median(df, col, seasonal_keys(key, ts), "seasonal_med")
 
 
 def series_median(df: DataFrame, col: str, key="series_id") -> DataFrame:
@@ -127,8 +185,8 @@ def impute_seasonal(df: DataFrame, col: str, key="series_id", ts="ts") -> DataFr
     joins from the *measured* size of the materialised aggregate, and stay
     shuffle joins when many series make the table large.
     """
-    med = seasonal_median(df, col, key, ts)
-    gmed = series_median(df, col, key)
+    med, gmed = exact_medians(df, col, [seasonal_keys(key, ts), {key: F.col(key)}], "med")
+    med, gmed = med.withColumnRenamed("med", "seasonal_med"), gmed.withColumnRenamed("med", "series_med")
     out = (df.withColumn("hour", F.hour(ts)).withColumn("month", F.month(ts))
            .join(med, [key, "hour", "month"], "left")
            .join(gmed, [key], "left"))
@@ -170,6 +228,25 @@ def upsert_keep_last(history: DataFrame, delta: DataFrame, keys=("series_id", "t
     return dedupe_by_priority(u, "_prio", keys, keep="max")
 
 
+# ---------------------------------------------------------------------------
+# hourly grid
+# ---------------------------------------------------------------------------
+
+
+def hourly_grid(df: DataFrame, key="series_id", ts="ts", bucket_rows: int | None = None) -> DataFrame:
+    """One row per series and hour between its first and last one, so that row
+    offsets are hours: each row generates the hours up to its successor, as
+    rows of nulls marked ``filled``.  Nothing is joined with a grid, and the
+    successor comes from the windows that split a hot series."""
+    from hazecast.operators.windows import series_windows
+    hour = F.make_dt_interval(F.lit(0), F.lit(1))
+    nxt = series_windows(df, lambda w, by: {"_next": F.lead(ts).over(w)}, back=0, fwd=1, key=key, order=(ts,), bucket_rows=bucket_rows)
+    hours = F.when(F.col("_next") > F.col(ts) + hour, F.sequence(F.col(ts), F.col("_next") - hour, hour)).otherwise(F.array(ts))
+    rows = nxt.withColumn("_hour", F.explode(hours)).withColumn("filled", F.col("_hour") != F.col(ts))
+    rest = [c for c in df.columns if c not in (key, ts)]
+    return rows.select(key, F.col("_hour").alias(ts), *(F.when(~F.col("filled"), F.col(c)).alias(c) for c in rest), "filled")
+
+
 # ---------------------------------------------------------------------------
 # freshness
 # ---------------------------------------------------------------------------

@@ -3,17 +3,16 @@ at the horizon (N3), naive fallback (M15), display slots (N4/X3), next-hour
 lookup (N5), slot statistics (A6) and run/slot tables (S17).
 
 Per horizon one ``PipelineModel.transform`` scores the newest feature row of
-*all* series; the 17 horizon frames are unioned.  The only grouped-map pandas
-step is the greedy unique slot assignment, whose groups hold at most 17
-predictions × 16 targets per (series, run).
+*all* series; the 17 horizon frames are unioned.  The greedy unique slot
+assignment is a fold over arrays in the JVM.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hazecast.functions.aqi import aqi_category, pm25_to_aqi_simple, pm25_to_aqi_strict
 from hazecast.functions.calendar import add_hours, day_floor, display_formats, hour_floor
@@ -21,7 +20,7 @@ from hazecast.functions.numeric import decode_target, round_dp
 from hazecast.operators import features as FT
 from hazecast.operators.clean import fill_zero
 from hazecast.operators.joins import asof_nearest
-from hazecast.operators.rollups import latest_row, mean_of_last_n
+from hazecast.operators.rollups import latest_row, mean_of_last_n, tail_n
 from hazecast.schema import FORECAST_FALLBACK
 
 # Display slots – 8 per day at these hours, for the two days
@@ -31,6 +30,7 @@ SLOT_DAYS = [1, 2]
 NAIVE_STEP = 0.1            # naive fallback adds 0.1 per horizon hour
 NAIVE_WINDOW = 24
 REALTIME_WINDOW = 8
+REALTIME_LEAST = 10         # rows that a series must have for a realtime prediction
 # next-hour record when nothing can be predicted: label, css class, colour
 NO_DATA = ("Không có dữ liệu", "unknown", "#9e9e9e")
 
@@ -155,69 +155,64 @@ def slots_nearest(pred: DataFrame, key="series_id") -> DataFrame:
     return _slot_columns(m)
 
 
-SLOT_PANDAS_SCHEMA = T.StructType([
-    T.StructField("series_id", T.StringType()), T.StructField("base_ts", T.TimestampNTZType()),
-    T.StructField("target_dt", T.TimestampNTZType()), T.StructField("day_index", T.IntegerType()),
-    T.StructField("K", T.IntegerType()), T.StructField("pm25", T.DoubleType()),
-    T.StructField("aqi", T.IntegerType()), T.StructField("forecast_dt", T.TimestampNTZType()),
-])
-
-
-def _greedy_unique(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy in target order: the nearest prediction whose K is unused
-    (first minimum in forecast_dt order); when all are used, the last one."""
-    preds = pdf.sort_values("forecast_dt", kind="stable").reset_index(drop=True)
-    base = pd.Timestamp(preds["base_ts"].iloc[0])
-    day0 = base.normalize()
-    used, rows = set(), []
-    fdt = preds["forecast_dt"].map(pd.Timestamp)
-    for d in SLOT_DAYS:
-        for h in SLOT_HOURS:
-            target = day0 + pd.Timedelta(days=d, hours=h)
-            best, best_diff = None, None
-            for i in range(len(preds)):
-                k = int(preds.at[i, "K"])
-                if k in used:
-                    continue
-                diff = abs((fdt.iat[i] - target).total_seconds())
-                if best_diff is None or diff < best_diff:
-                    best, best_diff = i, diff
-            if best is None:
-                best = len(preds) - 1
-            used.add(int(preds.at[best, "K"]))
-            r = preds.iloc[best]
-            rows.append((r["series_id"], base, target, d - 1, int(r["K"]), float(r["pm25"]),
-                         None if pd.isna(r["aqi"]) else int(r["aqi"]), r["forecast_dt"]))
-    return pd.DataFrame(rows, columns=[f.name for f in SLOT_PANDAS_SCHEMA.fields])
-
-
 def slots_greedy(pred: DataFrame, key="series_id") -> DataFrame:
-    """N4/X3 (reference form): each K is used at most once; grouped-map
-    pandas per (series, base), ≤ 17 rows per group."""
-    cols = [key, "base_ts", "K", "pm25", "aqi", "forecast_dt"]
-    out = pred.select(*cols).groupBy(key, "base_ts").applyInPandas(_greedy_unique, SLOT_PANDAS_SCHEMA)
+    """N4/X3 (reference form): targets in time order each take the nearest
+    prediction whose K none before has taken (ties to the earlier forecast);
+    when all are taken, the last prediction.
+
+    A fold in the JVM: the predictions of a (series, base), 17 at most, are an
+    array; ``aggregate`` walks the 16 targets with the Ks used and the choices
+    made so far as its state."""
+    offsets = [(d - 1, 24 * d + h) for d in SLOT_DAYS for h in SLOT_HOURS]
+    kind = pred.select("forecast_dt", "K", "pm25", "aqi").schema
+    one = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in kind)
+    fields = [f.name for f in kind]
+    runs = pred.groupBy(key, "base_ts").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("p"))
+    targets = F.array(*[F.struct(F.lit(d).alias("day_index"), add_hours(day_floor("base_ts"), o).alias("target_dt")) for d, o in offsets])
+
+    def take(state, target):
+        free = F.filter(F.col("p"), lambda x: ~F.array_contains(state["used"], x["K"]))
+        away = F.transform(free, lambda x, i: F.struct(
+            F.abs(F.timestamp_diff("MICROSECOND", x["forecast_dt"], target["target_dt"])).alias("away"), i.alias("i"), x.alias("x")))
+        best = F.when(F.size(free) > 0, F.array_min(away)["x"]).otherwise(F.element_at("p", -1))
+        return F.struct(F.array_append(state["used"], best["K"]).alias("used"), F.array_append(state["made"], best).alias("made"))
+
+    start = F.struct(F.expr(f"cast(array() as array<{kind['K'].dataType.simpleString()}>)").alias("used"),
+                     F.expr(f"cast(array() as array<struct<{one}>>)").alias("made"))
+    made = F.aggregate(targets, start, take, lambda s: s["made"])
+    rows = runs.select(key, "base_ts", F.explode(F.arrays_zip(targets.alias("t"), made.alias("m"))).alias("s"))
+    out = rows.select(key, "base_ts", F.col("s.t.target_dt").alias("target_dt"), F.col("s.t.day_index").alias("day_index"),
+                      *(F.col("s.m")[f].alias(f) for f in ("K", "pm25", "aqi", "forecast_dt")))
     return _slot_columns(out)
 
 
 def next_hour(slots: DataFrame, history: DataFrame, as_of: DataFrame, value="PM25",
-              key="series_id", ts="ts") -> DataFrame:
+              key="series_id", ts="ts", scores: DataFrame | None = None) -> DataFrame:
     """For each series the slot whose forecast hour equals the next
-    hour after ``as_of`` (a per-series table with column ``as_of``); when
-    none matches, the realtime fallback = mean of the newest 8 rows."""
+    hour after ``as_of`` (a per-series table with column ``as_of``).  Where none
+    matches the hour is predicted: by the K=1 model's score (``scores``: series and
+    ``pm25``), without one by the mean of the newest 8 rows; a series with fewer
+    than 10 rows has no prediction and gets the error record."""
     nh = as_of.select(key, add_hours(hour_floor("as_of"), 1).alias("next_hour"))
     s = slots.select(key, hour_floor("forecast_dt").alias("next_hour"), "target_dt", "aqi", "pm25")
     hit = (nh.join(s, [key, "next_hour"], "left")
            .groupBy(key, "next_hour")
            .agg(F.min_by(F.struct("aqi", "pm25"), "target_dt").alias("hit")))
-    fb = mean_of_last_n(history, REALTIME_WINDOW, value, key, ts)
-    fbv = F.col(f"mean_last_{REALTIME_WINDOW}")
-    j = hit.join(fb.select(key, fbv.alias("fb")), key, "left")
+    tail = tail_n(history.select(key, ts, value), REALTIME_LEAST, key, (ts,))
+    newest = F.slice(F.sort_array(F.collect_list(F.struct(ts, value)), asc=False), 1, REALTIME_WINDOW)      # at most REALTIME_LEAST rows
+    fb = tail.groupBy(key).agg(F.count("*").alias("rows"), newest.alias("newest"))
+    mean = F.aggregate(F.filter("newest", lambda r: r[value].isNotNull()), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
+                       lambda a, r: F.struct((a["s"] + r[value]).alias("s"), (a["n"] + 1).alias("n")), lambda a: F.try_divide(a["s"], a["n"]))
+    fb = fb.where(F.col("rows") >= REALTIME_LEAST).select(key, mean.alias("mean"))
+    j = hit.join(fb, key, "left")
+    j = j.join(scores.select(key, F.col("pm25").alias("score")), key, "left") if scores is not None else j.withColumn("score", F.lit(None).cast("double"))
+    guess = F.when(F.col("mean").isNotNull(), F.coalesce("score", "mean"))
     found = F.col("hit.aqi").isNotNull()
-    aqi = F.when(found, F.col("hit.aqi")).otherwise(pm25_to_aqi_simple("fb"))
-    pm = F.when(found, F.col("hit.pm25")).otherwise(round_dp("fb", 2))
-    out = j.select(key, "next_hour", aqi.alias("aqi"), pm.alias("pm25"),
-                   F.when(found, "slot").when(F.col("fb").isNotNull(), "realtime")
-                   .otherwise("error").alias("source"),
+    aqi = F.when(found, F.col("hit.aqi")).otherwise(pm25_to_aqi_simple(guess))
+    pm = F.when(found, F.col("hit.pm25")).otherwise(round_dp(guess, 2))
+    source = (F.when(found, "slot").when(guess.isNull(), "error")
+              .when(F.col("score").isNotNull(), "model").otherwise("realtime"))
+    out = j.select(key, "next_hour", aqi.alias("aqi"), pm.alias("pm25"), source.alias("source"),
                    F.date_format("next_hour", "HH:00").alias("hour_str"))
     cat = aqi_category("aqi")
     err = F.col("source") == "error"
@@ -263,3 +258,41 @@ def run_tables(slots: DataFrame, created_at, key="series_id") -> tuple[DataFrame
     rows = slots.select(run_id.alias("run_id"), "forecast_dt", "pm25",
                         pm25_to_aqi_strict("pm25").alias("aqi"))
     return runs, rows
+
+
+# ---------------------------------------------------------------------------
+# re-forecast trigger (T5)
+# ---------------------------------------------------------------------------
+
+
+class ForecastLedger:
+    """Which series were forecast when, and the forecasts: tables in one folder.
+
+    ``run`` scores the series that are due - never forecast, or last before
+    midnight of ``as_of``'s day - found by a left-anti join with the ledger.  A
+    run owns the folder of its ``as_of``: it writes its forecasts, then the ledger
+    entry that makes them count, so a run that was killed between the two is
+    repeated into the same folder and scores nothing twice."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "series_id"):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+        empty = spark.createDataFrame([], f"{key} string, generated_at timestamp_ntz")
+        empty.write.mode("append").parquet(f"{self.path}/ledger/run=0")
+
+    def due(self, series: DataFrame, as_of) -> DataFrame:
+        """The series (one row each) that have no forecast of ``as_of``'s day."""
+        midnight = day_floor(F.lit(as_of).cast("timestamp_ntz"))
+        ledger = self.spark.read.parquet(f"{self.path}/ledger")
+        fresh = (ledger.where(F.col("generated_at") >= midnight).where(F.col("generated_at") <= F.lit(as_of).cast("timestamp_ntz"))
+                 .select(self.key).distinct())
+        return series.join(fresh, self.key, "left_anti")
+
+    def run(self, series: DataFrame, score: Callable[[DataFrame], DataFrame], as_of) -> DataFrame:
+        """Forecasts that this run made: ``score`` of the due series."""
+        name = f"run={''.join(c for c in str(as_of) if c.isdigit())}"
+        due = self.due(series, as_of).withColumn("generated_at", F.lit(as_of).cast("timestamp_ntz"))
+        made = f"{self.path}/forecasts/{name}"
+        due = due.checkpoint()
+        score(due.drop("generated_at")).write.mode("overwrite").parquet(made)
+        due.select(self.key, "generated_at").write.mode("overwrite").parquet(f"{self.path}/ledger/{name}")
+        return self.spark.read.parquet(made)

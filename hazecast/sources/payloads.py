@@ -8,7 +8,9 @@ Documents are written per (series, run) with bounded arrays (≤ 17 entries).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +27,45 @@ def read_payloads(spark: SparkSession, path: str, fields) -> DataFrame:
     return spark.read.schema(payload_schema(list(fields))).json(path)
 
 
+ERRORS = "source string, file string, series_id string, reason string, record string"
+
+
+def screened_payloads(spark: SparkSession, sources: dict[str, str], fields) -> tuple[DataFrame, DataFrame]:
+    """Payloads of several sources and a table of what could not be used, with
+    its source, file, reason and (if it is no JSON) record; one bad source,
+    file or payload does not keep the others from being served.
+
+    A source whose path is missing is one error.  A record is refused if it is
+    no JSON of the payload's form, has no series or no times, has arrays of
+    another length than its times, or a time that is no timestamp."""
+    good, bad = [], []
+    for source, path in sorted(sources.items()):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            bad.append(spark.createDataFrame([(source, path, None, "source is missing", None)], ERRORS))
+            continue
+        schema = payload_schema(list(fields)).add("_corrupt", T.StringType())
+        rows = (spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+                .select(F.lit(source).alias("source"), F.col("_metadata.file_path").alias("file"), "*"))
+        rows = rows.withColumn("reason", _fault(fields))
+        good.append(rows.where("reason is null").select("source", "series_id", "hourly"))
+        bad.append(rows.where("reason is not null").select("source", "file", "series_id", "reason", F.col("_corrupt").alias("record")))
+    empty = spark.createDataFrame([], T.StructType([T.StructField("source", T.StringType()), *payload_schema(list(fields)).fields]))
+    return reduce(DataFrame.unionByName, good, empty), reduce(DataFrame.unionByName, bad, spark.createDataFrame([], ERRORS))
+
+
+def _fault(fields) -> Column:
+    """Why a payload cannot be used; null if it can."""
+    times = F.col("hourly.time")
+    uneven = [F.when(F.size(F.col(f"hourly.{f}")) != F.size(times), F.lit(f"array {f} has another length than time")) for f in fields]
+    return F.coalesce(
+        F.when(F.col("_corrupt").isNotNull(), F.lit("not a payload")),
+        F.when(F.col("series_id").isNull(), F.lit("no series")),
+        F.when(times.isNull(), F.lit("no times")),
+        *uneven,
+        F.when(F.exists(times, lambda t: F.try_to_timestamp(t).isNull()), F.lit("a time is no timestamp")))
+
+
 def explode_payload(payloads: DataFrame, mapping: dict | None = None, key: str = "series_id",
                     ts: str = "ts") -> DataFrame:
     """Zip the parallel arrays under ``hourly`` into rows, parse ``time``
@@ -80,14 +121,21 @@ def read_observations_csv(spark: SparkSession, path: str) -> DataFrame:
     return select_existing(df.select(*cols), OBS_ORDER)
 
 
-def write_observations(df: DataFrame, path: str, fmt: str = "parquet", ts: str = "ts") -> None:
+BOM = "\ufeff"
+
+
+def write_observations(df: DataFrame, path: str, fmt: str = "parquet", ts: str = "ts", bom: bool = False) -> None:
     """Partitioned by date, rows clustered by (series, ts) within files;
-    range partitioning keeps one hot series from landing in one task."""
+    range partitioning keeps one hot series from landing in one task.  With
+    ``bom`` every CSV file begins with the UTF-8 byte-order mark, as the
+    spreadsheet form of the history file does."""
     if ts not in df.columns and "Local_Time" in df.columns:
         ts = "Local_Time"
     out = (df.withColumn("date", F.to_date(ts))
            .repartitionByRange("date", "series_id", ts)
            .sortWithinPartitions("series_id", ts))
+    if bom:                             # the mark is the first character of the header
+        out = out.withColumnRenamed(out.columns[0], BOM + out.columns[0])
     w = out.write.mode("overwrite").partitionBy("date")
     if fmt == "csv":
         w.option("header", True).csv(path)

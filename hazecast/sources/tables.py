@@ -7,7 +7,8 @@ fixed, documented mapping (one place, used by every query and every oracle):
 
 * long form  – ``series_id = event_type``, target ``value``, ordered by
   ``(ts, event_id)``: five series, used for per-series windows and rollups;
-* wide form  – one station ``series_id = 'events'``, one row per hour
+* wide form  – one station for every 150 users (``series_id`` = ``st`` and the user's
+  number div 150, so stations grow with the data), one row per station and hour
   (``date_trunc('hour', ts)``).  Pollutants are hourly means pivoted by type:
   click→PM25, view→PM10, purchase→NO2, signup→O3, error→CO (×10), and SO2 is
   the mean over all events of the hour.  Weather stand-ins come from the same
@@ -18,20 +19,25 @@ fixed, documented mapping (one place, used by every query and every oracle):
   max(max value − 150, 0)/20, BLH = 10 × mean signup value (null in hours
   without a signup, which exercises the imputation path).
 
-A single station holding every row is the hot-key case the window operators
-are built for (see ``operators.windows``).
+The long form's five series hold all events between them: the hot-key case the
+window operators are built for (see ``operators.windows``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazecast.functions.aqi import with_overall_aqi
 from hazecast.functions.calendar import hour_floor
 from hazecast.schema import OBS_ORDER
 
-STATION = "events"
+STATION_USERS = 150
+
+
+def station() -> Column:
+    return F.concat(F.lit("st"), F.expr(f"coalesce(user_id, 0) div {STATION_USERS}").cast("string"))
+
 
 # Event type → pollutant column of the stand-in panel.
 EVENT_POLLUTANT = {"click": "PM25", "view": "PM10", "purchase": "NO2",
@@ -39,8 +45,12 @@ EVENT_POLLUTANT = {"click": "PM25", "view": "PM10", "purchase": "NO2",
 CO_SCALE = 10.0
 
 
+def path_of(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.parquet(path_of(sf_dir, name))
 
 
 def events_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,22 +74,21 @@ def _k(props="props"):
 def air_quality_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pivot of the hourly means by event type (conditional aggregation: a
     single partial+final hash aggregate, no distinct pass for pivot values)."""
-    e = table(spark, sf_dir, "events").select("ts", "event_type", "value")
+    e = table(spark, sf_dir, "events").select(station().alias("series_id"), "ts", "event_type", "value")
     aggs = []
     for et, col in EVENT_POLLUTANT.items():
         m = F.avg(F.when(F.col("event_type") == et, F.col("value")))
         aggs.append((m * F.lit(CO_SCALE) if col == "CO" else m).alias(col))
     aggs.append(F.avg("value").alias("SO2"))
-    return (e.groupBy(hour_floor("ts").alias("ts")).agg(*aggs)
-            .withColumn("series_id", F.lit(STATION)))
+    return e.groupBy("series_id", hour_floor("ts").alias("ts")).agg(*aggs)
 
 
 def weather_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("ts", "event_type", "value", "props")
+    e = table(spark, sf_dir, "events").select(station().alias("series_id"), "ts", "event_type", "value", "props")
     n = F.count("*")
     browse = F.sum(F.when(F.col("event_type").isin("click", "view"), 1).otherwise(0))
     errors = F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0))
-    return (e.groupBy(hour_floor("ts").alias("ts")).agg(
+    return e.groupBy("series_id", hour_floor("ts").alias("ts")).agg(
         (F.avg(_k()) / 4.0).alias("Temperature"),
         (browse * 100.0 / n).alias("Relative_Humidity"),
         (F.lit(1000.0) + n).alias("Pressure"),
@@ -88,7 +97,7 @@ def weather_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
         (errors * 100.0 / n).alias("Clouds"),
         (F.greatest(F.max("value") - 150.0, F.lit(0.0)) / 20.0).alias("Precipitation"),
         (F.avg(F.when(F.col("event_type") == "signup", F.col("value"))) * 10.0).alias("BLH"),
-    ).withColumn("series_id", F.lit(STATION)))
+    )
 
 
 def merge_weather_air(weather: DataFrame, air: DataFrame) -> DataFrame:
@@ -117,11 +126,8 @@ def observations(spark: SparkSession, sf_dir: str, landed: bool = True) -> DataF
     ``landed=False`` returns the ingest plan itself."""
     if not landed:
         return ingest_observations(spark, sf_dir)
-    import os
-    from hazecast.session import shared_dir
-    src = f"{sf_dir.rstrip('/')}/events.parquet"
-    stamp = os.path.getmtime(src) if os.path.exists(src) else None
-    key = (spark.sparkContext.applicationId, sf_dir, stamp)
+    from hazecast.session import file_stamp, shared_dir
+    key = (spark.sparkContext.applicationId, sf_dir, file_stamp(spark, path_of(sf_dir, "events")))
     path = _LANDED.get(key)
     if path is None:
         path = shared_dir(spark, "observations")
@@ -133,6 +139,19 @@ def observations(spark: SparkSession, sf_dir: str, landed: bool = True) -> DataF
     return spark.read.parquet(path)
 
 
+def landed_history(spark: SparkSession, sf_dir: str) -> str:
+    """The long form as a history in date partitions, landed once per session
+    and input like the observations: the path to read its tail from."""
+    from hazecast.session import file_stamp, shared_dir
+    from hazecast.sources.history import land_history
+    key = (spark.sparkContext.applicationId, sf_dir, file_stamp(spark, path_of(sf_dir, "events")), "history")
+    if key not in _LANDED:
+        path = shared_dir(spark, "history")
+        land_history(events_long(spark, sf_dir), path)
+        _LANDED[key] = path
+    return _LANDED[key]
+
+
 def orders_daily_aqi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multi-year series for the monthly/yearly rollups: per order priority
     (series) and order date, PM2.5-equivalent = o_totalprice / 1000 → AQI."""

@@ -48,3 +48,20 @@ def test_write_table_formats(spark):
         back = getattr(reader, fmt)(path)
         got = sorted((int(r["K"]), float(r["rmse"]), r["flag"]) for r in back.collect())
         assert got == [(1, 8.76, "good"), (4, 15.7, "fair")], fmt
+
+
+def test_tail_reads_the_dates_of_the_look_back(spark, tmp_path):
+    """Only the dates that hold the newest rows are scanned, per series."""
+    from hazecast.sources.history import land_history, read_tail, tail_dates
+    rows = spark.sql("select 'a' series_id, timestamp_ntz '2024-01-01' + make_dt_interval(0, cast(id as int)) ts, id v from range(2400)"
+                     " union all select 'old', timestamp_ntz '2024-01-03' + make_dt_interval(0, cast(id as int)), id from range(30)"
+                     " union all select 'short', timestamp_ntz '2024-02-01' + make_dt_interval(0, cast(id as int)), id from range(5)")
+    land_history(rows, f"{tmp_path}/h")
+    dates = sorted((r["series_id"], str(r["date"])) for r in tail_dates(spark, f"{tmp_path}/h", 30).collect())
+    assert dates == [("a", "2024-04-08"), ("a", "2024-04-09"), ("old", "2024-01-03"), ("old", "2024-01-04"), ("short", "2024-02-01")]
+    tail = read_tail(spark, f"{tmp_path}/h", 30)
+    assert "dynamicpruning" in tail._jdf.queryExecution().executedPlan().toString()
+    got = {r["series_id"]: r["n"] for r in tail.groupBy("series_id").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert got == {"a": 48, "old": 30, "short": 5}
+    newest = {r["series_id"]: r["m"] for r in tail.groupBy("series_id").agg({"v": "max"}).withColumnRenamed("max(v)", "m").collect()}
+    assert newest == {"a": 2399, "old": 29, "short": 4}
