@@ -15,20 +15,23 @@ import re
 
 K_EXPR = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 
-AIR = """
+#: A station holds 150 users.
+STATION = "'st' || (user_id // 150)"
+
+AIR = f"""
 air AS (
-  SELECT date_trunc('hour', ts) AS ts,
+  SELECT {STATION} AS series_id, date_trunc('hour', ts) AS ts,
          avg(CASE WHEN event_type = 'click' THEN value END) AS PM25,
          avg(CASE WHEN event_type = 'view' THEN value END) AS PM10,
          avg(CASE WHEN event_type = 'purchase' THEN value END) AS NO2,
          avg(CASE WHEN event_type = 'signup' THEN value END) AS O3,
          avg(CASE WHEN event_type = 'error' THEN value END) * 10.0 AS CO,
          avg(value) AS SO2
-  FROM events GROUP BY 1)"""
+  FROM events GROUP BY 1, 2)"""
 
 WEATHER = f"""
 weather AS (
-  SELECT date_trunc('hour', ts) AS ts,
+  SELECT {STATION} AS series_id, date_trunc('hour', ts) AS ts,
          avg({K_EXPR}) / 4.0 AS Temperature,
          sum(CASE WHEN event_type IN ('click','view') THEN 1 ELSE 0 END) * 100.0 / count(*) AS Relative_Humidity,
          1000.0 + count(*) AS Pressure,
@@ -37,7 +40,7 @@ weather AS (
          sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) * 100.0 / count(*) AS Clouds,
          greatest(max(value) - 150.0, 0.0) / 20.0 AS Precipitation,
          avg(CASE WHEN event_type = 'signup' THEN value END) * 10.0 AS BLH
-  FROM events GROUP BY 1)"""
+  FROM events GROUP BY 1, 2)"""
 
 
 def r1(x: str, d: int = 1) -> str:
@@ -76,9 +79,9 @@ def _overall_cte() -> str:
 subs AS (
   SELECT w.*, a.PM25, a.PM10, a.NO2, a.O3, a.CO, a.SO2,
          {subs}
-  FROM weather w JOIN air a USING (ts)),
+  FROM weather w JOIN air a USING (series_id, ts)),
 obs AS (
-  SELECT 'events' AS series_id, ts,
+  SELECT series_id, ts,
          greatest(s_PM25, s_PM10, s_O3, s_NO2, s_CO, s_SO2) AS AQI,
          CASE WHEN s_PM25 = greatest(s_PM25, s_PM10, s_O3, s_NO2, s_CO, s_SO2) THEN 'PM2.5'
               WHEN s_PM10 = greatest(s_PM25, s_PM10, s_O3, s_NO2, s_CO, s_SO2) THEN 'PM10'
@@ -353,12 +356,12 @@ SELECT series_id, ts, {r4('BLH')} AS BLH, BLH_was_null FROM (
 SQL["global_median_fallback"] = """SELECT event_type AS series_id, quantile_disc(value, 0.5) AS series_med
 FROM events WHERE value IS NOT NULL GROUP BY 1"""
 
-SQL["merge_inner"] = ("WITH " + AIR + "," + WEATHER + "\nSELECT 'events' AS series_id, ts, "
+SQL["merge_inner"] = ("WITH " + AIR + "," + WEATHER + "\nSELECT series_id, ts, "
                       + ", ".join(f"{r4(c)} AS {c}" for c in
                                   ["Temperature", "Relative_Humidity", "Pressure", "Wind_Speed",
                                    "Wind_Direction", "Clouds", "Precipitation", "BLH",
                                    "PM25", "PM10", "NO2", "O3", "CO", "SO2"])
-                      + " FROM weather JOIN air USING (ts)")
+                      + " FROM weather JOIN air USING (series_id, ts)")
 
 _UPSERT_SRC = f"""WITH {HOURLY_LONG},
 hist AS (SELECT series_id, ts, value, 'history' AS src FROM hourly_long WHERE ts < TIMESTAMP '2024-01-20'),
@@ -562,9 +565,11 @@ def _wah() -> str:
           "press": "Pressure", "precip": "Precipitation", "blh": "BLH"}
     sel = ", ".join(f"{r4(f'coalesce(f.{k}, b.{v})')} AS {k}_fK" for k, v in fk.items())
     return OBS + f""",
-b AS (SELECT * FROM obs WHERE ts <= TIMESTAMP '2024-01-30 12:34:56' ORDER BY ts DESC LIMIT 1),
+b AS (SELECT * EXCLUDE (rn) FROM (
+        SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS rn FROM obs
+        WHERE ts <= TIMESTAMP '2024-01-30 12:34:56') WHERE rn = 1),
 ks(K) AS (VALUES {ks}),
-f AS (SELECT 'events' AS series_id, ts AS valid_ts, Temperature AS temp, Relative_Humidity AS humid,
+f AS (SELECT series_id, ts AS valid_ts, Temperature AS temp, Relative_Humidity AS humid,
              Precipitation AS precip, Wind_Speed AS wind, Pressure AS press, BLH AS blh FROM weather),
 bk AS (SELECT b.*, ks.K, date_trunc('hour', b.ts) + to_hours(ks.K) AS valid_ts FROM b CROSS JOIN ks)
 SELECT b.series_id, b.ts, b.K, b.valid_ts, {sel},
@@ -646,7 +651,7 @@ SQL["next_hour_lookup"] = _next_hour()
 SQL["forecast_document"] = _slots_cte() + """
 SELECT series_id, target_dt, K, pm25, aqi, forecast_dt, display_dt, label FROM slots"""
 
-SQL["payload_explode"] = "WITH " + AIR + "\nSELECT 'events' AS series_id, ts, " + ", ".join(
+SQL["payload_explode"] = "WITH " + AIR + "\nSELECT series_id, ts, " + ", ".join(
     f"{r4(c)} AS {c}" for c in ["PM25", "PM10", "NO2", "O3", "CO", "SO2"]) + " FROM air"
 
 SQL["stream_upsert"] = SQL["upsert_keep_last"]
@@ -689,7 +694,7 @@ SQL["run_slot_tables"] = _run_slots()
 
 SQL["ingest_observations"] = SQL["csv_roundtrip"]
 
-SQL["forecast_payload"] = ("WITH " + WEATHER + "\nSELECT 'events' AS series_id, ts AS valid_ts, "
+SQL["forecast_payload"] = ("WITH " + WEATHER + "\nSELECT series_id, ts AS valid_ts, "
                            + ", ".join(f"{r4(c)} AS {a}" for a, c in
                                        [("temp", "Temperature"), ("humid", "Relative_Humidity"),
                                         ("precip", "Precipitation"), ("wind", "Wind_Speed"),
@@ -845,3 +850,125 @@ def _serving() -> str:
 
 
 SQL["serving_features"] = _serving()
+
+
+# ---------------------------------------------------------------------------
+# day tabs, next hour, trigger, grid, embargo, localised ingest, quarantine
+# ---------------------------------------------------------------------------
+
+SQL["day_tab_slots"] = _slots_cte() + """
+SELECT day_index AS tab, series_id, target_dt, K, pm25, aqi, hour_str FROM slots WHERE day_index IN (0, 1)"""
+
+
+def _next_hour_paths() -> str:
+    """click has a slot, purchase and view a score, error and signup the mean
+    of their newest 8, short (the newest 9 rows of error) nothing."""
+    from hazecast.functions import aqi as A
+    from hazecast.operators.forecast import NO_DATA
+    cb = A.CATEGORY_BANDS[:-1] + [(None,) + A.CATEGORY_BANDS[-1][1:]]
+
+    def nn(e):
+        return f"CASE WHEN aqi IS NULL THEN NULL ELSE {e} END"
+    return _slots_cte() + f""",
+newest AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS rn FROM hourly_long),
+h AS (SELECT series_id, ts, value, rn FROM newest
+      UNION ALL SELECT 'short', ts, value, rn FROM newest WHERE series_id = 'error' AND rn <= 9),
+s AS (SELECT series_id, max(ts) + INTERVAL 1 HOUR AS next_hour, count(*) AS n, arg_max(value, ts) AS last,
+             avg(CASE WHEN rn <= 8 THEN value END) AS mean FROM h GROUP BY 1),
+hit AS (SELECT arg_min(aqi, target_dt) AS aqi, arg_min(pm25, target_dt) AS pm25 FROM slots WHERE series_id = 'click'),
+g AS (SELECT s.*, CASE WHEN n >= 10 AND series_id IN ('purchase', 'view') THEN last WHEN n >= 10 THEN mean END AS guess FROM s),
+o AS (SELECT series_id, next_hour, strftime(next_hour, '%H:00') AS hour_str,
+             CASE WHEN series_id = 'click' THEN 'slot' WHEN guess IS NULL THEN 'error'
+                  WHEN series_id IN ('purchase', 'view') THEN 'model' ELSE 'realtime' END AS source,
+             CASE WHEN series_id = 'click' THEN (SELECT aqi FROM hit) ELSE {_simple_sql('guess', True)} END AS aqi,
+             CASE WHEN series_id = 'click' THEN (SELECT pm25 FROM hit) ELSE round(guess * 100.0) / 100.0 END AS pm25
+      FROM g)
+SELECT series_id, next_hour, CASE WHEN source = 'error' THEN 0 ELSE aqi END AS aqi,
+       {r4("CASE WHEN source = 'error' THEN 0.0 ELSE pm25 END")} AS pm25, source, hour_str,
+       CASE WHEN source = 'error' THEN {_q(NO_DATA[0])} ELSE {nn(_band_sql('aqi', cb, lambda b: _q(b[1])))} END AS label,
+       CASE WHEN source = 'error' THEN {_q(NO_DATA[1])} ELSE {nn(_band_sql('aqi', cb, lambda b: _q(b[2])))} END AS css_class,
+       CASE WHEN source = 'error' THEN {_q(NO_DATA[2])} ELSE {nn(_band_sql('aqi', cb, lambda b: _q(b[3])))} END AS color
+FROM o"""
+
+
+SQL["next_hour_paths"] = _next_hour_paths()
+
+
+def _trigger() -> str:
+    """The first call of each day scores every series; the second of a day
+    scores none."""
+    runs = []
+    for as_of in ("2024-01-28 10:05:00", "2024-01-29 00:10:00"):
+        t = f"TIMESTAMP '{as_of}'"
+        cte = _naive_cte(t).replace("FROM hourly_long)", f"FROM hourly_long WHERE ts <= {t})")
+        runs.append(f"SELECT * FROM (WITH {cte} SELECT {t} AS as_of, series_id, K, pm25, aqi, forecast_dt FROM pred)")
+    return " UNION ALL ".join(runs)
+
+
+SQL["forecast_trigger"] = _trigger()
+
+SQL["embargo_splits"] = """WITH r AS (
+  SELECT ts, ts + to_hours(K) AS seen, K FROM events, (SELECT unnest(range(1, 50, 3)) AS K)),
+s AS (SELECT K, CASE WHEN ts < TIMESTAMP '2024-01-20' THEN CASE WHEN seen < TIMESTAMP '2024-01-20' THEN 'train' ELSE 'embargo' END
+                     WHEN ts < TIMESTAMP '2024-01-25' THEN CASE WHEN seen < TIMESTAMP '2024-01-25' THEN 'val' ELSE 'embargo' END
+                     ELSE 'test' END AS split FROM r)
+SELECT CAST(K AS INTEGER) AS K, split, count(*) AS n_rows FROM s GROUP BY ALL"""
+
+SQL["hourly_grid_lags"] = f"""WITH {HOURLY_LONG},
+ends AS (SELECT series_id, min(ts) AS a, max(ts) AS b FROM hourly_long GROUP BY 1),
+grid AS (SELECT series_id, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ts FROM ends),
+g AS (SELECT grid.series_id, grid.ts, h.value, h.series_id IS NULL AS filled FROM grid
+      LEFT JOIN hourly_long h ON h.series_id = grid.series_id AND h.ts = grid.ts)
+SELECT series_id, ts, {r4('value')} AS value, filled, """ + ", ".join(
+    f"{r4(f'lag(value, {n}) OVER (PARTITION BY series_id ORDER BY ts)')} AS lag{n}h" for n in (1, 6, 24)) + " FROM g"
+
+SQL["wind_lag_features"] = OBS + "\nSELECT series_id, ts, " + ", ".join(
+    f"{r4(f'{fn}(radians(coalesce(lag(Wind_Direction, {n}) OVER (PARTITION BY series_id ORDER BY ts), 0.0)))')} AS winddir_{fn}_lag{n}"
+    for n in (1, 6) for fn in ("sin", "cos")) + " FROM obs"
+
+SQL["csv_bom_roundtrip"] = OBS + f"\nSELECT series_id, ts, {r4('PM25')} AS PM25, {r4('Temperature')} AS Temperature, true AS has_bom FROM obs"
+
+_OT = "CAST(o_orderdate AS TIMESTAMP)"
+SQL["ingest_localized"] = f"""WITH o AS (
+  SELECT o_orderpriority AS series_id, {_OT} AS ts, {_INV.replace(_T, _OT)} AS invalid FROM orders)
+SELECT series_id, count(*) AS n_rows, count_if(invalid) AS n_invalid,
+       min(CASE WHEN NOT invalid THEN ts END) AS first_local, max(CASE WHEN NOT invalid THEN ts END) AS last_local
+FROM o GROUP BY 1"""
+
+SQL["payload_quarantine"] = f"""WITH p AS (
+  SELECT dayofmonth(ts) AS day, count(DISTINCT date_trunc('hour', ts)) AS hours FROM events GROUP BY {STATION}, CAST(ts AS DATE), 1),
+r AS (SELECT CASE WHEN day % 2 = 0 THEN 'archive' ELSE 'recent' END AS source,
+             CASE WHEN day % 11 = 5 THEN 'not a payload'
+                  WHEN day % 7 = 3 THEN 'array pm10 has another length than time' ELSE 'served' END AS reason, hours FROM p)
+SELECT source, reason, count(*) AS n_payloads, sum(CASE WHEN reason = 'served' THEN hours ELSE 0 END)::BIGINT AS n_hours
+FROM r GROUP BY ALL
+UNION ALL SELECT 'gone', 'source is missing', 1, 0"""
+
+
+# ---------------------------------------------------------------------------
+# models: grids, gaps and counts
+# ---------------------------------------------------------------------------
+
+def _model_checks() -> None:
+    from hazecast.operators import features as FT
+
+    def complete(k: int) -> str:
+        at = {f"{c}_atK": f"{c}_atK__k{k}" for c in FT.WEATHER_LEAD} | {c: f"{c}__k{k}" for c in ("label", "label_raw", "pm25_lagK")}
+        cols = [c for c in FT.horizon_features(k) if c != "horizon_norm"] + ["label", "label_raw"]
+        return " AND ".join(f"{at.get(c, c)} IS NOT NULL" for c in cols)
+
+    counts = " UNION ALL ".join(f"SELECT {k} AS K, {SPLIT} AS split, count(*) AS n_rows FROM l2 WHERE {complete(k)} GROUP BY 2"
+                                for k in FT.HORIZONS)
+    body = feature_sql(FT.ALL_NAMES, True, horizons=FT.HORIZONS, out_cols="*").replace("\nSELECT * FROM l2", "")
+    head = body + (f",\ncounts AS ({counts}),\ntrained AS (SELECT K FROM counts WHERE split = 'train' AND n_rows >= 200),"
+                   "\nlast AS (SELECT series_id, max(ts) AS base_ts FROM l2 GROUP BY 1)\n")
+    for name, family in (("ridge", "linear"), ("rf", "rf"), ("gbt", "gbt")):
+        SQL[f"{name}_forecast_checks"] = head + (
+            f"SELECT '{family}' AS family, series_id, K, base_ts, base_ts + to_hours(K) AS forecast_dt, true AS aqi_ok FROM last, trained")
+        SQL[f"{name}_eval_checks"] = head + (
+            f"SELECT '{family}' AS family, K, true AS gap_ok, true AS flag_ok, true AS enough_features FROM trained")
+    SQL["model_registry"] = head + ("SELECT K, split, n_rows, n_rows AS n_same, true AS same_names, 2 AS version "
+                                    "FROM counts WHERE K IN (SELECT K FROM trained)")
+
+
+_model_checks()

@@ -30,6 +30,7 @@ TEST_CUTOFF = "2024-01-25"
 HISTORY_END = "2024-01-20"      # history snapshot: ts < this
 DELTA_START = "2024-01-19"      # delta re-read from the last day: ts >= this
 AS_OF = "2024-01-30 12:34:56"   # fixed "now" for freshness / future-data guards
+TRIGGERS = ("2024-01-28 10:05:00", "2024-01-28 10:50:00", "2024-01-29 00:10:00")
 
 
 def register(name: str):
@@ -249,9 +250,14 @@ def lag_features(spark, sf_dir):
 @register("serving_features")
 def serving_features(spark, sf_dir):
     """W13 + W14: newest row of the five long-form series x 17 horizons with
-    the population stds and the extra lags of its horizon."""
+    the population stds and the extra lags of its horizon; of the history only
+    the dates that the look-back reaches are read."""
     from hazecast.operators import forecast as FC
-    last = rollups.latest_row(_long_features(spark, sf_dir, FT.SERVING_NAMES))
+    from hazecast.sources.history import read_tail
+    names = FT.SERVING_NAMES
+    tail = read_tail(spark, tables.landed_history(spark, sf_dir), FT.look_back(names) + 1).withColumnRenamed("value", "PM25")
+    feat = FT.build_features(tail, names, order=LONG_ORDER, impute=False)
+    last = rollups.latest_row(round_doubles(feat.select("series_id", "ts", "event_id", *names)))
     rows = last.select("*", F.explode(F.array(*[F.lit(k) for k in FT.HORIZONS])).alias("K"))
     return rows.withColumns(FC.extra_lag_columns(rows, FT.HORIZONS))
 
@@ -367,6 +373,33 @@ def time_split_counts(spark, sf_dir):
             .groupBy("series_id", "split").agg(F.count("*").alias("n_rows")))
 
 
+@register("embargo_splits")
+def embargo_splits(spark, sf_dir):
+    """P9 with an embargo of K hours: rows per horizon and split of the long
+    form, those whose label crosses a cut-off set apart."""
+    e = tables.events_long(spark, sf_dir).select("ts", F.explode(F.array(*[F.lit(k) for k in FT.HORIZONS])).alias("K"))
+    return (e.groupBy("K", clean.split_label(VAL_CUTOFF, TEST_CUTOFF, embargo="K").alias("split")).agg(F.count("*").alias("n_rows")))
+
+
+@register("hourly_grid_lags")
+def hourly_grid_lags(spark, sf_dir):
+    """Lags in hours: the hourly means of the long form on a grid without gaps,
+    whose row offsets are hours."""
+    from hazecast.operators.windows import series_windows
+    grid = clean.hourly_grid(tables.hourly_long(spark, sf_dir).select("series_id", "ts", "value"))
+    out = series_windows(grid, lambda w, by: {f"lag{n}h": F.lag("value", n).over(w) for n in (1, 6, 24)}, back=24)
+    return round_doubles(out)
+
+
+@register("wind_lag_features")
+def wind_lag_features(spark, sf_dir):
+    """Wind-direction lag pairs of the serving side on the panel."""
+    from hazecast.operators.windows import series_windows
+    obs = tables.observations(spark, sf_dir).select("series_id", "ts", "Wind_Direction")
+    out = series_windows(obs, lambda w, by: FT.wind_lag_columns(w), back=max(FT.WIND_LAGS))
+    return round_doubles(out.drop("Wind_Direction"))
+
+
 # --- selection / evaluation (M7, M8, A12–A16, N6, M18) ----------------------
 
 LINEITEM_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
@@ -420,7 +453,7 @@ def prune_horizons(spark, sf_dir):
     """M7 + M8 on the training slice of every horizon; the outcome is the one
     that the model queries of the session train with."""
     from hazecast.operators import models as M
-    rows = M.prune_horizons(_model_features(spark, sf_dir), FT.HORIZONS, (VAL_CUTOFF, TEST_CUTOFF), parallel=8,
+    rows = M.prune_horizons(_model_features(spark, sf_dir), FT.HORIZONS, (VAL_CUTOFF, TEST_CUTOFF),
                             pruned=_pruned(spark, sf_dir))
     return spark.createDataFrame(rows, "K int, feature string, kept boolean, passed_target boolean")
 
@@ -475,15 +508,19 @@ def _pruned(spark, sf_dir):
 
 def _trained(spark, sf_dir, family):
     """Train one pipeline per horizon on the panel's training split.
-    The feature table, the outcome of pruning and the fitted models are kept
-    for the session: the families share the first two, and the forecast and
-    the evaluation queries of one family share one training run."""
+    The feature table and the outcome of pruning are kept for the session and
+    shared by the families.  Fitted models are kept in the shared folder by
+    input and parameters: the forecast and the evaluation of a family share one
+    training run, also across processes, and a stopped run resumes."""
     from hazecast.operators import models as M
+    from hazecast.session import ensure_checkpoint_dir, file_stamp
     feat = _model_features(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir, family)
     if key not in _TRAINED:
+        source = f"{sf_dir} {file_stamp(spark, tables.path_of(sf_dir, 'events'))}"
+        store = M.ModelStore(spark, f"{ensure_checkpoint_dir(spark)}/hazecast/models", source)
         res = M.train_horizons(feat, FT.HORIZONS, family, cutoffs=(VAL_CUTOFF, TEST_CUTOFF),
-                               parallel=8, pruned=_pruned(spark, sf_dir))
+                               pruned=_pruned(spark, sf_dir), store=store)
         _TRAINED[key] = (feat, res)
     return _TRAINED[key]
 
@@ -613,6 +650,51 @@ def slot_days(spark, sf_dir):
     return FC.slot_days(FC.slots_for_day(slots, None))
 
 
+@register("day_tab_slots")
+def day_tab_slots(spark, sf_dir):
+    """The slots of the day 0 tab and of the day 1 tab."""
+    from hazecast.operators import forecast as FC
+    slots = FC.slots_nearest(_naive(spark, sf_dir))
+    tabs = [FC.slots_for_day(slots, d).select(F.lit(d).alias("tab"), "series_id", "target_dt", "K", "pm25", "aqi", "hour_str")
+            for d in (0, 1)]
+    return tabs[0].unionByName(tabs[1])
+
+
+@register("next_hour_paths")
+def next_hour_paths(spark, sf_dir):
+    """N5/M16, all four ways to the next hour: a slot, the K=1 score, the mean of
+    the newest 8, the error record of a short series.  The K=1 score of this
+    query is persistence (SQL can tell it); ``score_horizons`` gives the same
+    columns for a trained model."""
+    from hazecast.operators import forecast as FC
+    h = tables.hourly_long(spark, sf_dir)
+    short = h.where("series_id = 'error'").withColumn("series_id", F.lit("short"))
+    short = short.join(rollups.tail_n(short, 9).select("series_id", "ts"), ["series_id", "ts"])
+    h = h.unionByName(short)
+    slots = FC.slots_nearest(_naive(spark, sf_dir)).where("series_id = 'click'")
+    slots = slots.withColumn("forecast_dt", F.expr("base_ts + make_dt_interval(0, 1)"))
+    as_of = h.groupBy("series_id").agg(F.max("ts").alias("as_of"))
+    last = rollups.latest_row(h.select("series_id", "ts", "value")).where("series_id in ('purchase', 'view', 'short')")
+    return round_doubles(FC.next_hour(slots, h, as_of, value="value", scores=last.select("series_id", F.col("value").alias("pm25"))))
+
+
+@register("forecast_trigger")
+def forecast_trigger(spark, sf_dir):
+    """T5: three calls of the trigger, two within an hour and one on the next
+    day; a call scores the series without a forecast of its day, once."""
+    from hazecast.operators import forecast as FC
+    from hazecast.session import shared_dir
+    h = tables.hourly_long(spark, sf_dir)
+    ledger = FC.ForecastLedger(spark, shared_dir(spark, "ledger"))
+    made = []
+    for as_of in TRIGGERS:
+        past = clean.happened(h, as_of)
+        out = ledger.run(past.select("series_id").distinct(),
+                         lambda due, past=past, as_of=as_of: FC.naive_forecast(past.join(due, "series_id"), FT.HORIZONS, value="value", as_of=as_of), as_of)
+        made.append(out.select(F.lit(as_of).cast("timestamp_ntz").alias("as_of"), "series_id", "K", "pm25", "aqi", "forecast_dt"))
+    return clean.union_all(made)
+
+
 @register("next_hour_lookup")
 def next_hour_lookup(spark, sf_dir):
     """Slot for the hour after each series' last observation, else
@@ -734,3 +816,135 @@ def run_slot_tables(spark, sf_dir):
     j = runs.join(rows, "run_id")
     return j.select("series_id", "base_ts", "created_at", "forecast_dt", "pm25", "aqi",
                     stale("created_at", F.lit(AS_OF).cast("timestamp_ntz")).alias("stale"))
+
+
+@register("csv_bom_roundtrip")
+def csv_bom_roundtrip(spark, sf_dir):
+    """S8 with the byte-order mark that the history file has, read back by S1;
+    whether the first bytes of the written files are the mark."""
+    from hazecast.session import shared_dir
+    from hazecast.sources import payloads as PL
+    obs = tables.observations(spark, sf_dir).select("ts", "series_id", "PM25", "Temperature")
+    path = shared_dir(spark, "obs-bom")
+    PL.write_observations(obs.withColumnRenamed("ts", "Local_Time"), path, fmt="csv", bom=True)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path)
+    marked = files.agg(F.bool_and(F.hex(F.substring("content", 1, 3)) == "EFBBBF").alias("has_bom"))
+    return round_doubles(PL.read_observations_csv(spark, path)).crossJoin(F.broadcast(marked))          # one row
+
+
+@register("ingest_localized")
+def ingest_localized(spark, sf_dir):
+    """P4b inside ingest: order days as wall-clock hours of a station, localised
+    to its zone before the index is derived; hours that its clock skips or
+    repeats have no local time.  Rows per series, and how many lost theirs."""
+    from hazecast.functions.calendar import localize
+    o = tables.orders_daily_aqi(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    local = o.withColumn("Local_Time", localize("ts", LOCAL_TZ))
+    return local.groupBy("series_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("Local_Time").isNull()).alias("n_invalid"),
+                                          F.min("Local_Time").alias("first_local"), F.max("Local_Time").alias("last_local"))
+
+
+@register("payload_quarantine")
+def payload_quarantine(spark, sf_dir):
+    """U1/U3/S4 with bad sources: hourly payloads of two sources, one a day, some
+    cut off in the middle, some with an array too short, and a third source
+    that is not there; payloads and hours served, and refused by reason."""
+    from hazecast.schema import AIR_QUALITY_RENAME
+    from hazecast.session import shared_dir
+    from hazecast.sources import payloads as PL
+    air = tables.air_quality_hourly(spark, sf_dir).select("series_id", "ts", "PM25", "PM10", "NO2", "O3", "CO", "SO2")
+    pl = PL.build_payloads(air, AIR_QUALITY_RENAME).withColumn("day", F.dayofmonth(F.to_timestamp_ntz(F.col("hourly.time")[0])))
+    short = F.col("hourly").withField("pm10", F.slice("hourly.pm10", 2, 100))
+    pl = pl.withColumn("hourly", F.when(F.col("day") % 7 == 3, short).otherwise(F.col("hourly")))
+    text = F.to_json(F.struct("series_id", "hourly"))
+    text = F.when(F.col("day") % 11 == 5, F.substring(text, 1, 60)).otherwise(text)
+    base = shared_dir(spark, "screened")
+    for name, rest in (("archive", 0), ("recent", 1)):
+        pl.where(F.col("day") % 2 == rest).select(text.alias("value")).write.text(f"{base}/{name}")
+    good, bad = PL.screened_payloads(spark, {n: f"{base}/{n}" for n in ("archive", "recent", "gone")}, list(AIR_QUALITY_RENAME))
+    served = good.select("source", F.lit("served").alias("reason"), F.size("hourly.time").alias("hours"))
+    return (served.unionByName(bad.select("source", "reason", F.lit(0).alias("hours")))
+            .groupBy("source", "reason").agg(F.count("*").alias("n_payloads"), F.sum("hours").alias("n_hours")))
+
+
+# --- models: what SQL can tell about them -----------------------------------
+
+FAMILIES = ("gbt", "rf", "linear")
+
+
+def _forecast_checks(spark, sf_dir, family):
+    """The grid of series x K, its times, and whether each index is that of its
+    concentration."""
+    out = _train_forecast(spark, sf_dir, family)
+    # pm25 is rounded after the index was taken of the value: of the two ends of its rounding
+    low, high = A.pm25_to_aqi_simple(F.greatest(F.col("pm25") - 0.005, F.lit(0.0))), A.pm25_to_aqi_simple(F.col("pm25") + 0.005)
+    return out.select(F.lit(family).alias("family"), "series_id", "K", "base_ts", "forecast_dt",
+                      (F.col("aqi").between(low, high) & (F.col("pm25") >= 0)).alias("aqi_ok"))
+
+
+def _eval_checks(spark, sf_dir, family):
+    """Rows that each horizon's model is judged on by split, whether the gap is
+    the difference of the errors, and whether the flags follow their limits."""
+    from hazecast.operators import evaluate as EV
+    from hazecast.operators import models as M
+    _, res = _trained(spark, sf_dir, family)
+    m = EV.with_flags(M.evaluate(res, spark))
+    gap_ok = F.abs(F.col("gap") - (F.col("rmse_val") - F.col("rmse_train"))) < 1e-9
+    flag_ok = F.col("gap_flag") == F.when(F.col("gap") < 6, "good").when(F.col("gap") < 10, "fair").otherwise("poor")
+    return m.select(F.lit(family).alias("family"), "K", gap_ok.alias("gap_ok"), flag_ok.alias("flag_ok"),
+                    (F.col("n_features") >= 5).alias("enough_features"))
+
+
+@register("ridge_forecast_checks")
+def ridge_forecast_checks(spark, sf_dir):
+    return _forecast_checks(spark, sf_dir, "linear")
+
+
+@register("rf_forecast_checks")
+def rf_forecast_checks(spark, sf_dir):
+    return _forecast_checks(spark, sf_dir, "rf")
+
+
+@register("gbt_forecast_checks")
+def gbt_forecast_checks(spark, sf_dir):
+    return _forecast_checks(spark, sf_dir, "gbt")
+
+
+@register("ridge_eval_checks")
+def ridge_eval_checks(spark, sf_dir):
+    return _eval_checks(spark, sf_dir, "linear")
+
+
+@register("rf_eval_checks")
+def rf_eval_checks(spark, sf_dir):
+    return _eval_checks(spark, sf_dir, "rf")
+
+
+@register("gbt_eval_checks")
+def gbt_eval_checks(spark, sf_dir):
+    return _eval_checks(spark, sf_dir, "gbt")
+
+
+@register("model_registry")
+def model_registry(spark, sf_dir):
+    """The ridge models saved as two versions, the newest loaded
+    again: per horizon the complete rows of each split, and how many the loaded
+    model predicts exactly as the fitted one did."""
+    from hazecast.operators import models as M
+    from hazecast.session import shared_dir
+    _, res = _trained(spark, sf_dir, "linear")
+    base = shared_dir(spark, "registry")
+    for _ in range(2):
+        M.save_models(spark, res, "linear", base)
+    loaded = M.load_models(spark, base, "linear")
+    frames = []
+    for r in res:
+        model, names = loaded[r.k]
+        both = model.transform(r.model.transform(r.metrics["split_frame"]).withColumnRenamed("prediction", "fitted")
+                               .select("split", "fitted", *names))
+        frames.append(both.select(F.lit(r.k).alias("K"), "split", (F.col("fitted") == F.col("prediction")).alias("same"),
+                                  F.lit(names == r.features).alias("same_names")))
+    version = M.versions(spark, base, "linear")[-1]
+    return (clean.union_all(frames).groupBy("K", "split")
+            .agg(F.count("*").alias("n_rows"), F.count_if("same").alias("n_same"), F.bool_and("same_names").alias("same_names"))
+            .withColumn("version", F.lit(version)))
