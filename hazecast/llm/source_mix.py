@@ -10,7 +10,7 @@ pattern, one lane per repetition: the k-th use of the pattern's words costs
 ``k * k``, a convex cost, so that no words are repeated while others that fit
 are unused.  The network has one node per pattern and source, whatever the
 number of documents; successive cheapest augmenting paths solve it on the
-driver.  Documents are then selected within each pattern by a seeded hash:
+driver (an error above ``MOST_PATTERNS`` patterns, not a cut).  Documents are then selected within each pattern by a seeded hash:
 whole passes over the pattern first, then documents in hash order up to the
 word where the flow ends (of the last one, its first words).
 
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,8 +41,10 @@ SHARE = 1.5
 REPEATS = 2
 SEED = 20
 DIGIT = 4096
-#: Tables of one row per pattern or source are broadcast up to so many rows.
-BROADCAST_ROWS = 100_000
+#: The network is solved on the driver: so many patterns at most, counted
+#: before they are collected.  Tables of one row per pattern are broadcast.
+MOST_PATTERNS = BROADCAST_ROWS = 100_000
+START = object()                # no source: None is one
 
 
 def targets_of(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, share: float = SHARE,
@@ -73,12 +76,11 @@ def min_cost_flow(capacity: dict[tuple, int], quota: dict, repeats: int = REPEAT
     flow: dict[tuple, int] = {(p, s): 0 for p in patterns for s in p}
     used = dict.fromkeys(patterns, 0)
     want = dict(quota)
-    holders: dict = {s: [p for p in patterns if s in p] for s in quota}
-    sole = [p for p in patterns if len(p) == 1 and len(holders[p[0]]) == 1]
-    for p in sole:                                   # an isolated arc: nothing to decide
-        flow[p, p[0]] = used[p] = min(want[p[0]], repeats * capacity[p])
-        want[p[0]] -= used[p]
-    open_ = [p for p in patterns if p not in set(sole) and capacity[p]]
+    holders: dict = {s: [] for s in quota}
+    for p in patterns:
+        for s in p:
+            holders[s].append(p)
+    open_ = [p for p in patterns if capacity[p]]
 
     def lane(p: tuple) -> tuple[int, int]:
         """Cost of the next word of p and how many have that cost."""
@@ -94,13 +96,14 @@ def min_cost_flow(capacity: dict[tuple, int], quota: dict, repeats: int = REPEAT
         # cheapest path from the start to a source that still wants words;
         # costs lie on the first arcs alone, so the search spreads from the
         # patterns in order of their next word's cost
-        heap = [(lane(p)[0], i, p, None) for i, p in enumerate(open_) if used[p] < repeats * capacity[p]]
+        heap = [(lane(p)[0], i, p, START) for i, p in enumerate(open_) if used[p] < repeats * capacity[p]]
         heapq.heapify(heap)
+        later = count(len(heap))
         came_p: dict = {}
         came_s: dict = {}
-        goal = None
-        while heap and goal is None:
-            cost, i, p, via = heapq.heappop(heap)
+        goal = START
+        while heap and goal is START:
+            cost, _, p, via = heapq.heappop(heap)
             if p in came_p:
                 continue
             came_p[p] = (via, cost)
@@ -113,11 +116,11 @@ def min_cost_flow(capacity: dict[tuple, int], quota: dict, repeats: int = REPEAT
                     break
                 for q in holders[s]:                 # take s's words back from q, which gives them elsewhere
                     if q not in came_p and flow[q, s] > 0:
-                        heapq.heappush(heap, (cost, i, q, s))
-        if goal is None:
+                        heapq.heappush(heap, (cost, next(later), q, s))
+        if goal is START:
             return flow
         path, s = [], goal
-        while s is not None:
+        while s is not START:
             p = came_s[s]
             path.append((p, s))
             s = came_p[p][0]
@@ -151,7 +154,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
                        F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text").cast("string")).alias("h"),
                        *(F.col(c).alias(f"_{c}") for c in carry))
     sized = materialize(wide.drop(*(f"_{c}" for c in carry)), "sizes")
-    patterns = {tuple(r[0]): int(r[1]) for r in sized.groupBy("sources").agg(F.sum("size")).collect()}
+    by_pattern = materialize(sized.groupBy("sources").agg(F.sum("size").alias("size")), "patterns")
+    if (n := by_pattern.count()) > MOST_PATTERNS:
+        raise ValueError(f"{n} membership patterns; the flow is solved for {MOST_PATTERNS} at most: join rare sources first")
+    patterns = {tuple(r[0]): int(r[1]) for r in by_pattern.collect()}
     sizes: dict = {}
     for p, n in patterns.items():
         for s in p:

@@ -376,3 +376,42 @@ def test_token_counts_of_all_scripts(spark):
     counts = PieceCounts(path, {})
     counts.count("“日本語” — 日本語")
     assert len(counts) > 2                      # pieces of such texts are cached
+
+
+# --- mixing: the flow against every other way ---------------------------------
+
+def test_flow_against_exhaustive_search():
+    """Small random networks: as many words as possible, at the least cost."""
+    from itertools import product
+
+    from hazecast.llm import source_mix
+    rng = random.Random(12)
+    for _ in range(60):
+        sources = ["a", None, "c"][:rng.randrange(1, 4)]
+        patterns = list({tuple(sorted(rng.sample(sources, rng.randrange(1, len(sources) + 1)), key=str)) for _ in range(3)})
+        capacity = {p: rng.randrange(0, 4) for p in patterns}
+        quota = {s: rng.randrange(0, 5) for s in sources}
+        flow = source_mix.min_cost_flow(capacity, quota)
+        arcs = [(p, s) for p in patterns for s in p]
+
+        def cost(f):
+            total = 0
+            for p in patterns:
+                n = sum(f[p, s] for s in p)
+                if n > 2 * capacity[p]:
+                    return None
+                total += min(n, capacity[p]) + 4 * max(0, n - capacity[p])
+            if any(sum(f[p, s] for p in patterns if s in p) > quota[s] for s in sources):
+                return None
+            return total
+        best = max(((sum(v), -c) for v in product(*(range(min(2 * capacity[p], quota[s]) + 1) for p, s in arcs))
+                    if (c := cost(dict(zip(arcs, v)))) is not None))
+        assert (sum(flow.values()), -cost(flow)) == best, (capacity, quota, flow)
+
+
+def test_too_many_patterns_are_an_error(spark, monkeypatch):
+    from hazecast.llm import source_mix
+    docs = spark.createDataFrame([(i, "a b", f"s{i}") for i in range(5)], "doc_id long, text string, source string")
+    monkeypatch.setattr(source_mix, "MOST_PATTERNS", 4)
+    with pytest.raises(ValueError, match="5 membership patterns"):
+        source_mix.mix_by_source(docs)
