@@ -36,15 +36,17 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazecast.llm.common import marked, materialize, runs, text_key, words
+from hazecast.llm.common import BUCKETS, marked, materialize, runs, text_key, words
 from hazecast.llm.fm_index import FMIndex
 
 WINDOW, GRAM = 35, 8
 SHARD_WORDS = 1 << 19
 HOT_PASSAGES = 4_096
+#: Rows of an anchor value from which joins by value deal them to several tasks.
+HOT_ROWS, SALTS = 4_096, 64
 #: Windows of a document handled at once.
 CHUNK = 1 << 19
 _M1, _M2 = np.array([0x9E3779B97F4A7C15]), np.array([0xD6E8FEB86659FD93])
@@ -221,17 +223,35 @@ def count_windows(texts: DataFrame, window: int) -> DataFrame:
             .agg(F.bit_or(F.expr("shiftleft(1L, nth)")).alias("mask")))
 
 
+def join_by_value(rows: DataFrame, values: DataFrame, times: str, spread: Column) -> DataFrame:
+    """``rows`` with the columns of their value in ``values`` (one row a value;
+    ``times``: how many of the rows have it).  Rows of values with more than
+    ``HOT_ROWS`` are dealt to ``SALTS`` tasks by ``spread``, and such values go to all
+    of them; a bitmap of key buckets (bounded, broadcast) tells which may be so."""
+    bucket = F.pmod("value", F.lit(BUCKETS)).cast("int")
+    hot = F.broadcast(values.where(F.col(times) > HOT_ROWS).select(bucket.alias("bucket"), F.lit(True).alias("hot_bucket")).distinct())
+
+    def marked_rows(df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", bucket).join(hot, "bucket", "left").drop("bucket")
+    left = marked_rows(rows).withColumn("salt", F.when(F.col("hot_bucket"), F.pmod(spread, F.lit(SALTS))).otherwise(0).cast("int"))
+    salts = F.when(F.col("hot_bucket"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = marked_rows(values).withColumn("salt", F.explode(salts))
+    return left.drop("hot_bucket").join(right.drop("hot_bucket"), ["value", "salt"]).drop("salt")
+
+
 def repeated_windows(docs: DataFrame, window: int, gram: int, shard_words: int, hot: int) -> DataFrame:
     """(k1, k2, found): per text its passages (first window, mask of the
     repeated ones).  ``docs``: doc_id, text, k1, k2."""
     occ = materialize(occurrences(docs, window, gram), "occurrences")
-    counts = occ.groupBy("value").agg(F.count("*").alias("times")).where("times > 1").select("value")
-    same = materialize(occ.join(counts, "value").groupBy(*occ.columns).agg(F.count("*").alias("times")), "repeated-anchors")
+    counts = materialize(occ.groupBy("value").agg(F.count("*").alias("rows")).where("rows > 1"), "anchor-counts")
+    same = join_by_value(occ, counts, "rows", F.xxhash64("k1", "k2", "first"))
+    same = materialize(same.groupBy(*occ.columns).agg(F.count("*").alias("times")), "repeated-anchors")
     whole = same.groupBy("value", "passage").agg(F.sum("times").alias("n"),
                                                  F.min(F.struct("k1", "k2", "first", "windows")).alias("at"))
     whole = materialize(whole, "passages")
-    groups = whole.groupBy("value").agg(F.count("*").alias("passages")).where("passages > 1")
-    searched = whole.join(groups, "value").select("value", "passage", "n", (F.col("passages") > hot).alias("hot"), "at.*")
+    groups = materialize(whole.groupBy("value").agg(F.count("*").alias("passages")).where("passages > 1"), "passage-counts")
+    searched = join_by_value(whole, groups, "passages", F.col("passage"))
+    searched = searched.select("value", "passage", "n", (F.col("passages") > hot).alias("hot"), "at.*")
     wanted = (searched.groupBy("k1", "k2")
               .agg(F.collect_list(F.struct("value", "passage", "n", "hot", "first", "windows")).alias("wanted")))
     leads = docs.select("k1", "k2", "doc_id").groupBy("k1", "k2").agg(F.min("doc_id").alias("lead"))

@@ -415,3 +415,13 @@ def test_too_many_patterns_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(source_mix, "MOST_PATTERNS", 4)
     with pytest.raises(ValueError, match="5 membership patterns"):
         source_mix.mix_by_source(docs)
+
+
+def test_join_by_value_spreads_hot_values(spark, monkeypatch):
+    from hazecast.llm import substring_dedup
+    monkeypatch.setattr(substring_dedup, "HOT_ROWS", 20)
+    rows = spark.range(500).select(F.expr("if(id % 2 = 0, 7, id % 13)").cast("long").alias("value"), F.col("id").alias("passage"))
+    values = rows.groupBy("value").agg(F.count("*").alias("rows")).where("rows > 1 and value <> 5")
+    got = substring_dedup.join_by_value(rows, values, "rows", F.col("passage"))
+    want = rows.join(values, "value")
+    assert sorted(map(tuple, got.select("value", "passage", "rows").collect())) == sorted(map(tuple, want.select("value", "passage", "rows").collect()))
