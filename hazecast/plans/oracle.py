@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import re
 
+from hazecast.plans import oracle_features as FT
+from hazecast.plans.oracle_features import HORIZONS
+
 # ---------------------------------------------------------------------------
 # shared CTEs
 # ---------------------------------------------------------------------------
@@ -59,17 +62,34 @@ def _seg(x: str, table, above: int, below: int = 0) -> str:
     return "".join(parts)
 
 
+# Low and high concentration, low and high index of each segment.
+AQI_SEGMENTS = {
+    "PM25": [(0.0, 12.0, 0, 50), (12.1, 35.4, 51, 100), (35.5, 55.4, 101, 150), (55.5, 150.4, 151, 200), (150.5, 250.4, 201, 300),
+             (250.5, 350.4, 301, 400), (350.5, 500.4, 401, 500)],
+    "PM10": [(0, 54, 0, 50), (55, 154, 51, 100), (155, 254, 101, 150), (255, 354, 151, 200), (355, 424, 201, 300),
+             (425, 504, 301, 400), (505, 604, 401, 500)],
+    "O3": [(0, 54, 0, 50), (55, 70, 51, 100), (71, 85, 101, 150), (86, 105, 151, 200), (106, 200, 201, 300)],
+    "NO2": [(0, 53, 0, 50), (54, 100, 51, 100), (101, 360, 101, 150), (361, 649, 151, 200), (650, 1249, 201, 300),
+            (1250, 1649, 301, 400), (1650, 2049, 401, 500)],
+    "CO": [(0, 4.4, 0, 50), (4.5, 9.4, 51, 100), (9.5, 12.4, 101, 150), (12.5, 15.4, 151, 200), (15.5, 30.4, 201, 300),
+           (30.5, 40.4, 301, 400), (40.5, 50.4, 401, 500)],
+    "SO2": [(0, 35, 0, 50), (36, 75, 51, 100), (76, 185, 101, 150), (186, 304, 151, 200), (305, 604, 201, 300),
+            (605, 804, 301, 400), (805, 1004, 401, 500)],
+}
+SIMPLE_SEGMENTS = [*AQI_SEGMENTS["PM25"][:5], (250.5, 500.4, 301, 500)]
+DIVISOR = {"O3": 1.9957, "NO2": 1.8816, "CO": 1145.0, "SO2": 2.6196}
+SLOT_OFFSETS = [(d - 1, 24 * d + h) for d in (1, 2) for h in range(0, 24, 3)]
+
+
 def sub_index_sql(col: str, pollutant: str) -> str:
-    from hazecast.functions import aqi as A
     x = f"(CASE WHEN isnan({col}) THEN NULL ELSE CAST({col} AS DOUBLE) END)"
     if pollutant == "PM25":
-        return _seg(f"(round_even({x} * 10.0, 0) / 10.0)", A.PM25_BREAKPOINTS, 500)
-    if pollutant == "PM10":
-        return _seg(f"trunc({x})", A.PM10_BREAKPOINTS, 500)
-    div = {"O3": A.O3_DIVISOR, "NO2": A.NO2_DIVISOR, "CO": A.CO_DIVISOR, "SO2": A.SO2_DIVISOR}[pollutant]
-    table = {"O3": A.O3_BREAKPOINTS, "NO2": A.NO2_BREAKPOINTS,
-             "CO": A.CO_BREAKPOINTS, "SO2": A.SO2_BREAKPOINTS}[pollutant]
-    return _seg(f"({x} / {div})", table, A.ABOVE_TOP[pollutant])
+        x = f"(round_even({x} * 10.0, 0) / 10.0)"
+    elif pollutant == "PM10":
+        x = f"trunc({x})"
+    else:
+        x = f"({x} / {DIVISOR[pollutant]})"
+    return _seg(x, AQI_SEGMENTS[pollutant], 300 if pollutant == "O3" else 500)
 
 
 def _overall_cte() -> str:
@@ -142,8 +162,8 @@ HOURLY_LONG = """hourly_long AS (
 
 
 def _calendar_sql() -> dict:
-    from hazecast.functions.calendar import TRAIN_PI
-    c24, c12, c180 = repr(2 * TRAIN_PI / 24), repr(2 * TRAIN_PI / 12), repr(TRAIN_PI / 180.0)
+    pi = 3.14159265             # as the training features write it
+    c24, c12, c180 = repr(2 * pi / 24), repr(2 * pi / 12), repr(pi / 180.0)
     h, m = "CAST(hour(ts) AS INTEGER)", "CAST(month(ts) AS INTEGER)"
     return {
         "hour": h, "month": m,
@@ -161,22 +181,6 @@ def _calendar_sql() -> dict:
     }
 
 
-def _win_sql(f, order: str) -> str:
-    over = f"OVER (PARTITION BY series_id ORDER BY {order})"
-    frame = f"OVER (PARTITION BY series_id ORDER BY {order} ROWS BETWEEN {f.n} PRECEDING AND 1 PRECEDING)"
-    if f.kind == "lag":
-        return f"lag({f.src}, {f.n}) {over}"
-    if f.kind == "lead":
-        return f"lead({f.src}, {f.n}) {over}"
-    if f.kind == "flag_lag":
-        return f"CAST(lag({f.src}, {f.n}) {over} > {f.threshold} AS INTEGER)"
-    if f.kind == "std_full":
-        return f"CASE WHEN count(*) {frame} = {f.n} THEN stddev_pop({f.src}) {frame} END"
-    agg = {"mean": "avg", "long_mean": "avg", "std": "stddev_samp", "max": "max",
-           "min": "min", "sum": "sum"}[f.kind]
-    return f"{agg}({f.src}) {frame}"
-
-
 IMPUTE = """
 med AS (SELECT series_id, hour(ts) AS h, month(ts) AS m, quantile_disc(BLH, 0.5) AS seasonal_med
         FROM base WHERE BLH IS NOT NULL GROUP BY 1, 2, 3),
@@ -189,9 +193,7 @@ imp AS (SELECT b.* REPLACE (coalesce(b.BLH, med.seasonal_med, gmed.series_med) A
 
 
 def feature_sql(names, wide: bool, horizons=(), out_cols=None, int_cols=()) -> str:
-    """Plain-window DuckDB rendering of ``features.build_features``."""
-    from hazecast.operators import features as FT
-    wins, derived = FT.resolve(names)
+    """Features of the catalogue by their written-out formulas."""
     order = "ts" if wide else LONG_ORDER
     if wide:
         head = OBS + ",\nbase AS (SELECT * FROM obs WHERE PM25 IS NOT NULL AND NOT isnan(PM25))," + IMPUTE
@@ -202,7 +204,8 @@ def feature_sql(names, wide: bool, horizons=(), out_cols=None, int_cols=()) -> s
     cal = _calendar_sql()
     l0 = ["PM25 AS pm25_current"] + [f"{v} AS {k}" for k, v in cal.items()
                                      if wide or not k.startswith("wind_dir")]
-    l1 = [f"{_win_sql(f, order)} AS {f.name}" for f in wins]
+    formulas = FT.formulas(order)
+    l1 = [f"{formulas[n]} AS {n}" for n in names if n in formulas]
     over = f"OVER (PARTITION BY series_id ORDER BY {order})"
     for k in horizons:
         l1.append(f"lead(PM25, {k}) {over} AS label_raw__k{k}")
@@ -210,10 +213,9 @@ def feature_sql(names, wide: bool, horizons=(), out_cols=None, int_cols=()) -> s
         l1.append(f"lag(PM25, {k}) {over} AS pm25_lagK__k{k}")
         for c in FT.WEATHER_LEAD:
             l1.append(f"lead({c}, {k}) {over} AS {c}_atK__k{k}")
-    l2 = [f"{FT.DERIVED[n]} AS {n}" for n in derived]
     sql = head + f",\nl0 AS (SELECT *, {', '.join(l0)} FROM {src})"
     sql += f",\nl1 AS (SELECT *{', ' if l1 else ''}{', '.join(l1)} FROM l0)"
-    sql += f",\nl2 AS (SELECT *{', ' if l2 else ''}{', '.join(l2)} FROM l1)\n"
+    sql += ",\nl2 AS (SELECT * FROM l1)\n"
     if out_cols is not None:
         sql += f"SELECT {out_cols} FROM l2"
     else:
@@ -288,11 +290,10 @@ SQL["aqi_overall"] = OBS + "\nSELECT series_id, ts, AQI, AQI_Pollutant FROM obs"
 
 
 def _simple_sql(x: str, rounded: bool) -> str:
-    from hazecast.functions import aqi as A
     c = f"(CASE WHEN isnan({x}) THEN NULL ELSE CAST({x} AS DOUBLE) END)"
     if rounded:
         c = f"(round_even(greatest({c}, 0.0) * 10.0, 0) / 10.0)"
-    return _seg(c, A.PM25_SIMPLE_BREAKPOINTS, 500, below=500)
+    return _seg(c, SIMPLE_SEGMENTS, 500, below=500)
 
 
 SQL["aqi_simple"] = (f"SELECT event_id, {_simple_sql('value', True)} AS aqi_simple, "
@@ -319,11 +320,12 @@ def _category_sql() -> str:
     cb = A.CATEGORY_BANDS[:-1] + [(None,) + A.CATEGORY_BANDS[-1][1:]]
     dl = [(u, lab) for (u, _), (_, lab, _, _) in zip(A.DASHBOARD_COLORS, A.CATEGORY_BANDS)]
     tips = [(u, " | ".join(t)) for u, t in A.HEALTH_TIPS]
-    n = len(A.GAUGE_BREAKS) - 1
+    breaks = [0, 50, 100, 150, 200, 300, 500]
+    n = len(breaks) - 1
     v = "least(greatest(CAST(AQI AS DOUBLE), 0.0), 500.0)"
     g = ["CASE"]
     for i in range(n):
-        lo, hi = A.GAUGE_BREAKS[i], A.GAUGE_BREAKS[i + 1]
+        lo, hi = breaks[i], breaks[i + 1]
         g.append(f" WHEN {v} <= {float(hi)} THEN ({float(i)} + ({v} - {float(lo)}) / {float(hi - lo)})"
                  f" / {float(n)} * 100.0")
     g.append(" ELSE 100.0 END")
@@ -396,22 +398,25 @@ SQL["null_report"] = OBS + "\nSELECT series_id, count(*) AS n_rows, " + ", ".joi
 
 
 def _register_features():
-    from hazecast.operators import features as FT
-    from hazecast.plans import queries as Q
-    SQL["lag_features"] = _feat([f"pm25_lag{n}" for n in FT.TARGET_LAGS], wide=False)
-    SQL["rolling_features"] = _feat(Q.ROLLING, wide=False)
+    SQL["lag_features"] = _feat([f"pm25_lag{n}" for n in (1, 6, 24, 48, 72, 168)], wide=False)
+    SQL["rolling_features"] = _feat(("pm25_roll8_mean pm25_roll8_std pm25_roll8_max pm25_roll8_min pm25_roll24_mean pm25_roll24_std pm25_roll24_max "
+        "pm25_roll48_mean pm25_roll48_std pm25_roll48_max pm25_roll72_mean pm25_roll168_mean pm25_roll168_std ").split(), wide=False)
     SQL["rolling_long_mean"] = _feat(["pm25_roll365_mean", "pm25_level_ratio"], wide=False)
-    SQL["anomaly_features"] = _feat(Q.ANOMALY, wide=False)
-    SQL["rain_features"] = _feat(Q.RAIN, wide=True)
+    SQL["anomaly_features"] = _feat(("pm25_current pm25_diff_1_6 pm25_diff_6_24 pm25_accel pm25_trend_24h pm25_anomaly_score is_spike pm25_norm "
+        "pm25_range_24 ").split(), wide=False)
+    SQL["rain_features"] = _feat(("precip_lag1 precip_lag6 precip_lag24 rain_acc_6h rain_acc_12h rain_acc_24h rain_washout wind_rainy_interact "
+        "blh_rainy_interact precip_trend ").split(), wide=True)
     SQL["hours_since_event"] = feature_sql(
         ["hours_since_rain"], True,
         out_cols="series_id, ts, Precipitation, CAST(hours_since_rain AS DOUBLE) AS hours_since_rain")
     cal = _calendar_sql()
     SQL["calendar_features"] = OBS + "\nSELECT series_id, ts, " + ", ".join(
-        (f"{cal[c]} AS {c}" if c in INT_FEATURES else f"{r4(cal[c])} AS {c}") for c in Q.CALENDAR_OUT
+        (f"{cal[c]} AS {c}" if c in INT_FEATURES else f"{r4(cal[c])} AS {c}") for c in cal
     ) + " FROM obs"
-    SQL["covariate_features"] = _feat(Q.COVARIATE, wide=True)
-    hz = Q.HL_HORIZONS
+    SQL["covariate_features"] = _feat(("temperature_lag1 wind_speed_lag1 relative_humidity_lag1 pressure_lag1 blh_lag1 blh_lag6 blh_roll24_mean "
+        "clouds_lag1 co_lag1 co_lag6 no2_lag1 no2_lag6 so2_lag1 pm10_lag1 pm10_lag6 o3_lag1 wind_x_humidity "
+        "temp_x_humidity blh_x_wind pm10_pm25_ratio dispersion_idx blh_pm25_interact ").split(), wide=True)
+    hz = HORIZONS
     per_k = ["label_raw", "label", "pm25_lagK"] + [f"{c}_atK" for c in FT.WEATHER_LEAD]
     body = feature_sql(["pm25_current"], True, horizons=hz, out_cols="*")
     unions = " UNION ALL ".join(
@@ -468,7 +473,6 @@ SPLIT = ("CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 'train' "
 
 
 def _persistence_cte() -> str:
-    from hazecast.operators.features import HORIZONS
     leads = ", ".join(f"lead(PM25, {k}) OVER (PARTITION BY series_id ORDER BY ts) AS y{k}" for k in HORIZONS)
     preds = " UNION ALL ".join(
         f"SELECT {k} AS K, {SPLIT} AS split, y{k} AS label, PM25 AS prediction FROM l WHERE y{k} IS NOT NULL"
@@ -540,7 +544,6 @@ FROM l"""
 
 
 def _naive_cte(base: str) -> str:
-    from hazecast.operators.features import HORIZONS
     ks = ", ".join(f"({k})" for k in HORIZONS)
     return f"""{HOURLY_LONG},
 m AS (SELECT series_id, avg(value) AS mean, max(ts) AS last_ts FROM (
@@ -559,7 +562,6 @@ SQL["naive_forecast"] = ("WITH " + _naive_cte("TIMESTAMP '2024-01-30 12:34:56'")
 
 
 def _wah() -> str:
-    from hazecast.operators.features import HORIZONS
     ks = ", ".join(f"({k})" for k in HORIZONS)
     fk = {"temp": "Temperature", "wind": "Wind_Speed", "humid": "Relative_Humidity",
           "press": "Pressure", "precip": "Precipitation", "blh": "BLH"}
@@ -582,8 +584,7 @@ SQL["weather_at_horizon"] = _wah()
 
 def _slots_cte() -> str:
     from hazecast.functions import aqi as A
-    from hazecast.operators.forecast import SLOT_DAYS, SLOT_HOURS
-    offs = ", ".join(f"({d - 1}, {d * 24 + h})" for d in SLOT_DAYS for h in SLOT_HOURS)
+    offs = ", ".join(f"({d}, {h})" for d, h in SLOT_OFFSETS)
     cb = A.CATEGORY_BANDS[:-1] + [(None,) + A.CATEGORY_BANDS[-1][1:]]
 
     def nn(e):
@@ -681,9 +682,8 @@ SQL["csv_roundtrip"] = OBS + "\nSELECT series_id, ts, AQI, AQI_Pollutant, " + ",
 
 
 def _run_slots() -> str:
-    from hazecast.functions import aqi as A
     strict = _seg("(CASE WHEN isnan(pm25) THEN NULL ELSE CAST(pm25 AS DOUBLE) END)",
-                  A.PM25_SIMPLE_BREAKPOINTS, 500, below=500)
+                  SIMPLE_SEGMENTS, 500, below=500)
     return _slots_cte() + f"""
 SELECT series_id, base_ts, TIMESTAMP '2024-01-30 12:34:56' AS created_at, forecast_dt, pm25,
        {strict} AS aqi, TIMESTAMP '2024-01-30 12:34:56' < TIMESTAMP '2024-01-30 00:00:00' AS stale
@@ -713,8 +713,7 @@ def _greedy_slots() -> str:
     """Greedy unique slot assignment as a recursive CTE: step n takes the
     nearest prediction (ties: earlier forecast) whose K is not yet used."""
     from hazecast.functions import aqi as A
-    from hazecast.operators.forecast import SLOT_DAYS, SLOT_HOURS
-    offs = ", ".join(f"({d - 1}, {d * 24 + h})" for d in SLOT_DAYS for h in SLOT_HOURS)
+    offs = ", ".join(f"({d}, {h})" for d, h in SLOT_OFFSETS)
     cb = A.CATEGORY_BANDS[:-1] + [(None,) + A.CATEGORY_BANDS[-1][1:]]
 
     def nn(e):
@@ -752,7 +751,6 @@ SQL["slots_greedy"] = _greedy_slots()
 
 def _prune(k: int = 1) -> str:
     """M7 + M8 on the training slice of horizon ``k``."""
-    from hazecast.operators import features as FT
     body = feature_sql(FT.ALL_NAMES, True, horizons=[k], out_cols="*").replace("\nSELECT * FROM l2", "\n")
     return "WITH RECURSIVE " + body[len("WITH "):] + f""",
 """ + _prune_slice(k)
@@ -762,7 +760,6 @@ def _prune_slice(k: int, exact: bool = False) -> str:
     """The rest of the query, from the feature table ``l2``: Spearman by
     average ranks (``exact``: from whole numbers), Pearson over kept pairs, and the greedy redundancy loop as a recursive CTE over
     the ordered pairs (outer skip decided at the first pair of each i)."""
-    from hazecast.operators import features as FT
     names = FT.horizon_features(k)
     ren = {"label": f"label__k{k}", "label_raw": f"label_raw__k{k}", "pm25_lagK": f"pm25_lagK__k{k}",
            "horizon_norm": f"CAST({k / FT.HORIZON_NORM!r} AS DOUBLE)"}
@@ -823,7 +820,6 @@ SQL["prune_features"] = _prune()
 def _prune_horizons() -> str:
     """M7 + M8 of every horizon over one feature table; materialised, as the
     recursion would compute its pairs anew in every step."""
-    from hazecast.operators import features as FT
     body = feature_sql(FT.ALL_NAMES, True, horizons=FT.HORIZONS, out_cols="*").replace("\nSELECT * FROM l2", "\n")
     body = body.replace("\nl2 AS (", "\nl2 AS MATERIALIZED (")
     cte = re.compile(r"^(tr|rk|st1|keepn?|flag|pc|pairs) AS \(", re.M)
@@ -837,12 +833,12 @@ SQL["prune_horizons"] = _prune_horizons()
 
 def _serving() -> str:
     """W13 + W14 on the newest row of every series, per horizon."""
-    from hazecast.operators import features as FT
     cols = []
-    for f in FT.SERVING_FEATURES:
-        ks = ", ".join(str(k) for k in FT.HORIZONS if f.n in FT.extra_lags(k))
-        e = r4(f.name)
-        cols.append(f"{f'CASE WHEN K IN ({ks}) THEN {e} END' if f.kind == 'lag' else e} AS {f.name}")
+    for name in FT.SERVING_NAMES:
+        e, n = r4(name), int(re.findall(r"\d+", name)[-1])
+        if name.startswith("pm25_lag_extra_"):
+            e = f"CASE WHEN K IN ({', '.join(str(k) for k in HORIZONS if n in FT.extra_lags(k))}) THEN {e} END"
+        cols.append(f"{e} AS {name}")
     body = feature_sql(FT.SERVING_NAMES, False, out_cols="*").replace("\nSELECT * FROM l2", "\n")
     return body + f"""SELECT series_id, ts, event_id, {', '.join(cols)}, K FROM (
   SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC, event_id DESC) AS rn FROM l2),
@@ -950,7 +946,6 @@ UNION ALL SELECT 'gone', 'source is missing', 1, 0"""
 # ---------------------------------------------------------------------------
 
 def _model_checks() -> None:
-    from hazecast.operators import features as FT
 
     def complete(k: int) -> str:
         at = {f"{c}_atK": f"{c}_atK__k{k}" for c in FT.WEATHER_LEAD} | {c: f"{c}__k{k}" for c in ("label", "label_raw", "pm25_lagK")}
