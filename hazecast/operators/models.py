@@ -16,7 +16,6 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -29,6 +28,7 @@ from hazecast.functions.numeric import decode_target, strategy_label
 from hazecast.operators import features as FT
 from hazecast.operators.clean import complete, drop_incomplete, split_label
 from hazecast.operators.selection import MIN_KEEP, Slice, prune_slices
+from hazecast.session import SharedFolder
 
 MIN_TRAIN_ROWS = 200
 MIN_IMPORTANCE = 0.003
@@ -254,38 +254,6 @@ def evaluate(results: list[HorizonResult], spark: SparkSession) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-class SharedFolder:
-    """A folder of whatever store Hadoop reads, with the few steps that are
-    atomic there: making a new file and renaming."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._hadoop = spark._jvm.org.apache.hadoop.fs
-        self._fs = self._hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def at(self, name: str):
-        return self._hadoop.Path(f"{self.path}/{name}")
-
-    def has(self, name: str) -> bool:
-        return self._fs.exists(self.at(name))
-
-    def names(self, name: str) -> list[str]:
-        place = self.at(name)
-        return sorted(f.getPath().getName() for f in self._fs.listStatus(place)) if self._fs.exists(place) else []
-
-    def claim(self, name: str) -> bool:
-        """Make an empty file; false if it is there already."""
-        self._fs.mkdirs(self.at(name).getParent())
-        try:
-            return self._fs.createNewFile(self.at(name))
-        except Py4JJavaError:           # stores that raise where others say false
-            return False
-
-    def rename(self, old: str, new: str) -> bool:
-        self._fs.mkdirs(self.at(new).getParent())
-        return self._fs.rename(self.at(old), self.at(new))
-
-
 REGISTRY_SCHEMA = T.StructType([
     T.StructField("K", T.IntegerType()), T.StructField("family", T.StringType()),
     T.StructField("n_features", T.IntegerType()),

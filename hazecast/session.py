@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
@@ -98,3 +99,53 @@ def file_stamp(spark: SparkSession, path: str) -> str:
         return ""
     files = fs.listStatus(place)
     return " ".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
+
+
+class SharedFolder:
+    """A folder of whatever store Hadoop reads, with the few steps that are
+    atomic there: making a new file and renaming."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._fs = self._hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def at(self, name: str):
+        return self._hadoop.Path(f"{self.path}/{name}")
+
+    def has(self, name: str) -> bool:
+        return self._fs.exists(self.at(name))
+
+    def names(self, name: str) -> list[str]:
+        place = self.at(name)
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(place)) if self._fs.exists(place) else []
+
+    def claim(self, name: str) -> bool:
+        """Make an empty file; false if it is there already."""
+        self._fs.mkdirs(self.at(name).getParent())
+        try:
+            return self._fs.createNewFile(self.at(name))
+        except Py4JJavaError:           # stores that raise where others say false
+            return False
+
+    def write_once(self, name: str, text: str) -> bool:
+        """Make a file with this text, whole or not at all; false if there is
+        one of that name already."""
+        aside = f"_writing-{uuid.uuid4().hex}"
+        out = self._fs.create(self.at(aside), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if self.has(name) or not self.rename(aside, name):
+            self._fs.delete(self.at(aside), False)
+            return False
+        return True
+
+    def read(self, name: str) -> str:
+        return self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0]
+
+    def remove(self, name: str) -> None:
+        self._fs.delete(self.at(name), True)
+
+    def rename(self, old: str, new: str) -> bool:
+        self._fs.mkdirs(self.at(new).getParent())
+        return self._fs.rename(self.at(old), self.at(new))

@@ -1,12 +1,13 @@
 """Incremental refresh with Structured Streaming (T2, T4) plus batch forms.
 
 * ``stream_upsert``: new observation files → per micro-batch keep-last per
-  (series, hour) → idempotent upsert table.  Each batch is written to its own
-  ``batch=<id>`` folder (a retried batch overwrites the same folder), and the
-  table is read as "newest version per key" – U2 across micro-batches.
+  (series, hour) → upsert table, newest version per key – U2 across
+  micro-batches.
 * ``stream_hourly_rollup``: partial tumbling-window aggregates per
-  micro-batch in the same layout, merged on read (late rows count in full).
+  micro-batch, merged like the versions (late rows count in full).
 
+Both keep their rows in a ``VersionedTable``: micro-batches are merged as they
+come, replayed ones are ignored, and reading costs the same after any number.
 Checkpoints and outputs live under the shared ``spark.checkpoint.dir``.
 """
 
@@ -17,14 +18,7 @@ from pyspark.sql import functions as F
 
 from hazecast.functions.calendar import hour_floor
 from hazecast.session import shared_dir
-
-
-def _write_batch(path: str):
-    """foreachBatch sink: batch ``id`` owns folder ``batch=<id>`` (the folder
-    name is the ``batch`` column on read); a replayed batch overwrites it."""
-    def fn(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-    return fn
+from hazecast.streaming.versioned import VersionedTable
 
 
 def file_stream(spark: SparkSession, directory: str, name: str,
@@ -47,7 +41,7 @@ def resolve_latest(versions: DataFrame, keys, order_cols) -> DataFrame:
     """Newest version per key (max over ``order_cols``); aggregate with
     partial aggregation, no window over a whole key."""
     keys = list(keys)
-    rest = [c for c in versions.columns if c not in keys and c != "batch"]
+    rest = [c for c in versions.columns if c not in keys]
     return (versions.groupBy(*keys)
             .agg(F.max_by(F.struct(*rest), F.struct(*order_cols)).alias("_r"))
             .select(*keys, "_r.*"))
@@ -59,10 +53,10 @@ def stream_upsert(spark: SparkSession, directory: str, history: DataFrame, start
     events with ``start <= ts <= as_of`` stream in and per hour the latest
     event value wins over older values and over the history."""
     out = shared_dir(spark, "upsert")
-    (history.select("series_id", "ts", "value", F.lit("history").alias("src"),
-                    F.lit(0).alias("prio"), F.lit(None).cast("timestamp_ntz").alias("ev_ts"),
-                    F.lit(None).cast("long").alias("ev_id"))
-     .write.mode("overwrite").parquet(f"{out}/table/batch=-1"))
+    table = VersionedTable(spark, f"{out}/table", lambda v: resolve_latest(v, ["series_id", "ts"], ["prio", "ev_ts", "ev_id"]))
+    table.commit(history.select("series_id", "ts", "value", F.lit("history").alias("src"),
+                                F.lit(0).alias("prio"), F.lit(None).cast("timestamp_ntz").alias("ev_ts"),
+                                F.lit(None).cast("long").alias("ev_id")), -1)
 
     events = file_stream(spark, directory, "events")
     events = events.where((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) &
@@ -74,15 +68,13 @@ def stream_upsert(spark: SparkSession, directory: str, history: DataFrame, start
                 .select("series_id", "ts", F.col("l.value").alias("value"), F.lit("delta").alias("src"),
                         F.lit(1).alias("prio"), F.col("l.ts").alias("ev_ts"),
                         F.col("l.event_id").alias("ev_id")))
-        _write_batch(f"{out}/table")(last, batch_id)
+        table.commit(last, batch_id)
 
     q = (events.writeStream.foreachBatch(upsert_batch)
          .option("checkpointLocation", f"{out}/_checkpoint"))
     q = q.trigger(availableNow=True) if trigger_available_now else q
     q.start().awaitTermination()
-    table = spark.read.parquet(f"{out}/table")
-    res = resolve_latest(table, ["series_id", "ts"], ["prio", "ev_ts", "ev_id"])
-    return res.select("series_id", "ts", "value", "src")
+    return table.read().select("series_id", "ts", "value", "src")
 
 
 def stream_hourly_rollup(spark: SparkSession, directory: str, window: str = "1 hour",
@@ -95,18 +87,23 @@ def stream_hourly_rollup(spark: SparkSession, directory: str, window: str = "1 h
     out = shared_dir(spark, "rollup")
     start = F.window(F.col("ts").cast("timestamp"), window).start.cast("timestamp_ntz")
 
+    def merged(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("series_id", "ts").agg(F.sum("n").alias("n"), F.sum("sum_value").alias("sum_value"),
+                                                    F.max("max_value").alias("max_value"))
+    table = VersionedTable(spark, f"{out}/table", merged)
+
     def partial_rollup(batch: DataFrame, batch_id: int) -> None:
         part = (batch.groupBy(F.col("event_type").alias("series_id"), start.alias("ts"))
                 .agg(F.count("*").alias("n"), F.sum("value").alias("sum_value"),
                      F.max("value").alias("max_value")))
-        _write_batch(f"{out}/table")(part, batch_id)
+        table.commit(part, batch_id)
 
     (file_stream(spark, directory, "events", max_files_per_trigger).writeStream.foreachBatch(partial_rollup)
      .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True)
      .start().awaitTermination())
-    return (spark.read.parquet(f"{out}/table").groupBy("series_id", "ts")
-            .agg(F.sum("n").alias("n"), F.sum("sum_value").alias("sum_value"),
-                 F.max("max_value").alias("max_value")))
+    empty = "series_id string, ts timestamp_ntz, n long, sum_value double, max_value double"
+    found = table.read()
+    return found if found is not None else spark.createDataFrame([], empty)
 
 
 def dedupe_stream(events: DataFrame, keys=("event_type", "ts"), watermark: str = "1 hour") -> DataFrame:
