@@ -17,6 +17,9 @@ unit vectors that is a distance of at most ``r = sqrt(2 - 2 threshold)``.
   visit the later ones.  Tasks report, per entry, the number of its linked
   vectors and one edge to the root of its links in the task: never the pairs.
 
+The number of lists follows the largest label, not the table: entries of one
+label meet, so more lists would only send more copies to shorter ones.
+
 Codebooks are fitted on a bounded sample (``sample`` entries by hash order);
 they decide only how much is compared.  Rows whose label is null or whose
 vector is null, zero or holds null or non-finite components link with nothing.
@@ -39,8 +42,9 @@ from hazecast.llm.simhash_dedup import forest
 
 THRESHOLD = 0.98
 SAMPLE = 16_384
-LIST_ROWS = 512
-MAX_LISTS = 4_096
+#: Lists: so many rows of the largest label each, at least and at most so many.
+LIST_ROWS = 8_192
+LEAST_LISTS, MAX_LISTS = 4, 4_096
 SUBSPACES, CODEWORDS = 8, 64
 TILE_ROWS = 8_192
 #: Queries compared with a list at once (bounds the distance block).
@@ -143,7 +147,8 @@ def duplicate_groups(embeddings: DataFrame, threshold: float = THRESHOLD, sample
                .agg(F.first("embedding").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
                .withColumn("node", F.monotonically_increasing_id()))
     entries = materialize(entries, "entries")
-    dim, n = dimension(entries), entries.count()
+    dim = dimension(entries)
+    n = entries.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     alone = rows.where("label is null").unionByName(
         rows.where("label is not null").where(~valid_vector(F.col("embedding")))).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
@@ -159,12 +164,13 @@ def duplicate_groups(embeddings: DataFrame, threshold: float = THRESHOLD, sample
 
 
 def _compare(entries: DataFrame, dim: int, n: int, threshold: float, sample: int, tile_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(node, linked): linked vectors of other entries; (node, component)."""
+    """(node, linked): linked vectors of other entries; (node, component).
+    ``n``: entries of the largest label, as only those of one label meet."""
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
     kind = entries.schema["embedding"].dataType.simpleString()
     some = entries.select("embedding", F.xxhash64("k1", "k2").alias("h")).orderBy("h").limit(sample)   # bounded, for fitting
     fit = vectors_of(some.select("embedding").toArrow().column(0), dim)
-    books = Codebooks.fit(fit / np.linalg.norm(fit, axis=1)[:, None], min(MAX_LISTS, max(1, n // LIST_ROWS), len(fit)))
+    books = Codebooks.fit(fit / np.linalg.norm(fit, axis=1)[:, None], min(MAX_LISTS, max(LEAST_LISTS, -(-n // LIST_ROWS)), len(fit)))
     shared = entries.sparkSession.sparkContext.broadcast((books.coarse, books.words))     # at most MAX_LISTS centroids
 
     def visits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
