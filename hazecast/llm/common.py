@@ -31,7 +31,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     files survive the loss of executors and nothing is computed twice."""
     path = f"{shared_dir(df.sparkSession, 'llm-' + name)}/table"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._materialized_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that ``materialize`` wrote and nothing reads
+    any more."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(df._materialized_at)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -203,7 +213,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         star = (small.select("u", F.col("m").alias("v"))
                 .unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
                 .where("u <> v").distinct())
-        e = materialize(star, "edges")
+        old, e = e, materialize(star, "edges")
+        discard(old)
         after = signature(e)
         if after == before:
             break

@@ -425,3 +425,94 @@ def test_join_by_value_spreads_hot_values(spark, monkeypatch):
     got = substring_dedup.join_by_value(rows, values, "rows", F.col("passage"))
     want = rows.join(values, "value")
     assert sorted(map(tuple, got.select("value", "passage", "rows").collect())) == sorted(map(tuple, want.select("value", "passage", "rows").collect()))
+
+
+# --- nearest neighbours with the settings of the query -------------------------
+
+def test_forest_recall_with_default_settings(spark):
+    """At least 0.9 of the true five of every query, on the whole small table."""
+    from hazecast.llm import ann_forest
+    from hazecast.llm.queries import QUERIES
+    table = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{table}/embeddings.parquet").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = {}
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = x @ x[i]
+        s[i] = -np.inf
+        want[ids[i]] = set(ids[np.lexsort((ids, -s))[:5]].tolist())
+    got = {}
+    for r in QUERIES["op3_ann_forest"](spark, table).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len(want[q] & got[q]) for q in want) >= 0.9 * sum(map(len, want.values()))
+    assert ann_forest.MISS == 0.08 and ann_forest.TREES == 32
+
+
+# --- rows that tables can hold ---------------------------------------------------
+
+def test_url_filter_odd_rows(spark):
+    from hazecast.llm import url_filter
+    long = "http://long.com/" + "a" * 200_000
+    rows = [(1, "http://a.com/x"), (1, "http://a.com/x"), (None, "http://a.com/x"), (None, None), (2, long), (3, long), (4, "://"), (5, "a://B.NET")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = sorted(((r["page_id"], r["host"], len(r["path"]), r["verdict"]) for r in
+                  url_filter.filter_urls(pages, url_filter.repeated_urls(pages)).collect()), key=str)
+    assert got == sorted([(1, "a.com", 2, "block"), (1, "a.com", 2, "block"), (None, "a.com", 2, "block"), (None, "", 0, "allow"),
+                          (2, "long.com", 200_001, "block"), (3, "long.com", 200_001, "block"), (4, "", 0, "allow"), (5, "b.net", 0, "allow")], key=str)
+
+
+def test_nearest_neighbours_odd_rows(spark):
+    from hazecast.llm import ann_forest
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [1.0]), (2, [0.0, 1.0, 0.0]), (2, [0.0, 1.0, 0.0]), (None, [1.0, 1.0]), (3, [0.0]), (4, None), (5, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann_forest.search(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    assert got == [(50, 1, 1, 1.0), (50, 2, 2, 0.0)]            # fewer than five; shorter vectors padded
+
+
+def test_embedding_dedup_odd_rows(spark):
+    from hazecast.llm import pq_dedup
+    rows = [(7, [1.0, 0.0], 1), (7, [1.0, 0.0], 1), (8, [1.0], 1), (9, [1.0, 0.0, 0.001], 1), (None, [1.0, 0.0], 1), (10, [1.0, 0.0], 2),
+            (11, [1.0, 0.0], None), (12, None, 1), (13, [0.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in pq_dedup.duplicate_groups(df).collect()), key=str)
+    assert got == sorted([(7, 4, 7, True), (7, 4, 7, True), (8, 4, 7, False), (9, 4, 7, False), (None, 4, 7, False), (10, 0, 10, True),
+                          (11, 0, 11, True), (12, 0, 12, True), (13, 0, 13, True)], key=str)
+
+
+def test_packing_of_null_texts(spark):
+    from hazecast.llm import best_fit_pack
+    from hazecast.llm.queries import vocabulary
+    docs = spark.createDataFrame([(i, None) for i in range(5000)], "doc_id long, text string")
+    out = best_fit_pack.pack(docs, vocabulary("word_bpe_49k.json")).collect()
+    assert len(out) == 5000 and all(r["length"] == 1 and r["piece"] == 0 for r in out)           # the closing id alone
+    assert len({r["sequence_id"] for r in out}) == 2
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null and empty texts, repeated rows, null ids and sources, an extra
+    column; and a table without rows."""
+    import corpus_pipeline
+    rng = random.Random(13)
+    words = {"en": "the of and thing other with from this that house", "de": "der die und nicht eine haus mit von auch schon"}
+
+    def text(lang, n):
+        return " ".join(rng.choice(words[lang].split()) + rng.choice(["", "", "x"]) for _ in range(n))
+    rows = [(i, text(("en", "de")[i % 2], rng.randrange(5, 80)), ("en", "de")[i % 2], f"s{i % 3}", 1) for i in range(80)]
+    rows += [rows[3], rows[3], (100, None, "en", "s0", 1), (101, "", None, None, None), (102, "½ 12", "en", "s1", 4), (None, text("en", 40), None, None, 3),
+             (103, text("de", 40), None, None, 2), (104, text("en", 4000), "en", "s2", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("k1", F.lit("x"))
+    for given, least in ((docs, 60), (docs.where("false"), 0)):
+        now = given
+        for name, stage in corpus_pipeline.STAGES:
+            path = f"{tmp_path}/{name}-{least}"
+            stage(spark, now, "").write.parquet(path)
+            now = spark.read.parquet(path)
+            if name != "best_fit_pack":
+                assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            if name == "language_id":
+                assert now.where("doc_id in (100, 101, 102)").count() == 0 and now.count() >= least
+                assert now.where("doc_id is null or doc_id = 103").count() == (2 if least else 0)
+            if name == "simhash_dedup":
+                assert now.where("doc_id = 3").count() == (1 if least else 0)
+        assert (now.count() > 0) == (least > 0)
