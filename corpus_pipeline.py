@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next one's ``docs``; all but the last return
 the columns of ``documents``.  Other columns of ``docs`` are dropped.
+
+Null texts and texts without letters go with the first stage.  Null ids, langs
+and sources are carried along: a document without lang is judged but not
+learned from, and null is a source of its own.  Of equal rows the second stage
+keeps one.  Of ties each stage takes what its operator documents.  An empty
+table goes through all stages as an empty one.
 """
 
 from __future__ import annotations
