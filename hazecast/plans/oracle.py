@@ -500,6 +500,10 @@ _MET = ", ".join(f"{r4(c)} AS {c}" for c in ["rmse_train", "rmse_val", "rmse_tes
 _STRATEGY = "CASE WHEN K = 25 THEN 'LONG' WHEN K <= 8 THEN 'SHORT' ELSE 'MED' END AS strategy"
 SQL["horizon_metrics"] = _persistence_cte() + f"\nSELECT K, {_MET}, {_FLAGS}, {_STRATEGY} FROM res"
 
+SQL["result_sinks"] = _persistence_cte() + f"""
+SELECT fmt, K, {r4('rmse_test')} AS rmse_test, {r4('gap')} AS gap, row_number() OVER (PARTITION BY fmt ORDER BY K) - 1 AS place
+FROM res, (SELECT unnest(['csv', 'json', 'parquet']) AS fmt)"""
+
 SQL["eval_by_horizon_band"] = _persistence_cte() + f"""
 SELECT band, {r4('avg(rmse_test)')} AS mean_rmse_test, {r4('avg(r2_test)')} AS mean_r2_test,
        {r4('avg(gap)')} AS mean_gap, count(*) AS n_horizons

@@ -474,6 +474,22 @@ def horizon_metrics(spark, sf_dir):
     return round_doubles(res)
 
 
+@register("result_sinks")
+def result_sinks(spark, sf_dir):
+    """S10/S11 + L6: the persistence results sorted by K, written as CSV, JSON and
+    parquet and read back; ``place`` is the row's place in the file."""
+    from hazecast.session import shared_dir
+    from hazecast.sources import payloads as PL
+    res = round_doubles(_persistence(spark, sf_dir)).select("K", "rmse_test", "gap").orderBy("K").coalesce(1)
+    schema, back = "K int, rmse_test double, gap double", []
+    for fmt in ("csv", "json", "parquet"):
+        path = shared_dir(spark, f"results-{fmt}")
+        PL.write_table(res, path, fmt)
+        rows = getattr(spark.read.schema(schema).option("header", True), fmt)(path)
+        back.append(rows.select(F.lit(fmt).alias("fmt"), "*", F.monotonically_increasing_id().alias("place")))
+    return clean.union_all(back)
+
+
 @register("eval_by_horizon_band")
 def eval_by_horizon_band(spark, sf_dir):
     """A14 + A15: overall and band means (ROLLUP) of the per-K metrics."""

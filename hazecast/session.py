@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -79,16 +80,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+_MADE: list[tuple] = []          # (store, path) of this process's working folders
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables
-    and streaming checkpoints, made in whatever store that folder is in."""
+    and streaming checkpoints, made in whatever store that folder is in.  It
+    serves the queries of this process and is removed when that ends."""
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/hazecast/{name}-{uuid.uuid4().hex[:12]}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(place)
+    if not _MADE:
+        atexit.register(remove_working_folders)
+    _MADE.append((store, place))
     return path
 
 
+def remove_working_folders() -> None:
+    """Delete the folders that ``shared_dir`` made in this process."""
+    while _MADE:
+        store, place = _MADE.pop()
+        try:
+            store.delete(place, True)
+        except Exception:       # the JVM is gone or the store is: nothing more to do at exit
+            return
+
+
 def file_stamp(spark: SparkSession, path: str) -> str:
     """What tells a version of an input from another: length and modification
     time of the file, or of the files of a folder, in whatever store it is in

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from hazecast.functions.aqi import with_overall_aqi
 from hazecast.functions.calendar import hour_floor
+from hazecast.operators.clean import drop_if_present, select_existing
 from hazecast.schema import OBS_ORDER
 
 STATION_USERS = 150
@@ -108,8 +109,9 @@ def merge_weather_air(weather: DataFrame, air: DataFrame) -> DataFrame:
 def ingest_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ingest job J1 on the stand-ins: merge → six-pollutant AQI → canonical
     column order."""
-    merged = merge_weather_air(weather_hourly(spark, sf_dir), air_quality_hourly(spark, sf_dir))
-    return with_overall_aqi(merged).select(*OBS_ORDER)
+    weather = drop_if_present(weather_hourly(spark, sf_dir), ["uv_index"])         # P2
+    merged = merge_weather_air(weather, air_quality_hourly(spark, sf_dir))
+    return select_existing(with_overall_aqi(merged), OBS_ORDER)
 
 
 _LANDED: dict[tuple, str] = {}
