@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazecast.llm.common import materialize, worker_cache
+from hazecast.llm.common import frugal, materialize, worker_cache
 from hazecast.llm.tokens import WordIds
 
 CAPACITY = 4096
@@ -64,7 +64,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(frugal(batches, cached=True), PIECES)
 
 
 # ---------------------------------------------------------------------------

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazecast.llm.common import bounded_sample, worker_cache
+from hazecast.llm.common import bounded_sample, frugal, worker_cache
 
 PER_LANGUAGE = 1_500
 GRAMS = (1, 2, 3, 4)
@@ -269,4 +269,4 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH, carry: Sequen
                 [*columns, "lang_pred", "score", "spans"])
 
     carried = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in read.schema if f.name.startswith("_"))
-    return read.mapInArrow(batches, f"doc_id long{carried}, lang_pred string, score double, spans {SPANS}")
+    return read.mapInArrow(frugal(batches, cached=True), f"doc_id long{carried}, lang_pred string, score double, spans {SPANS}")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazecast.llm.common import connected_components, marked, materialize, runs, text_key, words
+from hazecast.llm.common import connected_components, frugal, marked, materialize, runs, text_key, words
 
 SHINGLE = 4
 RADIUS = 4
@@ -75,7 +75,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fp.view(np.int64))], ["doc_id", "k1", "k2", "fp"])
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     read = read.withColumns(text_key(F.col("text"))).select("doc_id", "k1", "k2", "text")
-    return read.mapInArrow(batches, "doc_id long, k1 long, k2 long, fp long")
+    return read.mapInArrow(frugal(batches), "doc_id long, k1 long, k2 long, fp long")
 
 
 def field_keys(fp: Column, radius: int) -> Column:
@@ -199,7 +199,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TIL
             signed = fp.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(signed[own]), pa.array(signed[root[own]])], ["a", "b"])
 
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(frugal(compare), "a long, b long")
 
 
 def _grouped(docs: DataFrame, shingle: int, radius: int, tile_rows: int) -> DataFrame:

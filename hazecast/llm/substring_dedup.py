@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazecast.llm.common import BUCKETS, marked, materialize, runs, text_key, words
+from hazecast.llm.common import BUCKETS, frugal, marked, materialize, runs, text_key, words
 from hazecast.llm.fm_index import FMIndex
 
 WINDOW, GRAM = 35, 8
@@ -144,7 +144,7 @@ def occurrences(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     [pa.array(k1[row]), pa.array(k2[row]), _longs(value), _longs(whole),
                      pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))],
                     ["k1", "k2", "value", "passage", "first", "windows"])
-    return docs.select("k1", "k2", "text").mapInArrow(batches, OCCURRENCE)
+    return docs.select("k1", "k2", "text").mapInArrow(frugal(batches), OCCURRENCE)
 
 
 def passage_words(docs: DataFrame, window: int) -> DataFrame:
@@ -161,7 +161,7 @@ def passage_words(docs: DataFrame, window: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)],
                                              ["value", "passage", "n", "hot", "words"])
-    return docs.select("text", "wanted").mapInArrow(batches, "value long, passage long, n long, hot boolean, words binary")
+    return docs.select("text", "wanted").mapInArrow(frugal(batches), "value long, passage long, n long, hot boolean, words binary")
 
 
 def shard_masks(part: pa.Table, window: int) -> pa.RecordBatch:
@@ -203,7 +203,7 @@ def search_shards(texts: DataFrame, window: int, shard_words: int) -> DataFrame:
                 yield shard_masks(t.slice(a, b - a), window)
 
     dealt = texts.select(F.pmod(F.xxhash64("value"), F.lit(shards)).cast("int").alias("shard"), "value", "passage", "n", "words")
-    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "value long, passage long, mask long")
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(frugal(search), "value long, passage long, mask long")
 
 
 def count_windows(texts: DataFrame, window: int) -> DataFrame:
@@ -317,5 +317,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
 
     carried = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in keyed.schema if f.name.startswith("_"))
     schema = f"doc_id long{carried}, n_words long, n_removed long, kept string"
-    each = [d.select(*columns, "text", "found").mapInArrow(batches, schema) for d in (clear, rows)]
+    each = [d.select(*columns, "text", "found").mapInArrow(frugal(batches), schema) for d in (clear, rows)]
     return each[0].unionByName(each[1])
