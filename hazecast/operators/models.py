@@ -165,14 +165,24 @@ def select_by_importance(names: list[str], importances, least: float = MIN_IMPOR
     return strong if len(strong) >= fewest else list(names)
 
 
+def fit(train: DataFrame, names: list[str], family: str, params: dict) -> PipelineModel:
+    """A fitted pipeline.  The regressor reads assembled rows from a checkpoint:
+    a tree family runs thousands of small jobs, and every one of their tasks
+    carries its input's lineage, which is then a file."""
+    *before, regressor = pipeline(family, names, params).getStages()
+    head = Pipeline(stages=before).fit(train)
+    data = persist_shared(head.transform(train).select("features", "label"))
+    return PipelineModel(stages=[*head.stages, regressor.fit(data)])
+
+
 def fit_selected(train: DataFrame, names: list[str], family: str, params: dict, by_importance: bool) -> tuple[PipelineModel, list[str]]:
     """A fitted pipeline and its features: tree families drop what their first
     fit hardly used and are fitted again on the rest (M9)."""
-    model = pipeline(family, names, params).fit(train)
+    model = fit(train, names, family, params)
     if by_importance and family != "linear":
         strong = select_by_importance(names, model.stages[-1].featureImportances.toArray())
         if strong != names:
-            return pipeline(family, strong, params).fit(train), strong
+            return fit(train, strong, family, params), strong
     return model, names
 
 
@@ -186,7 +196,7 @@ def train_horizon(feat: DataFrame, k: int, family: str, cutoffs: tuple[str, str]
     want = {"family": family, "k": k, "params": params, "names": names, "cutoffs": cutoffs, "importance": prune_importance}
     found = store.get(want) if store else None
     if found is None:
-        # scanned by every tree level: keep the one slice for the life of the fit
+        # read by the fit and the fit after selection
         train = hk.where(F.col("split") == "train").select(*names, "label").persist(StorageLevel.MEMORY_AND_DISK)
         try:
             model, chosen = fit_selected(train, names, family, params, prune_importance)
