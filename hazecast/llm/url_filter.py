@@ -11,9 +11,9 @@ A URL's canonical form is its host (after the first ``://`` up to ``/``,
 2. URLs that no rule decides are looked up in the listed canonical URLs.  The
    list is hashed into a split-block Bloom filter: a block is eight 32-bit
    words, a URL sets one bit in each word of its block.  The number of blocks
-   is a parameter, so the broadcast filter has a proven bound (``blocks`` rows
-   of nine integers); a longer list raises the share of false hits and
-   nothing else.  Possible hits alone go to the exact hash join with the list,
+   follows the list (``KEYS`` URLs a block: 16 bits a URL) up to ``MOST_BLOCKS``, so
+   the broadcast filter has a proven bound (that many rows of nine integers); a
+   still longer list raises the share of false hits and nothing else.  Possible hits alone go to the exact hash join with the list,
    which removes the false ones.  A URL found there is blocked, any other is
    allowed.
 
@@ -32,9 +32,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazecast.llm.common import materialize
+
 #: (action, rule); a rule is a host and a path prefix in one string.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-BLOCKS = 1 << 15
+#: Listed URLs a block, and the bounds of the number of blocks.
+KEYS, LEAST_BLOCKS, MOST_BLOCKS = 16, 1 << 10, 1 << 20
 WORDS = 8
 
 
@@ -71,7 +74,12 @@ def bloom_place(blocks: int) -> dict[str, Column]:
         for i in range(WORDS)}
 
 
-def bloom_filter(listed: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def blocks_for(urls: int) -> int:
+    """Blocks of the filter of a list of so many URLs: a power of two."""
+    return min(MOST_BLOCKS, max(LEAST_BLOCKS, 1 << (-(-urls // KEYS) - 1).bit_length() if urls else 0))
+
+
+def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
     """The filter of listed (host, path): at most ``blocks`` rows."""
     return (listed.select(*(c.alias(n) for n, c in bloom_place(blocks).items()))
             .groupBy("block").agg(*(F.bit_or(f"m{i}").alias(f"w{i}") for i in range(WORDS))))
@@ -90,11 +98,14 @@ def repeated_urls(pages: DataFrame, least: int = 2) -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]] = RULES,
-                blocks: int = BLOCKS) -> DataFrame:
+                blocks: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, listed of every page.
 
-    ``listed``: distinct (host, path), as ``canonical_list`` gives them.
+    ``listed``: distinct (host, path), as ``canonical_list`` gives them; ``blocks``:
+    of the filter (default: by the list's length).
     """
+    listed = materialize(listed.select("host", "path"), "listed-urls")
+    blocks = blocks or blocks_for(listed.count())
     urls = pages.select("page_id", *(c.alias(n) for n, c in canonical(F.col("url")).items()))
     urls = urls.withColumns(decide(rules))
     ruled = urls.where("action is not null").select("page_id", "host", "path", "rule", F.col("action").alias("verdict"),

@@ -516,3 +516,9 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
             if name == "simhash_dedup":
                 assert now.where("doc_id = 3").count() == (1 if least else 0)
         assert (now.count() > 0) == (least > 0)
+
+
+def test_filter_blocks_follow_the_list():
+    from hazecast.llm.url_filter import LEAST_BLOCKS, MOST_BLOCKS, blocks_for
+    assert [blocks_for(n) for n in (0, 1, 1 << 14, (1 << 14) + 1, 1 << 20, 1 << 40)] == [
+        LEAST_BLOCKS, LEAST_BLOCKS, LEAST_BLOCKS, 2 * LEAST_BLOCKS, 1 << 16, MOST_BLOCKS]
