@@ -35,7 +35,7 @@ BUCKETS = 1 << 15
 SWITCH = 12.0
 #: Least share of a language's letters in a script for it to be a candidate.
 SCRIPT_SHARE = 0.01
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 #: Words scored at once; longer words are read in pieces that share all but
 #: one character of the longest n-gram, so that no n-gram is lost.
 CHUNK_WORDS, LONG_WORD, OVERLAP = 16_384, 256, max(GRAMS) - 1

@@ -27,10 +27,17 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def set_batches(spark: SparkSession, batch: int) -> None:
+    """Rows that travel together, to Python and out of a Parquet column: 4096
+    texts, Spark's default, are one buffer of many megabytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(batch))
+
+
 def register(name: str, batch: int = TEXT_BATCH):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+            set_batches(spark, batch)
             return fn(spark, sf_dir)
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         QUERIES[name] = run

@@ -17,7 +17,7 @@ import unicodedata
 
 from tokenizers import Tokenizer
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 CACHED_LENGTH = 48
 
 _LATIN = [chr(c) for c in range(256)]
