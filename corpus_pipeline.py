@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from hazecast.llm import best_fit_pack, language_id, simhash_dedup, source_mix, substring_dedup
 from hazecast.llm.common import WORD_RE, materialize
-from hazecast.llm.queries import PATH_BATCH, TEXT_BATCH, fold, vocabulary
+from hazecast.llm.queries import PATH_BATCH, TEXT_BATCH, fold, set_batches, vocabulary
 from hazecast.sources.tables import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,7 +30,7 @@ ORACLE_SQL = None       # learned languages and hashed selections: tested agains
 
 
 def _documents(docs: DataFrame, batch: int = TEXT_BATCH) -> DataFrame:
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    set_batches(docs.sparkSession, batch)
     return docs.select(*COLUMNS)
 
 
