@@ -98,7 +98,7 @@ def min_cost_flow(capacity: dict[tuple, int], quota: dict, repeats: int = REPEAT
         # patterns in order of their next word's cost
         heap = [(lane(p)[0], i, p, START) for i, p in enumerate(open_) if used[p] < repeats * capacity[p]]
         heapq.heapify(heap)
-        later = count(len(heap))
+        later = count(len(open_))
         came_p: dict = {}
         came_s: dict = {}
         goal = START
