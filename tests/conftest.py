@@ -13,7 +13,7 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from hazecast.session import get_spark
-    s = get_spark("local[4]", 4)
+    s = get_spark("local[8]", 4)
     yield s
 
 
