@@ -271,6 +271,12 @@ REGISTRY_SCHEMA = T.StructType([
 ])
 
 
+def fingerprint(df: DataFrame) -> str:
+    """Stands for the rows of a table in any order."""
+    row = df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+    return f"{sorted(df.columns)} {row[0]} {row[1]}"
+
+
 class ModelStore:
     """Fitted horizons by what they were fitted from: a model is written aside
     and renamed into place when whole, so a reader finds it complete or not at

@@ -529,12 +529,11 @@ def _trained(spark, sf_dir, family):
     input and parameters: the forecast and the evaluation of a family share one
     training run, also across processes, and a stopped run resumes."""
     from hazecast.operators import models as M
-    from hazecast.session import ensure_checkpoint_dir, file_stamp
+    from hazecast.session import model_folder
     feat = _model_features(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir, family)
     if key not in _TRAINED:
-        source = f"{sf_dir} {file_stamp(spark, tables.path_of(sf_dir, 'events'))}"
-        store = M.ModelStore(spark, f"{ensure_checkpoint_dir(spark)}/hazecast/models", source)
+        store = M.ModelStore(spark, model_folder(spark), M.fingerprint(round_doubles(feat)))
         res = M.train_horizons(feat, FT.HORIZONS, family, cutoffs=(VAL_CUTOFF, TEST_CUTOFF),
                                pruned=_pruned(spark, sf_dir), store=store)
         _TRAINED[key] = (feat, res)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import getpass
 import tempfile
 import uuid
 
@@ -80,6 +81,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+def model_folder(spark: SparkSession) -> str:
+    """Where fitted models are kept from process to process: beside the working
+    folders in the shared folder the session names; where a local session names
+    none, a folder of the user's."""
+    if spark.conf.get("spark.checkpoint.dir", None) or not spark.sparkContext.master.startswith("local"):
+        return f"{ensure_checkpoint_dir(spark).rstrip('/')}/hazecast/models"
+    return f"file:{tempfile.gettempdir()}/hazecast-models-{getpass.getuser()}"
+
+
 _MADE: list[tuple] = []          # (store, path) of this process's working folders
 
 

@@ -113,3 +113,35 @@ def test_prune_horizons_matches_bruteforce(spark, feat):
 def test_prune_query_covers_all_horizons(spark):
     from hazecast.plans.queries import QUERIES
     assert {r["K"] for r in QUERIES["prune_horizons"](spark, SF).select("K").distinct().collect()} == set(FT.HORIZONS)
+
+
+def test_kept_models_are_found_by_content(spark, feat, tmp_path):
+    """A second run reads what the first has fitted; other parameters, features
+    or rows do not."""
+    import os
+    pruned = {}
+    M.prune_horizons(feat, [4], CUT, 50, pruned)
+    base = f"file:{tmp_path}/models"
+
+    def run(source, budget=0.05):
+        store = M.ModelStore(spark, base, source)
+        return M.train_horizons(feat, [4], "linear", CUT, budget, min_train_rows=50, pruned=pruned, store=store)[0]
+    first, again = run(M.fingerprint(feat)), run(M.fingerprint(feat.repartition(3)))
+    assert len(os.listdir(f"{tmp_path}/models")) == 1 and again.features == first.features
+    frame = first.metrics["split_frame"]
+    assert ([r[0] for r in first.model.transform(frame).select("prediction").collect()]
+            == [r[0] for r in again.model.transform(frame).select("prediction").collect()])
+    run(M.fingerprint(feat.limit(5)))
+    run(M.fingerprint(feat), budget=0.1)
+    assert len(os.listdir(f"{tmp_path}/models")) == 3
+
+
+def test_versions_are_published_whole(spark, feat):
+    res = M.train_horizons(feat, [4], "linear", cutoffs=CUT, budget=0.05, min_train_rows=50)
+    base = shared_dir(spark, "versions-test")
+    assert M.versions(spark, base, "linear") == [] and M.load_models(spark, base, "linear") == {}
+    M.save_models(spark, res, "linear", base)
+    M.SharedFolder(spark, f"{base}/linear").claim("claimed/2")          # a writer that never published
+    M.save_models(spark, res, "linear", base)
+    assert M.versions(spark, base, "linear") == [1, 3]
+    assert M.load_models(spark, base, "linear", 1)[4][1] == M.load_models(spark, base, "linear")[4][1] == res[0].features
